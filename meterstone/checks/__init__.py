@@ -1,6 +1,6 @@
 """All named queries; importing the modules registers them."""
 
-from meterstone.checks import tables
+from meterstone.checks import metrics, tables
 from meterstone.checks.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "tables"]
+__all__ = ["ORACLES", "QUERIES", "metrics", "tables"]

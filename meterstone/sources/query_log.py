@@ -9,7 +9,7 @@ from meterstone.sources.adapters import table
 
 # Our own question texts, picked by event_id mod 10.
 QUESTIONS = (
-    "How did DAU move this week?",
+    "How has usage trended over the past 30 days?",
     "Please chart MAU for each country",
     "What does D30 retention look like for new signups?",
     "Total MRR over the last six months",
