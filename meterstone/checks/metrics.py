@@ -110,12 +110,12 @@ def _(w):
 @check(
     "governed_query_dau_by_plan",
     f"""select event_week as metric_date, plan, count(distinct a.user_id) as daily_active_users
-from {_ACTIVE_WITH_USER} where country = 'FRANCE' group by all
+from {_ACTIVE_WITH_USER} where country = 'NATION_3' group by all
 order by metric_date desc, plan limit 100""",
 )
 def _(w):
     return governed.query_metric(
-        w, "daily_active_users", ["plan"], grain="week", where=[("country", "=", "FRANCE")]
+        w, "daily_active_users", ["plan"], grain="week", where=[("country", "=", "NATION_3")]
     )
 
 
@@ -213,10 +213,10 @@ def _(w):
 @check(
     "q_filter_dim",
     f"""select metric_month, {dsum("mrr")} as mrr, cast(sum(paying_customers) as bigint) as paying_customers
-from {{mart_revenue}} where plan = 'starter' and country = 'GERMANY' and year(metric_month) = 1998 group by all""",
+from {{mart_revenue}} where plan = 'starter' and country = 'NATION_7' and year(metric_month) = 1998 group by all""",
 )
 def _(w):
-    return questions.filtered(w, "starter", "GERMANY", 1998)
+    return questions.filtered(w, "starter", "NATION_7", 1998)
 
 
 @check(
