@@ -1,6 +1,6 @@
 """All named queries; importing the modules registers them."""
 
-from meterstone.checks import metrics, quality, tables
+from meterstone.checks import anomalies, metrics, quality, tables
 from meterstone.checks.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "metrics", "quality", "tables"]
+__all__ = ["ORACLES", "QUERIES", "anomalies", "metrics", "quality", "tables"]

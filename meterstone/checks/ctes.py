@@ -320,6 +320,77 @@ select event_id as request_id, 'U' || user_id as caller, ts as started_at,
 from events
 """
 
+CTES["mart_series"] = f"""
+select 'daily_active_users' as metric, metric_date as ds, cast(sum(daily_active_users) as double) as y
+from {{mart_users}} group by all
+union all
+select 'monthly_recurring_revenue', metric_month, {dsum("mrr")} from {{mart_revenue}} group by all
+"""
+
+CTES["series"] = f"""
+from {{mart_series}}
+union all
+select 'daily_order_value', cast(o_orderdate as date), {dsum("o_totalprice")} from orders group by all
+union all
+select 'monthly_order_value', cast(date_trunc('month', o_orderdate) as date), {dsum("o_totalprice")}
+from orders group by all
+"""
+
+
+def _alerts(method: str, lower: str, upper: str, z: str, source: str) -> str:
+    return f"""
+select metric, ds, {r2("y")} as actual_value, {r2("expected")} as expected_value,
+  {r2(lower)} as expected_lower, {r2(upper)} as expected_upper,
+  {r2("case when expected = 0 then 0.0 else (y - expected) / expected * 100.0 end", 1)} as deviation_pct,
+  {r2(z)} as z_score, '{method}' as method, if(y > expected, 'spike', 'drop') as direction
+from {source}"""
+
+
+CTES["sigma"] = (
+    _alerts("3sigma", "cast(null as double)", "cast(null as double)", "(y - expected) / spread", "(")
+    + """
+  select metric, ds, y, avg(y) over w as expected, nullif(stddev_samp(y) over w, 0) as spread,
+    count(y) over w as points, count(*) over (partition by metric) as history
+  from {series} window w as (partition by metric order by ds rows between 29 preceding and current row)
+) where history >= 14 and points >= 7 and abs((y - expected) / spread) > 3.0
+"""
+)
+
+CTES["seasonal"] = (
+    _alerts("seasonal", "expected - half", "expected + half", "cast(null as double)", "(")
+    + """
+  select *, 1.96 * stddev_samp(y - expected) over (partition by metric) as half
+  from (
+    select s.metric, s.ds, s.y,
+      intercept + slope * (s.ds - date '2000-01-01')
+        + avg(s.y - (intercept + slope * (s.ds - date '2000-01-01')))
+            over (partition by s.metric, isodow(s.ds)) as expected
+    from {series} s
+    join (
+      select metric, regr_slope(y, ds - date '2000-01-01') as slope,
+        regr_intercept(y, ds - date '2000-01-01') as intercept
+      from {series} group by metric having count(*) >= 14
+    ) t on t.metric = s.metric
+  )
+) where y < expected - half or y > expected + half
+"""
+)
+
+CTES["alerts"] = """
+from {seasonal}
+union all
+select s.* from {sigma} s left join {seasonal} t on t.metric = s.metric and t.ds = s.ds where t.ds is null
+"""
+
+CTES["feed"] = """
+select md5(metric || '|' || ds || '|' || method) as id, metric as metric_name, ds as anomaly_date,
+  actual_value, expected_value, deviation_pct, direction, method,
+  'Auto-flagged: ' || printf('%+.1f', deviation_pct) || '% deviation on ' || ds as commentary,
+  true as human_review_required, false as commentary_approved,
+  cast(ds as timestamp) + interval 1 day as detected_at
+from {alerts}
+"""
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
