@@ -9,6 +9,14 @@ from __future__ import annotations
 import re
 
 from meterstone.config import ACTIVITY_EVENT_TYPES, CHANNEL_COST, DEFAULTS, OTHER_CHANNEL_COST
+from meterstone.operators.guardrail import (
+    INJECTION_PATTERNS,
+    INJECTION_REASON,
+    PII_PATTERNS,
+    PII_REASON,
+)
+from meterstone.sources.catalog import METRICS, REJECTION_MESSAGE, aliases
+from meterstone.sources.golden import GOLDEN
 from meterstone.sources.query_log import INTENTS, QUESTIONS, STATEMENTS
 
 
@@ -391,17 +399,104 @@ select md5(metric || '|' || ds || '|' || method) as id, metric as metric_name, d
 from {alerts}
 """
 
+def _values(rows) -> str:
+    def cell(v):
+        if v is None:
+            return "null"
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, (list, tuple)):
+            return "[" + listed(v) + "]::varchar[]"
+        return str(v) if isinstance(v, int) else quoted(v)
+
+    return "values " + ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
+
+
+def _pattern_table(patterns, reason) -> str:
+    return _values((i, p, reason.format(p)) for i, p in enumerate(patterns))
+
+
+CTES["aliases"] = f"from ({_values((i, a, m) for i, (a, m) in enumerate(aliases()))}) as t(pos, alias, metric)"
+CTES["examples"] = "from ({}) as t(pos, metric, words)".format(
+    _values(
+        (i, name, sorted(set(example.lower().split())))
+        for i, (name, example) in enumerate((m.name, e) for m in METRICS for e in m.examples)
+    )
+)
+CTES["golden"] = (
+    f"from ({_values(GOLDEN)}) as t(position, category, expected_table, expected_columns, should_reject)"
+)
+
+CTES["texts"] = f"""
+select q.question,
+  (select arg_min(reason, pos) from ({_pattern_table(PII_PATTERNS, PII_REASON)}) as p(pos, pattern, reason)
+   where regexp_matches(lower(q.question), pattern)) as pii_reason,
+  (select arg_min(reason, pos) from ({_pattern_table(INJECTION_PATTERNS, INJECTION_REASON)}) as p(pos, pattern, reason)
+   where regexp_matches(q.question, pattern, 'i')) as injection_reason,
+  ifnull(
+    (select arg_min(metric, pos) from {{aliases}} where contains(lower(q.question), alias)),
+    (select arg_min(metric, pos) from {{examples}}
+     where len(list_intersect(words, list_distinct(string_split_regex(trim(lower(q.question)), '\\s+')))) >= 3)
+  ) as metric
+from (select distinct question from {{query_log}}) q
+"""
+
+CTES["verdicts"] = f"""
+select *, pii_check and injection_check and metric_check as passed,
+  case when not pii_check then pii_reason when not injection_check then injection_reason
+       when not metric_check then {quoted(REJECTION_MESSAGE)} end as rejection_reason
+from (
+  select l.*, t.metric, pii_reason, injection_reason, pii_reason is null as pii_check,
+    injection_reason is null as injection_check, intent = 'out_of_scope' as out_of_scope,
+    intent = 'out_of_scope' or pii_reason is not null or injection_reason is not null or metric is not null
+      as metric_check
+  from {{query_log}} l join {{texts}} t on t.question = l.question
+)
+"""
+
+CTES["graded"] = """
+select *, not passed as rejected,
+  case when error is not null or row_count = 0 then 'low' when retries > 0 or row_count > 200 then 'medium'
+       else 'high' end as confidence,
+  input_tokens * 3 + output_tokens * 15 as micro,
+  cast((input_tokens * 3 + output_tokens * 15 + 5) // 10 as double) / 100000.0 as cost_usd,
+  case when passed then null
+       when regexp_matches(lower(rejection_reason), 'pii|email|phone') then 'pii'
+       when regexp_matches(lower(rejection_reason), 'injection|drop|delete') then 'injection'
+       when contains(lower(rejection_reason), 'scope') or contains(intent, 'out_of_scope') then 'out_of_scope'
+       else 'metric_allowlist' end as reason
+from {verdicts}
+"""
+
+# The chain of runs that stored their result: each is the first one a full hour or more after the one before.
+CTES["stores"] = """/*recursive*/
+select fingerprint, min(started_at) as at from {fingerprints} where error is null group by fingerprint
+union all
+select s.fingerprint, (select min(x.started_at) from {fingerprints} x
+  where x.error is null and x.fingerprint = s.fingerprint and x.started_at >= s.at + interval 1 hour)
+from {stores} s
+where s.at + interval 1 hour <= (select max(x.started_at) from {fingerprints} x
+  where x.error is null and x.fingerprint = s.fingerprint)
+"""
+
+CTES["fingerprints"] = """
+select *, md5(trim(regexp_replace(lower(sql), '\\s+', ' ', 'g'))) as fingerprint from {query_log}
+"""
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
 def with_ctes(body: str) -> str:
     """Prefix ``body`` with the table expressions it names as {name}, in dependency order."""
     order: list[str] = []
+    open_names: list[str] = []
 
     def visit(sql: str) -> None:
         for name in _REF.findall(sql):
-            if name in CTES and name not in order:
+            if name in CTES and name not in order and name not in open_names:
+                open_names.append(name)
                 visit(CTES[name])
+                open_names.remove(name)
                 if name not in order:
                     order.append(name)
 
