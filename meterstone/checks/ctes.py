@@ -468,17 +468,6 @@ select *, not passed as rejected,
 from {verdicts}
 """
 
-# The chain of runs that stored their result: each is the first one a full hour or more after the one before.
-CTES["stores"] = """/*recursive*/
-select fingerprint, min(started_at) as at from {fingerprints} where error is null group by fingerprint
-union all
-select s.fingerprint, (select min(x.started_at) from {fingerprints} x
-  where x.error is null and x.fingerprint = s.fingerprint and x.started_at >= s.at + interval 1 hour)
-from {stores} s
-where s.at + interval 1 hour <= (select max(x.started_at) from {fingerprints} x
-  where x.error is null and x.fingerprint = s.fingerprint)
-"""
-
 CTES["fingerprints"] = """
 select *, md5(trim(regexp_replace(lower(sql), '\\s+', ' ', 'g'))) as fingerprint from {query_log}
 """
@@ -489,14 +478,11 @@ _REF = re.compile(r"\{(\w+)\}")
 def with_ctes(body: str) -> str:
     """Prefix ``body`` with the table expressions it names as {name}, in dependency order."""
     order: list[str] = []
-    open_names: list[str] = []
 
     def visit(sql: str) -> None:
         for name in _REF.findall(sql):
-            if name in CTES and name not in order and name not in open_names:
-                open_names.append(name)
+            if name in CTES and name not in order:
                 visit(CTES[name])
-                open_names.remove(name)
                 if name not in order:
                     order.append(name)
 
@@ -507,5 +493,5 @@ def with_ctes(body: str) -> str:
 
     if not order:
         return plain(body)
-    recursive = "recursive " if "/*recursive*/" in body or any("/*recursive*/" in CTES[n] for n in order) else ""
+    recursive = "recursive " if "/*recursive*/" in body else ""
     return f"with {recursive}" + ",\n".join(f"c_{n} as (\n{plain(CTES[n])}\n)" for n in order) + "\n" + plain(body)

@@ -97,28 +97,14 @@ def _(w):
     return w.query_log.select("request_id", querylog.fingerprint(F.col("sql")).alias("fingerprint"))
 
 
-@check(
-    "cache_hits_ttl",
-    """select f.request_id, f.fingerprint, f.started_at,
-  f.error is null and f.request_id not in (
-    select arg_min(x.request_id, (x.started_at, x.request_id)) from {fingerprints} x
-    join {stores} s on s.fingerprint = x.fingerprint and s.at = x.started_at and x.error is null
-    group by s.fingerprint, s.at
-  ) as hit
-from {fingerprints} f""",
-)
-def _(w):
-    return querylog.ttl_hits(w.query_log)
-
-
-_CALLS = "select request_id, {key} as k, started_at, epoch_us(started_at) as us, " \
-    "row_number() over (partition by {key} order by started_at, request_id) as rn from {{query_log}}"
-
-
-def _throttle_sql(key: str, limit: int, seconds: int) -> str:
-    calls = _CALLS.format(key=key).replace("{{", "{").replace("}}", "}")
+def _admission_sql(source: str, key: str, limit: int, seconds: int, result: str) -> str:
+    """Row-by-row replay per key with the live admitted instants as a list."""
     window = seconds * 1_000_000
-    return f"""/*recursive*/ , calls as ({calls}),
+    return f"""/*recursive*/ , calls as (
+  select request_id, {key} as k, started_at, epoch_us(started_at) as us,
+    row_number() over (partition by {key} order by started_at, request_id) as rn
+  from {source}
+),
 steps as (
   select k, cast(0 as bigint) as rn, cast(null as bigint) as request_id, cast(null as timestamp) as started_at,
     false as admitted, cast([] as bigint[]) as live
@@ -131,7 +117,32 @@ steps as (
     from steps s join calls c on c.k is not distinct from s.k and c.rn = s.rn + 1
   )
 )
-select request_id, k as throttle_key, started_at, admitted from steps where rn > 0"""
+{result}"""
+
+
+@check(
+    "cache_hits_ttl",
+    _admission_sql(
+        "(from {fingerprints} where error is null)",
+        "fingerprint",
+        1,
+        querylog.CACHE_TTL_SECONDS,
+        """select f.request_id, f.fingerprint, f.started_at, ifnull(not s.admitted, false) as hit
+from {fingerprints} f left join steps s on s.request_id = f.request_id""",
+    ),
+)
+def _(w):
+    return querylog.ttl_hits(w.query_log)
+
+
+def _throttle_sql(key: str, limit: int, seconds: int) -> str:
+    return _admission_sql(
+        "{query_log}",
+        key,
+        limit,
+        seconds,
+        "select request_id, k as throttle_key, started_at, admitted from steps where rn > 0",
+    )
 
 
 @check("throttle_decisions", _throttle_sql("caller", querylog.CALLS_PER_WINDOW, querylog.CALL_WINDOW_SECONDS))

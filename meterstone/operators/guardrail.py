@@ -48,10 +48,11 @@ OUT_OF_SCOPE = "out_of_scope"
 
 
 def _first_match(text: Column, patterns: tuple[str, ...], reason: str) -> Column:
-    """Reason of the first matching pattern, or NULL. One CASE, evaluated inside codegen."""
+    """Reason of the first matching pattern, or NULL. Clean texts cost one search for any of the patterns."""
     arms = [(text.rlike(_REGEX_FLAGS + p), F.lit(reason.format(p))) for p in patterns]
     first, *rest = arms
-    return reduce(lambda case, arm: case.when(*arm), rest, F.when(*first))
+    by_order = reduce(lambda case, arm: case.when(*arm), rest, F.when(*first))
+    return F.when(text.rlike(_REGEX_FLAGS + "(?:" + "|".join(patterns) + ")"), by_order)
 
 
 def pii_reason(question: Column) -> Column:
@@ -91,13 +92,14 @@ def with_verdict(log: DataFrame) -> DataFrame:
     it; ``out_of_scope`` says which ones never had a metric to check.
     """
     scope = F.coalesce(F.col("intent"), F.lit(OUT_OF_SCOPE)) == OUT_OF_SCOPE
-    checked = log.withColumns(
-        {
-            "_pii": pii_reason(F.col("question")),
-            "_injection": injection_reason(F.col("question")),
-            "metric": resolved_metric(F.col("question")),
-        }
+    question = F.col("question")
+    # One generated struct per row: the text is searched once, however often later columns and filters use the result.
+    found = F.struct(
+        pii_reason(question).alias("_pii"),
+        injection_reason(question).alias("_injection"),
+        resolved_metric(question).alias("metric"),
     )
+    checked = log.select("*", F.inline(F.array(found)))
     clean = F.col("_pii").isNull() & F.col("_injection").isNull()
     metric_ok = scope | ~clean | F.col("metric").isNotNull()
     reason = F.coalesce("_pii", "_injection", F.when(~metric_ok, REJECTION_MESSAGE))
