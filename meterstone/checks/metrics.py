@@ -104,7 +104,7 @@ from (
 )""",
 )
 def _(w):
-    return revenue.churn_start_of_month(w.users, w.subscriptions, w.payments)
+    return revenue.churn_start_of_month(w.subscriptions, w.payments)
 
 
 @check(

@@ -112,7 +112,7 @@ def _(w):
 
 @check("mrr_monthly", "from {mrr}")
 def _(w):
-    return revenue.mrr_monthly(w.user_plan_months)
+    return revenue.mrr_monthly(w.plan_steps, w.payments)
 
 
 @check(
@@ -121,12 +121,12 @@ def _(w):
     "from {churned} group by all",
 )
 def _(w):
-    return revenue.churned_users(w.user_plan_months).drop("twelfths")
+    return revenue.churned_users(w.plan_steps, w.payments).drop("twelfths")
 
 
 @check("churned_monthly", "from {churn}")
 def _(w):
-    return revenue.churned_monthly(w.user_plan_months)
+    return revenue.churned_monthly(w.plan_steps, w.payments)
 
 
 @check("payments_monthly", "from {pay_month}")

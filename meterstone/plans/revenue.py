@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meterstone.config import CHANNEL_COST, DEFAULTS, OTHER_CHANNEL_COST, Settings
 from meterstone.functions.numeric import round_to, share
-from meterstone.functions.text import month_start
+from meterstone.functions.text import month_number, month_start
 
 SLICE = ("metric_month", "plan", "country", "acquisition_channel")
 
@@ -19,33 +19,55 @@ def payment_months(payments: DataFrame) -> DataFrame:
 
 
 def _calendar(payments: DataFrame) -> Column:
-    """The calendar months as one array, a scalar subquery. At most one element per month of history."""
-    return payment_months(payments).agg(F.collect_list("metric_month")).scalar()
+    """The calendar as one struct, a scalar subquery with at most one element per month of history.
 
-
-def _spans(subs: DataFrame) -> DataFrame:
-    """First and last month that a subscription is active on the first day of; it starts counting on day one only."""
-    started, ended = F.col("started_at"), F.col("ended_at")
-    first = F.when(started == month_start(started), started).otherwise(F.add_months(month_start(started), 1))
-    last = month_start(F.date_sub(ended, 1))
+    ``months`` is sorted. ``before[k]`` counts the months that start before the k-th month after ``base``, so a month
+    number becomes a position in ``months`` by one lookup. ``breaks`` are the positions whose following month is not in
+    the calendar; the last position is always one of them.
+    """
+    months = F.array_sort(F.collect_list("metric_month"))
+    numbers = F.transform(F.col("months"), month_number)
+    before = F.transform(
+        F.sequence(F.col("base"), F.array_max("numbers") + 1),
+        lambda n: F.size(F.filter("numbers", lambda m: m < n)),
+    )
+    breaks = F.filter(
+        F.sequence(F.lit(0), F.size("months") - 1),
+        lambda i: F.coalesce(F.get("numbers", i + 1) != F.get("numbers", i) + 1, F.lit(True)),
+    )
     return (
-        subs.where((F.col("monthly_recurring_revenue") > 0) & started.isNotNull())
-        .withColumns({"first_month": first, "last_month": last})
-        .where(last.isNull() | (F.col("first_month") <= F.col("last_month")))
+        payment_months(payments)
+        .where(F.col("metric_month").isNotNull())
+        .agg(months.alias("months"))
+        .where(F.size("months") > 0)
+        .withColumn("numbers", numbers)
+        .withColumn("base", F.array_min("numbers"))
+        .select(F.struct("months", "base", before.alias("before"), breaks.alias("breaks")))
+        .scalar()
     )
 
 
-def _per_month(spans: DataFrame, payments: DataFrame) -> DataFrame:
-    """One row per calendar month of each span.
+def _position(day: Column, calendar: Column) -> Column:
+    """Position of the first calendar month that starts on or after ``day``; NULL without a day."""
+    before = calendar.getField("before")
+    steps = month_number(F.date_sub(day, 1)) + 1 - calendar.getField("base")
+    last = F.size(before) - 1
+    return F.get(before, F.when(steps < 0, 0).when(steps > last, last).otherwise(steps))
+
+
+def _spans(subs: DataFrame, payments: DataFrame) -> DataFrame:
+    """Subscriptions with the calendar positions [first, stop) of the months they are active in.
 
-    The range condition month >= start and month < end becomes a bounded sequence, cut to the calendar before the
-    explode, so nothing is compared pairwise.
+    A month counts when started_at <= month < ended_at, so a mid-month start counts from the next month on. Two lookups
+    per subscription replace the range join with the calendar.
     """
-    months = _calendar(payments)
-    lo = F.greatest(F.col("first_month"), F.array_min(months))
-    hi = F.least(F.col("last_month"), F.array_max(months))  # least() skips the NULL of an open span
-    active = F.when(lo <= hi, F.array_intersect(F.sequence(lo, hi, F.expr("interval 1 month")), months))
-    return spans.withColumn("metric_month", F.explode(active)).drop("first_month", "last_month")
+    calendar = _calendar(payments)
+    stop = F.coalesce(_position(F.col("ended_at"), calendar), F.size(calendar.getField("months")))
+    return (
+        subs.where(F.col("mrr_usd") > 0)
+        .withColumns({"first": _position(F.col("started_at"), calendar), "stop": stop})
+        .where(F.col("first") < F.col("stop"))
+    )
 
 
 def _with_user_dims(df: DataFrame, users: DataFrame) -> DataFrame:
@@ -58,77 +80,134 @@ def _with_user_dims(df: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def _month_at(position: Column, payments: DataFrame) -> Column:
+    return F.get(_calendar(payments).getField("months"), position)
+
+
 def active_subs_monthly(users: DataFrame, subs: DataFrame, payments: DataFrame) -> DataFrame:
-    """Subscription-months with their user's attributes."""
-    spans = _spans(subs).select(
-        "subscription_id", "user_id", "plan", "monthly_recurring_revenue", "first_month", "last_month"
+    """Subscription-months with their user's attributes: the one result whose size is subscriptions times months."""
+    months = F.slice(
+        _calendar(payments).getField("months"), F.col("first") + 1, F.col("stop") - F.col("first")
+    )
+    spans = _spans(subs, payments).select(
+        "subscription_id", "user_id", "plan", "monthly_recurring_revenue", "first", "stop"
     )
-    return _per_month(_with_user_dims(spans, users), payments)
+    return _with_user_dims(spans, users).withColumn("metric_month", F.explode(months)).drop("first", "stop")
 
 
-def user_plan_months(users: DataFrame, subs: DataFrame, payments: DataFrame) -> DataFrame:
-    """Subscription-months already summed per user, plan and slice: the input of MRR and churn.
+def _steps(df: DataFrame) -> DataFrame:
+    """Each span as +value at its first position and -value at its stop."""
+    cells = F.array(
+        F.struct(F.col("first").alias("at"), F.col("twelfths").alias("twelfths"), F.col("held").alias("held")),
+        F.struct(F.col("stop").alias("at"), (-F.col("twelfths")).alias("twelfths"), (-F.col("held")).alias("held")),
+    )
+    return df.withColumn("step", F.explode(cells)).select(
+        *[c for c in df.columns if c not in ("first", "stop", "twelfths", "held")], "step.*"
+    )
+
+
+def plan_steps(users: DataFrame, subs: DataFrame, payments: DataFrame) -> DataFrame:
+    """Changes of revenue and of held subscriptions per user, plan and slice: the input of MRR and churn.
 
-    Subscriptions with the same user, plan and span are summed before the join with users and before the explode, so a
-    user who holds a large share of all subscriptions is a bounded group in both.
+    Nothing is copied once per active month: a span is two steps, and months come back from running sums.
+    Subscriptions with the same user, plan and span are summed first (map-side), so a user who holds a large share of
+    all subscriptions is a group bounded by the calendar in the join and in the windows after it. The one shuffle by
+    (user, plan, country) serves every later window on these keys.
     """
     spans = (
-        _spans(subs)
-        .groupBy("user_id", "plan", "first_month", "last_month")
-        .agg(F.sum("monthly_twelfths").alias("twelfths"), F.count("*").alias("subscriptions"))
+        _spans(subs, payments)
+        .groupBy("user_id", "plan", "first", "stop")
+        .agg(F.sum("monthly_twelfths").alias("twelfths"), F.count("*").alias("held"))
     )
     return (
-        _per_month(_with_user_dims(spans, users), payments)
-        .groupBy("user_id", *SLICE)
-        .agg(F.sum("twelfths").alias("twelfths"), F.sum("subscriptions").alias("subscriptions"))
+        _steps(_with_user_dims(spans, users))
+        .repartition("user_id", "plan", "country")
+        .groupBy("user_id", "plan", "country", "acquisition_channel", "at")
+        .agg(F.sum("twelfths").alias("twelfths"), F.sum("held").alias("held"))
     )
 
 
-def mrr_monthly(upm: DataFrame) -> DataFrame:
-    mrr = F.col("twelfths").cast("double") / 12.0
-    return (
-        upm.groupBy(*SLICE)
-        .agg(
-            F.count("user_id").alias("paying_customers"),
-            F.sum("twelfths").alias("twelfths"),
-            F.sum("subscriptions").alias("subscriptions"),
-        )
-        .select(
-            *SLICE,
-            "paying_customers",
-            mrr.alias("mrr"),
-            F.col("twelfths").cast("double").alias("arr"),
-            (mrr / F.col("subscriptions")).alias("arpu"),
-        )
+def _until(*keys: str) -> W:
+    """Everything up to the current position, peers included."""
+    return W.partitionBy(*keys).orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+
+
+def mrr_monthly(steps: DataFrame, payments: DataFrame) -> DataFrame:
+    """Paying customers and revenue per month and slice, from running sums of steps.
+
+    A user's step counts as a customer gained or lost where the number of held subscriptions leaves or reaches zero.
+    """
+    dims = SLICE[1:]
+    held = F.sum("held").over(_until("user_id", *dims))
+    gained = (held > 0).cast("int") - (held - F.col("held") > 0).cast("int")
+    changes = (
+        steps.withColumn("customers", F.when(F.col("user_id").isNotNull(), gained).otherwise(0))
+        .groupBy(*dims, "at")
+        .agg(*[F.sum(c).alias(c) for c in ("customers", "twelfths", "held")])
+    )
+    following = F.lead("at").over(W.partitionBy(*dims).orderBy("at"))
+    levels = changes.select(
+        *dims,
+        "at",
+        following.alias("stop"),
+        *[F.sum(c).over(_until(*dims)).alias(c) for c in ("customers", "twelfths", "held")],
+    ).where((F.col("held") > 0) & (F.col("at") < F.col("stop")))
+    revenue = F.col("twelfths").cast("double")
+    return levels.withColumn("position", F.explode(F.sequence("at", F.col("stop") - 1))).select(
+        _month_at(F.col("position"), payments).alias("metric_month"),
+        *dims,
+        F.col("customers").alias("paying_customers"),
+        (revenue / 12.0).alias("mrr"),
+        revenue.alias("arr"),
+        (revenue / 12.0 / F.col("held")).alias("arpu"),
     )
 
 
-def churned_users(upm: DataFrame) -> DataFrame:
+def churned_users(steps: DataFrame, payments: DataFrame) -> DataFrame:
     """Users of one month who hold no such plan in the next, with their lost revenue, dated to that next month.
 
-    This is the anti-join of the shifted month on (month, user, plan, country), read off the following row of the same
-    user, plan and country instead of a second copy of the table. As in an equality join, a NULL user never matches.
+    The anti-join of the shifted month on (month, user, plan, country), read off the levels between steps: a level is
+    lost at its end if nothing is held after it, and at every position whose next month is not in the calendar. As in
+    an equality join, a NULL user never matches and is lost every month.
     """
-    keys = ["metric_month", "user_id", "plan", "country"]
-    held = upm.groupBy(*keys).agg(F.sum("twelfths").alias("twelfths"))
-    next_month = F.add_months("metric_month", 1)
-    following = F.lead("metric_month").over(W.partitionBy("user_id", "plan", "country").orderBy("metric_month"))
-    kept = F.col("user_id").isNotNull() & F.coalesce(following == next_month, F.lit(False))
-    return (
-        held.withColumn("kept", kept)
-        .where(~F.col("kept"))
+    keys = ("user_id", "plan", "country")
+    by_key = W.partitionBy(*keys).orderBy("at")
+    # The steps of a key's channels at one position are peers; one row of them carries the level of all.
+    peer = F.row_number().over(W.partitionBy(*keys, "at").orderBy("acquisition_channel"))
+    levels = (
+        steps.select(
+            *keys,
+            "at",
+            F.sum("held").over(_until(*keys)).alias("held"),
+            F.sum("twelfths").over(_until(*keys)).alias("twelfths"),
+            peer.alias("peer"),
+        )
+        .where(F.col("peer") == 1)
         .select(
-            next_month.alias("metric_month"),
-            *keys[1:],
-            (F.col("twelfths").cast("double") / 12.0).alias("churned_mrr"),
+            *keys,
+            "at",
+            "held",
             "twelfths",
+            F.lead("at").over(by_key).alias("stop"),
+            F.lead("held").over(by_key).alias("then_held"),
         )
+        .where((F.col("held") > 0) & (F.col("at") < F.col("stop")))
+    )
+    span = F.sequence("at", F.col("stop") - 1)
+    breaks = F.array_intersect(_calendar(payments).getField("breaks"), span)
+    ends = F.when(F.col("then_held") == 0, F.array(F.col("stop") - 1)).otherwise(F.array().cast("array<int>"))
+    lost_at = F.when(F.col("user_id").isNull(), span).otherwise(F.array_union(breaks, ends))
+    return levels.withColumn("position", F.explode(lost_at)).select(
+        F.add_months(_month_at(F.col("position"), payments), 1).alias("metric_month"),
+        *keys,
+        (F.col("twelfths").cast("double") / 12.0).alias("churned_mrr"),
+        "twelfths",
     )
 
 
-def churned_monthly(upm: DataFrame) -> DataFrame:
+def churned_monthly(steps: DataFrame, payments: DataFrame) -> DataFrame:
     return (
-        churned_users(upm)
+        churned_users(steps, payments)
         .groupBy("metric_month", "plan", "country")
         .agg(F.count("user_id").alias("churned_customers"), F.sum("twelfths").alias("twelfths"))
         .select(
@@ -185,13 +264,13 @@ def revenue_metrics(
     users: DataFrame, subs: DataFrame, payments: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """The revenue mart. Churn repeats over channels and net revenue over all slices of a month, by definition."""
-    upm = user_plan_months(users, subs, payments)
-    churn = churned_monthly(upm)
+    steps = plan_steps(users, subs, payments)
+    churn = churned_monthly(steps, payments)
     cac = cac_by_channel(users).select(
         F.col("cohort_month").alias("metric_month"), "acquisition_channel", "estimated_cac"
     )
     joined = (
-        mrr_monthly(upm)
+        mrr_monthly(steps, payments)
         .join(churn, ["metric_month", "plan", "country"], "left")
         .join(cac, ["metric_month", "acquisition_channel"], "left")
         .join(payments_monthly(payments), "metric_month", "left")
@@ -217,39 +296,80 @@ def revenue_metrics(
     )
 
 
-def churn_start_of_month(users: DataFrame, subs: DataFrame, payments: DataFrame) -> DataFrame:
-    """The documented churn rate: a plan change is not churn, the base is the customers of the month before."""
-    held = user_plan_months(users, subs, payments).select("metric_month", "user_id").distinct()
-    by_user = W.partitionBy("user_id").orderBy("metric_month")
-    next_month = F.add_months("metric_month", 1)
-    kept = F.coalesce(F.lead("metric_month").over(by_user) == next_month, F.lit(False))
+def churn_start_of_month(subs: DataFrame, payments: DataFrame) -> DataFrame:
+    """The documented churn rate: a plan change is not churn, the base is the customers of the month before.
+
+    Customers gained and lost are counted per position; the running sum goes over one row per calendar month.
+    """
+    steps = (
+        _steps(
+            _spans(subs, payments)
+            .where(F.col("user_id").isNotNull())
+            .groupBy("user_id", "first", "stop")
+            .agg(F.count("*").alias("held"), F.lit(0).alias("twelfths"))
+        )
+        .groupBy("user_id", "at")
+        .agg(F.sum("held").alias("held"))
+    )
+    held = F.sum("held").over(_until("user_id"))
+    before = held - F.col("held")
+    changes = (
+        steps.select(
+            "at",
+            ((held > 0) & (before == 0)).cast("int").alias("gained"),
+            ((held == 0) & (before > 0)).cast("int").alias("lost"),
+        )
+        .groupBy("at")
+        .agg(F.sum("gained").alias("gained"), F.sum("lost").alias("lost"))
+    )
+    calendar = _calendar(payments)
+    months = calendar.getField("months")
+    positions = (
+        payments.sparkSession.range(1)
+        .select(F.posexplode(months).alias("at", "metric_month"))
+        .withColumn("follows", ~F.array_contains(calendar.getField("breaks"), F.col("at") - 1) & (F.col("at") > 0))
+    )
+    earlier = W.orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    net = F.coalesce("gained", F.lit(0)) - F.coalesce("lost", F.lit(0))
     return (
-        held.where(F.col("user_id").isNotNull())
-        .select(next_month.alias("metric_month"), kept.alias("kept"))
-        .groupBy("metric_month")
-        .agg(F.count("*").alias("customers_at_start"), F.count_if(~F.col("kept")).alias("churned_customers"))
-        .join(payment_months(payments), "metric_month", "left_semi")
-        .withColumn(
-            "churn_rate_pct", round_to(share(F.col("churned_customers"), F.col("customers_at_start")))
+        positions.join(changes, "at", "left")
+        .withColumn("customers_at_start", F.sum(net).over(earlier))
+        .where(F.col("follows") & (F.col("customers_at_start") > 0))
+        .select(
+            "metric_month",
+            "customers_at_start",
+            F.coalesce("lost", F.lit(0)).alias("churned_customers"),
+            round_to(share(F.coalesce("lost", F.lit(0)), F.col("customers_at_start"))).alias("churn_rate_pct"),
         )
     )
 
 
 def mrr_by_billing_interval(subs: DataFrame, payments: DataFrame) -> DataFrame:
     """Active subscriptions and revenue per month and billing interval, which the mart does not carry."""
-    spans = (
-        _spans(subs)
-        .groupBy("billing_interval", "first_month", "last_month")
-        .agg(F.sum("monthly_twelfths").alias("twelfths"), F.count("*").alias("subscriptions"))
+    changes = (
+        _steps(
+            _spans(subs, payments)
+            .groupBy("billing_interval", "first", "stop")
+            .agg(F.sum("monthly_twelfths").alias("twelfths"), F.count("*").alias("held"))
+        )
+        .groupBy("billing_interval", "at")
+        .agg(F.sum("twelfths").alias("twelfths"), F.sum("held").alias("held"))
     )
+    following = F.lead("at").over(W.partitionBy("billing_interval").orderBy("at"))
     return (
-        _per_month(spans, payments)
-        .groupBy("metric_month", "billing_interval")
-        .agg(F.sum("twelfths").alias("twelfths"), F.sum("subscriptions").alias("subscriptions"))
+        changes.select(
+            "billing_interval",
+            "at",
+            following.alias("stop"),
+            F.sum("twelfths").over(_until("billing_interval")).alias("twelfths"),
+            F.sum("held").over(_until("billing_interval")).alias("held"),
+        )
+        .where((F.col("held") > 0) & (F.col("at") < F.col("stop")))
+        .withColumn("position", F.explode(F.sequence("at", F.col("stop") - 1)))
         .select(
-            "metric_month",
+            _month_at(F.col("position"), payments).alias("metric_month"),
             "billing_interval",
-            "subscriptions",
+            F.col("held").alias("subscriptions"),
             round_to(F.col("twelfths").cast("double") / 12.0).alias("mrr"),
         )
     )

@@ -65,8 +65,8 @@ class Warehouse:
         return retention.cohort_retention(self.users, self.events)
 
     @cached_property
-    def user_plan_months(self) -> DataFrame:
-        return revenue.user_plan_months(self.users, self.subscriptions, self.payments)
+    def plan_steps(self) -> DataFrame:
+        return revenue.plan_steps(self.users, self.subscriptions, self.payments)
 
     @cached_property
     def revenue_metrics(self) -> DataFrame:

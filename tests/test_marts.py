@@ -130,19 +130,19 @@ def test_plan_change_is_churn_as_written_but_not_as_documented(spark, calendar):
         ("U1", "free", 5.0, "2024-04-01", "", "monthly"),
         ("U2", "pro", 10.0, "2024-01-01", "", "monthly"),
     )
-    upm = revenue.user_plan_months(u, s, calendar)
-    assert (4, "U1", "pro") in churn_rows(revenue.churned_users(upm))
-    documented = {r.metric_month.month: r for r in revenue.churn_start_of_month(u, s, calendar).collect()}
+    steps = revenue.plan_steps(u, s, calendar)
+    assert (4, "U1", "pro") in churn_rows(revenue.churned_users(steps, calendar))
+    documented = {r.metric_month.month: r for r in revenue.churn_start_of_month(s, calendar).collect()}
     assert documented[4].churned_customers == 0 and documented[4].customers_at_start == 2
 
 
 def test_null_user_never_matches_in_churn(spark, calendar):
     u = users(spark, ("U1", "2023-01-01", "pro", "seo", "us"))
     s = subs(spark, (None, "pro", 10.0, "2024-03-01", "", "monthly"))
-    upm = revenue.user_plan_months(u, s, calendar)
-    assert churn_rows(revenue.churned_users(upm)) == [(4, None, "pro"), (5, None, "pro")]
-    assert {r.churned_customers for r in revenue.churned_monthly(upm).collect()} == {0}
-    assert {r.paying_customers for r in revenue.mrr_monthly(upm).collect()} == {0}
+    steps = revenue.plan_steps(u, s, calendar)
+    assert churn_rows(revenue.churned_users(steps, calendar)) == [(4, None, "pro"), (5, None, "pro")]
+    assert {r.churned_customers for r in revenue.churned_monthly(steps, calendar).collect()} == {0}
+    assert {r.paying_customers for r in revenue.mrr_monthly(steps, calendar).collect()} == {0}
 
 
 def test_revenue_mart_values(spark, calendar):
@@ -164,8 +164,9 @@ def test_revenue_mart_values(spark, calendar):
 def test_hot_user_gives_bounded_groups(spark, calendar):
     u = users(spark, ("U1", "2023-01-01", "pro", "seo", "us"))
     s = subs(spark, *[("U1", "pro", 10.0, "2024-01-01", "", "monthly")] * 500)
-    upm = revenue.user_plan_months(u, s, calendar)
-    assert [(r.subscriptions, float(r.twelfths)) for r in upm.collect()] == [(500, 60000.0)] * 3
+    steps = revenue.plan_steps(u, s, calendar)
+    assert sorted((r.at, r.held, float(r.twelfths)) for r in steps.collect()) == [(0, 500, 60000.0), (3, -500, -60000.0)]
+    assert {(r.paying_customers, r.mrr, r.arpu) for r in revenue.mrr_monthly(steps, calendar).collect()} == {(1, 5000.0, 10.0)}
 
 
 def test_funnel_windows_and_null_counts(spark):
