@@ -104,7 +104,7 @@ from (
 )""",
 )
 def _(w):
-    return revenue.churn_start_of_month(w.subscriptions, w.payments)
+    return revenue.churn_start_of_month(w.subscriptions, w.calendar)
 
 
 @check(
@@ -294,6 +294,6 @@ from (select c.m as metric_month, s.* from {{subs}} s
 group by all""",
 )
 def _(w):
-    return revenue.mrr_by_billing_interval(w.subscriptions, w.payments).select(
+    return revenue.mrr_by_billing_interval(w.subscriptions, w.calendar).select(
         "metric_month", "billing_interval", "subscriptions", F.col("mrr")
     )

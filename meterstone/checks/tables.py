@@ -107,12 +107,12 @@ def _(w):
     "from {sub_months}",
 )
 def _(w):
-    return revenue.active_subs_monthly(w.users, w.subscriptions, w.payments)
+    return revenue.active_subs_monthly(w.users, w.subscriptions, w.calendar)
 
 
 @check("mrr_monthly", "from {mrr}")
 def _(w):
-    return revenue.mrr_monthly(w.plan_steps, w.payments)
+    return revenue.mrr_monthly(w.plan_steps, w.calendar)
 
 
 @check(
@@ -121,12 +121,12 @@ def _(w):
     "from {churned} group by all",
 )
 def _(w):
-    return revenue.churned_users(w.plan_steps, w.payments).drop("twelfths")
+    return revenue.churned_users(w.plan_steps, w.calendar).drop("twelfths")
 
 
 @check("churned_monthly", "from {churn}")
 def _(w):
-    return revenue.churned_monthly(w.plan_steps, w.payments)
+    return revenue.churned_monthly(w.plan_steps, w.calendar)
 
 
 @check("payments_monthly", "from {pay_month}")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import datetime as dt
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,55 +22,66 @@ def payment_months(payments: DataFrame) -> DataFrame:
     return payments.select(F.col("payment_month").alias("metric_month")).distinct()
 
 
-def _calendar(payments: DataFrame) -> Column:
-    """The calendar as one struct, a scalar subquery with at most one element per month of history.
+@dataclass(frozen=True)
+class Calendar:
+    """The sorted payment months. A month exists only if some payment fell into it."""
 
-    ``months`` is sorted. ``before[k]`` counts the months that start before the k-th month after ``base``, so a month
-    number becomes a position in ``months`` by one lookup. ``breaks`` are the positions whose following month is not in
-    the calendar; the last position is always one of them.
-    """
-    months = F.array_sort(F.collect_list("metric_month"))
-    numbers = F.transform(F.col("months"), month_number)
-    before = F.transform(
-        F.sequence(F.col("base"), F.array_max("numbers") + 1),
-        lambda n: F.size(F.filter("numbers", lambda m: m < n)),
-    )
-    breaks = F.filter(
-        F.sequence(F.lit(0), F.size("months") - 1),
-        lambda i: F.coalesce(F.get("numbers", i + 1) != F.get("numbers", i) + 1, F.lit(True)),
-    )
-    return (
-        payment_months(payments)
-        .where(F.col("metric_month").isNotNull())
-        .agg(months.alias("months"))
-        .where(F.size("months") > 0)
-        .withColumn("numbers", numbers)
-        .withColumn("base", F.array_min("numbers"))
-        .select(F.struct("months", "base", before.alias("before"), breaks.alias("breaks")))
-        .scalar()
-    )
+    months: tuple[dt.date, ...]
+
+    @classmethod
+    def read(cls, payments: DataFrame) -> Calendar:
+        """One small job: a distinct over the payment dates, one row per month of history to the driver.
+
+        Known months become literals of the plans, so no plan repeats the scan of the payments for its calendar.
+        """
+        rows = payment_months(payments).where(F.col("metric_month").isNotNull()).collect()
+        return cls(tuple(sorted(r.metric_month for r in rows)))
+
+    @property
+    def size(self) -> int:
+        return len(self.months)
 
+    @property
+    def numbers(self) -> list[int]:
+        return [m.year * 12 + m.month for m in self.months]
 
-def _position(day: Column, calendar: Column) -> Column:
-    """Position of the first calendar month that starts on or after ``day``; NULL without a day."""
-    before = calendar.getField("before")
-    steps = month_number(F.date_sub(day, 1)) + 1 - calendar.getField("base")
-    last = F.size(before) - 1
-    return F.get(before, F.when(steps < 0, 0).when(steps > last, last).otherwise(steps))
+    @property
+    def breaks(self) -> list[int]:
+        """Positions whose following month is not in the calendar; the last position is always one of them."""
+        known = set(self.numbers)
+        return [i for i, n in enumerate(self.numbers) if n + 1 not in known]
 
+    def position(self, day: Column) -> Column:
+        """Position of the first month that starts on or after ``day``; NULL without a day."""
+        if not self.months:
+            return F.when(day.isNotNull(), 0)
+        numbers = self.numbers
+        before = [bisect.bisect_left(numbers, n) for n in range(numbers[0], numbers[-1] + 2)]
+        steps = month_number(F.date_sub(day, 1)) + 1 - numbers[0]
+        last = len(before) - 1
+        return F.get(F.lit(before), F.when(steps < 0, 0).when(steps > last, last).otherwise(steps))
 
-def _spans(subs: DataFrame, payments: DataFrame) -> DataFrame:
+    def month_at(self, position: Column) -> Column:
+        return F.get(self._dates(), position)
+
+    def slice(self, first: Column, stop: Column) -> Column:
+        return F.when(first < stop, F.slice(self._dates(), first + 1, stop - first))
+
+    def _dates(self) -> Column:
+        return F.lit(list(self.months)) if self.months else F.array().cast("array<date>")
+
+
+def _spans(subs: DataFrame, calendar: Calendar) -> DataFrame:
     """Subscriptions with the calendar positions [first, stop) of the months they are active in.
 
     A month counts when started_at <= month < ended_at, so a mid-month start counts from the next month on. Two lookups
     per subscription replace the range join with the calendar.
     """
-    calendar = _calendar(payments)
-    stop = F.coalesce(_position(F.col("ended_at"), calendar), F.size(calendar.getField("months")))
-    return (
-        subs.where(F.col("mrr_usd") > 0)
-        .withColumns({"first": _position(F.col("started_at"), calendar), "stop": stop})
-        .where(F.col("first") < F.col("stop"))
+    stop = F.coalesce(calendar.position(F.col("ended_at")), F.lit(calendar.size))
+    # An empty span is dropped where it is exploded. A filter here would be pushed into the scan together with the
+    # parsing of both dates, which would then run once more for every use of a date.
+    return subs.where(F.col("mrr_usd") > 0).withColumns(
+        {"first": calendar.position(F.col("started_at")), "stop": stop}
     )
 
 
@@ -80,16 +95,10 @@ def _with_user_dims(df: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def _month_at(position: Column, payments: DataFrame) -> Column:
-    return F.get(_calendar(payments).getField("months"), position)
-
-
-def active_subs_monthly(users: DataFrame, subs: DataFrame, payments: DataFrame) -> DataFrame:
+def active_subs_monthly(users: DataFrame, subs: DataFrame, calendar: Calendar) -> DataFrame:
     """Subscription-months with their user's attributes: the one result whose size is subscriptions times months."""
-    months = F.slice(
-        _calendar(payments).getField("months"), F.col("first") + 1, F.col("stop") - F.col("first")
-    )
-    spans = _spans(subs, payments).select(
+    months = calendar.slice(F.col("first"), F.col("stop"))
+    spans = _spans(subs, calendar).select(
         "subscription_id", "user_id", "plan", "monthly_recurring_revenue", "first", "stop"
     )
     return _with_user_dims(spans, users).withColumn("metric_month", F.explode(months)).drop("first", "stop")
@@ -101,12 +110,12 @@ def _steps(df: DataFrame) -> DataFrame:
         F.struct(F.col("first").alias("at"), F.col("twelfths").alias("twelfths"), F.col("held").alias("held")),
         F.struct(F.col("stop").alias("at"), (-F.col("twelfths")).alias("twelfths"), (-F.col("held")).alias("held")),
     )
-    return df.withColumn("step", F.explode(cells)).select(
+    return df.withColumn("step", F.explode(F.when(F.col("first") < F.col("stop"), cells))).select(
         *[c for c in df.columns if c not in ("first", "stop", "twelfths", "held")], "step.*"
     )
 
 
-def plan_steps(users: DataFrame, subs: DataFrame, payments: DataFrame) -> DataFrame:
+def plan_steps(users: DataFrame, subs: DataFrame, calendar: Calendar) -> DataFrame:
     """Changes of revenue and of held subscriptions per user, plan and slice: the input of MRR and churn.
 
     Nothing is copied once per active month: a span is two steps, and months come back from running sums.
@@ -115,7 +124,7 @@ def plan_steps(users: DataFrame, subs: DataFrame, payments: DataFrame) -> DataFr
     (user, plan, country) serves every later window on these keys.
     """
     spans = (
-        _spans(subs, payments)
+        _spans(subs, calendar)
         .groupBy("user_id", "plan", "first", "stop")
         .agg(F.sum("monthly_twelfths").alias("twelfths"), F.count("*").alias("held"))
     )
@@ -132,7 +141,7 @@ def _until(*keys: str) -> W:
     return W.partitionBy(*keys).orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
 
 
-def mrr_monthly(steps: DataFrame, payments: DataFrame) -> DataFrame:
+def mrr_monthly(steps: DataFrame, calendar: Calendar) -> DataFrame:
     """Paying customers and revenue per month and slice, from running sums of steps.
 
     A user's step counts as a customer gained or lost where the number of held subscriptions leaves or reaches zero.
@@ -154,7 +163,7 @@ def mrr_monthly(steps: DataFrame, payments: DataFrame) -> DataFrame:
     ).where((F.col("held") > 0) & (F.col("at") < F.col("stop")))
     revenue = F.col("twelfths").cast("double")
     return levels.withColumn("position", F.explode(F.sequence("at", F.col("stop") - 1))).select(
-        _month_at(F.col("position"), payments).alias("metric_month"),
+        calendar.month_at(F.col("position")).alias("metric_month"),
         *dims,
         F.col("customers").alias("paying_customers"),
         (revenue / 12.0).alias("mrr"),
@@ -163,7 +172,7 @@ def mrr_monthly(steps: DataFrame, payments: DataFrame) -> DataFrame:
     )
 
 
-def churned_users(steps: DataFrame, payments: DataFrame) -> DataFrame:
+def churned_users(steps: DataFrame, calendar: Calendar) -> DataFrame:
     """Users of one month who hold no such plan in the next, with their lost revenue, dated to that next month.
 
     The anti-join of the shifted month on (month, user, plan, country), read off the levels between steps: a level is
@@ -194,20 +203,20 @@ def churned_users(steps: DataFrame, payments: DataFrame) -> DataFrame:
         .where((F.col("held") > 0) & (F.col("at") < F.col("stop")))
     )
     span = F.sequence("at", F.col("stop") - 1)
-    breaks = F.array_intersect(_calendar(payments).getField("breaks"), span)
+    breaks = F.array_intersect(F.lit(calendar.breaks).cast("array<int>"), span)
     ends = F.when(F.col("then_held") == 0, F.array(F.col("stop") - 1)).otherwise(F.array().cast("array<int>"))
     lost_at = F.when(F.col("user_id").isNull(), span).otherwise(F.array_union(breaks, ends))
     return levels.withColumn("position", F.explode(lost_at)).select(
-        F.add_months(_month_at(F.col("position"), payments), 1).alias("metric_month"),
+        F.add_months(calendar.month_at(F.col("position")), 1).alias("metric_month"),
         *keys,
         (F.col("twelfths").cast("double") / 12.0).alias("churned_mrr"),
         "twelfths",
     )
 
 
-def churned_monthly(steps: DataFrame, payments: DataFrame) -> DataFrame:
+def churned_monthly(steps: DataFrame, calendar: Calendar) -> DataFrame:
     return (
-        churned_users(steps, payments)
+        churned_users(steps, calendar)
         .groupBy("metric_month", "plan", "country")
         .agg(F.count("user_id").alias("churned_customers"), F.sum("twelfths").alias("twelfths"))
         .select(
@@ -261,16 +270,21 @@ def cac_by_channel(users: DataFrame) -> DataFrame:
 
 
 def revenue_metrics(
-    users: DataFrame, subs: DataFrame, payments: DataFrame, settings: Settings = DEFAULTS
+    users: DataFrame,
+    subs: DataFrame,
+    payments: DataFrame,
+    calendar: Calendar | None = None,
+    settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """The revenue mart. Churn repeats over channels and net revenue over all slices of a month, by definition."""
-    steps = plan_steps(users, subs, payments)
-    churn = churned_monthly(steps, payments)
+    calendar = calendar or Calendar.read(payments)
+    steps = plan_steps(users, subs, calendar)
+    churn = churned_monthly(steps, calendar)
     cac = cac_by_channel(users).select(
         F.col("cohort_month").alias("metric_month"), "acquisition_channel", "estimated_cac"
     )
     joined = (
-        mrr_monthly(steps, payments)
+        mrr_monthly(steps, calendar)
         .join(churn, ["metric_month", "plan", "country"], "left")
         .join(cac, ["metric_month", "acquisition_channel"], "left")
         .join(payments_monthly(payments), "metric_month", "left")
@@ -296,14 +310,14 @@ def revenue_metrics(
     )
 
 
-def churn_start_of_month(subs: DataFrame, payments: DataFrame) -> DataFrame:
+def churn_start_of_month(subs: DataFrame, calendar: Calendar) -> DataFrame:
     """The documented churn rate: a plan change is not churn, the base is the customers of the month before.
 
     Customers gained and lost are counted per position; the running sum goes over one row per calendar month.
     """
     steps = (
         _steps(
-            _spans(subs, payments)
+            _spans(subs, calendar)
             .where(F.col("user_id").isNotNull())
             .groupBy("user_id", "first", "stop")
             .agg(F.count("*").alias("held"), F.lit(0).alias("twelfths"))
@@ -322,13 +336,8 @@ def churn_start_of_month(subs: DataFrame, payments: DataFrame) -> DataFrame:
         .groupBy("at")
         .agg(F.sum("gained").alias("gained"), F.sum("lost").alias("lost"))
     )
-    calendar = _calendar(payments)
-    months = calendar.getField("months")
-    positions = (
-        payments.sparkSession.range(1)
-        .select(F.posexplode(months).alias("at", "metric_month"))
-        .withColumn("follows", ~F.array_contains(calendar.getField("breaks"), F.col("at") - 1) & (F.col("at") > 0))
-    )
+    follows = [(i, m, i > 0 and i - 1 not in calendar.breaks) for i, m in enumerate(calendar.months)]
+    positions = steps.sparkSession.createDataFrame(follows, "at int, metric_month date, follows boolean")
     earlier = W.orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     net = F.coalesce("gained", F.lit(0)) - F.coalesce("lost", F.lit(0))
     return (
@@ -344,11 +353,11 @@ def churn_start_of_month(subs: DataFrame, payments: DataFrame) -> DataFrame:
     )
 
 
-def mrr_by_billing_interval(subs: DataFrame, payments: DataFrame) -> DataFrame:
+def mrr_by_billing_interval(subs: DataFrame, calendar: Calendar) -> DataFrame:
     """Active subscriptions and revenue per month and billing interval, which the mart does not carry."""
     changes = (
         _steps(
-            _spans(subs, payments)
+            _spans(subs, calendar)
             .groupBy("billing_interval", "first", "stop")
             .agg(F.sum("monthly_twelfths").alias("twelfths"), F.count("*").alias("held"))
         )
@@ -367,7 +376,7 @@ def mrr_by_billing_interval(subs: DataFrame, payments: DataFrame) -> DataFrame:
         .where((F.col("held") > 0) & (F.col("at") < F.col("stop")))
         .withColumn("position", F.explode(F.sequence("at", F.col("stop") - 1)))
         .select(
-            _month_at(F.col("position"), payments).alias("metric_month"),
+            calendar.month_at(F.col("position")).alias("metric_month"),
             "billing_interval",
             F.col("held").alias("subscriptions"),
             round_to(F.col("twelfths").cast("double") / 12.0).alias("mrr"),

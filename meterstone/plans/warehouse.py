@@ -64,13 +64,17 @@ class Warehouse:
     def cohort_retention(self) -> DataFrame:
         return retention.cohort_retention(self.users, self.events)
 
+    @cached_property
+    def calendar(self) -> revenue.Calendar:
+        return revenue.Calendar.read(self.payments)
+
     @cached_property
     def plan_steps(self) -> DataFrame:
-        return revenue.plan_steps(self.users, self.subscriptions, self.payments)
+        return revenue.plan_steps(self.users, self.subscriptions, self.calendar)
 
     @cached_property
     def revenue_metrics(self) -> DataFrame:
-        return revenue.revenue_metrics(self.users, self.subscriptions, self.payments, self.settings)
+        return revenue.revenue_metrics(self.users, self.subscriptions, self.payments, self.calendar, self.settings)
 
     @cached_property
     def funnel_analysis(self) -> DataFrame:
