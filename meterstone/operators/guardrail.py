@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,24 +66,29 @@ def injection_reason(question: Column) -> Column:
 
 def resolved_metric(question: Column) -> Column:
     """The first alias contained in the question names the metric; else the first metric with an example question
-    that shares at least three words; else NULL."""
+    that shares at least three words; else NULL.
+
+    Aliases are listed metric by metric, so the first metric with any alias in the text is the one of the first alias:
+    one search per metric.
+    """
     text = F.lower(question)
-    by_alias = reduce(
-        lambda case, a: case.when(F.contains(text, F.lit(a[0])), a[1]),
-        aliases()[1:],
-        F.when(F.contains(text, F.lit(aliases()[0][0])), aliases()[0][1]),
+    named = [[a for a, name in aliases() if name == m.name] for m in METRICS]
+    arms = [(text.rlike("|".join(map(re.escape, own))), m.name) for own, m in zip(named, METRICS)]
+    by_alias = reduce(lambda case, arm: case.when(*arm), arms[1:], F.when(*arms[0]))
+    examples = F.array(
+        *[
+            F.struct(F.lit(m.name).alias("metric"), F.lit(sorted(set(e.lower().split()))).alias("words"))
+            for m in METRICS
+            for e in m.examples
+        ]
     )
-    asked = words(question)
-    by_example = [
-        F.when(
-            F.size(F.array_intersect(asked, F.array(*[F.lit(t) for t in dict.fromkeys(example.lower().split())])))
-            >= MIN_SHARED_WORDS,
-            m.name,
-        )
-        for m in METRICS
-        for example in m.examples
-    ]
-    return F.coalesce(by_alias, *by_example)
+
+    def close_to(asked: Column) -> Column:
+        return F.filter(examples, lambda e: F.size(F.array_intersect(asked, e["words"])) >= MIN_SHARED_WORDS)
+
+    # The outer transform binds the words of the question once for all examples.
+    close = F.get(F.transform(F.array(words(question)), close_to), F.lit(0))
+    return F.coalesce(by_alias, F.get(close, F.lit(0)).getField("metric"))
 
 
 def with_verdict(log: DataFrame) -> DataFrame:
