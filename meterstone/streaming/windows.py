@@ -8,26 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from meterstone.session import new_scratch
 from meterstone.sources import query_log
+from meterstone.sources.adapters import TABLES
 
 DELAY = "10 minutes"
 TUMBLING = "5 minutes"
 SLIDING = ("5 minutes", "15 seconds")
 SESSION_GAP = "30 minutes"
 
-EVENTS = T.StructType(
-    [
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("props", T.StringType()),
-    ]
-)
+EVENTS = TABLES["events"]
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
