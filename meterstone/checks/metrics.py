@@ -297,3 +297,22 @@ def _(w):
     return revenue.mrr_by_billing_interval(w.subscriptions, w.calendar).select(
         "metric_month", "billing_interval", "subscriptions", F.col("mrr")
     )
+
+
+@check(
+    "q_region",
+    f"""select cohort_month, {_RETENTION} from {{mart_funnel}}
+where country in (select upper(n_name) from nation, region where r_regionkey = n_regionkey and r_name = 'EUROPE')
+group by all""",
+)
+def _(w):
+    return questions.region_retention(w, "EUROPE")
+
+
+@check(
+    "q_last_signups",
+    """select cohort_month, cast(sum(signups) as bigint) as signups from {mart_funnel}
+where cohort_month <= date '2025-01-01' group by all order by cohort_month desc limit 1""",
+)
+def _(w):
+    return questions.last_signups(w)

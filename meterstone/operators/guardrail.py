@@ -120,16 +120,16 @@ def with_verdict(log: DataFrame) -> DataFrame:
     return checked.withColumn("guardrail", verdict).drop("_pii", "_injection")
 
 
-def rejection_class(reason: Column, intent: Column) -> Column:
-    """Coarse label of a rejection by the words in its reason."""
+def rejection_class(reason: Column, intent: Column, *, few_words: bool = False) -> Column:
+    """Coarse label of a rejection by the words in its reason; ``few_words`` is the shorter keyword list."""
     text = F.lower(F.coalesce(reason, F.lit("")))
 
     def has(*needles: str) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
 
     return (
-        F.when(has("pii", "email", "phone"), "pii")
-        .when(has("injection", "drop", "delete"), "injection")
+        F.when(has("pii", "email") if few_words else has("pii", "email", "phone"), "pii")
+        .when(has("injection") if few_words else has("injection", "drop", "delete"), "injection")
         .when(has("scope") | F.contains(F.coalesce(intent, F.lit("")), F.lit(OUT_OF_SCOPE)), OUT_OF_SCOPE)
         .otherwise("metric_allowlist")
     )

@@ -105,3 +105,29 @@ def growth_health(w: Warehouse) -> DataFrame:
         .join(ratio, "metric_month")
         .join(signups, "metric_month", "left")
     )
+
+
+def region_retention(w: Warehouse, region: str) -> DataFrame:
+    """Day-30 retention of the cohorts of one region's countries. Activity decides, so refunds do not change it."""
+    countries = (
+        w.table("nation")
+        .join(w.table("region").where(F.col("r_name") == region), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(F.upper("n_name").alias("country"))
+    )
+    return (
+        w.funnel_analysis.join(countries, "country", "left_semi")
+        .groupBy("cohort_month")
+        .agg(F.sum("signups").alias("signups"), F.sum("day30_retained").alias("day30_retained"))
+        .withColumn("day30_retention_rate_pct", round_to(share(F.col("day30_retained"), F.col("signups"))))
+    )
+
+
+def last_signups(w: Warehouse) -> DataFrame:
+    """Signups of the latest cohort month that is not in the future."""
+    return (
+        w.funnel_analysis.where(F.col("cohort_month") <= F.lit(w.settings.as_of))
+        .groupBy("cohort_month")
+        .agg(F.sum("signups").alias("signups"))
+        .orderBy(F.col("cohort_month").desc())
+        .limit(1)
+    )

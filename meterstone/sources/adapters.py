@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Declared types: opening a table reads no file footer and starts no job.
 TABLES = {
+    "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "

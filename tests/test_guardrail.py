@@ -126,3 +126,14 @@ def test_score_checks(spark):
     report = {r.category: r for r in scoring.accuracy_report(scoring.score(answers, golden), min_accuracy=0.5).collect()}
     assert (report["r"].total, report["r"].passed, report["r"].gate_passed, report["r"].marked) == (2, 1, True, False)
     assert report[None].total == 7 and not report[None].gate_passed
+
+
+def test_shorter_keyword_list_labels_fewer_reasons(spark):
+    df = spark.createDataFrame([("phone found", "x"), ("drop found", "x"), ("email found", "x")], "reason string, intent string")
+    reason, intent = F.col("reason"), F.col("intent")
+    got = df.select(guardrail.rejection_class(reason, intent), guardrail.rejection_class(reason, intent, few_words=True))
+    assert [tuple(r) for r in got.collect()] == [
+        ("pii", "metric_allowlist"),
+        ("injection", "metric_allowlist"),
+        ("pii", "pii"),
+    ]
