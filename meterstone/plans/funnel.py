@@ -26,7 +26,8 @@ def _activity_after_signup(users: DataFrame, events: DataFrame) -> DataFrame:
         .select("user_id", "event_date")
         .distinct()
     )
-    return days.join(users.select("user_id", "signup_date"), "user_id")
+    signups = users.where(F.col("user_id").isNotNull()).select("user_id", "signup_date").distinct()
+    return days.join(signups, "user_id")
 
 
 def users_active_within(users: DataFrame, events: DataFrame, days: tuple[int, int]) -> DataFrame:

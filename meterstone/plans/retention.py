@@ -40,6 +40,7 @@ def cohort_activity(users: DataFrame, events: DataFrame) -> DataFrame:
     """User-months on or after the signup month, numbered from it."""
     return (
         user_cohorts(users)
+        .distinct()
         .join(user_active_months(events), "user_id")
         .where(F.col("active_month") >= F.col("cohort_month"))
         .withColumn(

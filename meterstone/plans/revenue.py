@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from meterstone.config import CHANNEL_COST, DEFAULTS, OTHER_CHANNEL_COST, Settings
 from meterstone.functions.numeric import round_to, share
 from meterstone.functions.text import month_number, month_start
+from meterstone.plans.user_metrics import profiles
 
 SLICE = ("metric_month", "plan", "country", "acquisition_channel")
 
@@ -85,13 +86,16 @@ def _spans(subs: DataFrame, calendar: Calendar) -> DataFrame:
     )
 
 
+def _known(column: str) -> Column:
+    return F.coalesce(column, F.lit("unknown")).alias(column)
+
+
 def _with_user_dims(df: DataFrame, users: DataFrame) -> DataFrame:
-    dims = users.where(F.col("user_id").isNotNull()).select("user_id", "country", "acquisition_channel")
-    return df.join(dims, "user_id", "left").withColumns(
-        {
-            "country": F.coalesce("country", F.lit("unknown")),
-            "acquisition_channel": F.coalesce("acquisition_channel", F.lit("unknown")),
-        }
+    """Rows with their user's slice and the number of equal user rows they stand for."""
+    dims = profiles(users, "country", "acquisition_channel")
+    kept = [c for c in df.columns if c != "user_id"]
+    return df.join(dims, "user_id", "left").select(
+        "user_id", *kept, _known("country"), _known("acquisition_channel"), F.coalesce("copies", F.lit(1)).alias("copies")
     )
 
 
@@ -101,7 +105,20 @@ def active_subs_monthly(users: DataFrame, subs: DataFrame, calendar: Calendar) -
     spans = _spans(subs, calendar).select(
         "subscription_id", "user_id", "plan", "monthly_recurring_revenue", "first", "stop"
     )
-    return _with_user_dims(spans, users).withColumn("metric_month", F.explode(months)).drop("first", "stop")
+    dims = users.where(F.col("user_id").isNotNull()).select("user_id", "country", "acquisition_channel")
+    return (
+        spans.join(dims, "user_id", "left")
+        .withColumn("metric_month", F.explode(months))
+        .select(
+            "metric_month",
+            "subscription_id",
+            "user_id",
+            "plan",
+            "monthly_recurring_revenue",
+            _known("country"),
+            _known("acquisition_channel"),
+        )
+    )
 
 
 def _steps(df: DataFrame) -> DataFrame:
@@ -128,8 +145,11 @@ def plan_steps(users: DataFrame, subs: DataFrame, calendar: Calendar) -> DataFra
         .groupBy("user_id", "plan", "first", "stop")
         .agg(F.sum("monthly_twelfths").alias("twelfths"), F.count("*").alias("held"))
     )
+    sliced = _with_user_dims(spans, users)
+    weighted = {c: F.col(c) * F.col("copies") for c in ("twelfths", "held")}
+    weighted["twelfths"] = weighted["twelfths"].cast("decimal(28,2)")
     return (
-        _steps(_with_user_dims(spans, users))
+        _steps(sliced.withColumns(weighted).drop("copies"))
         .repartition("user_id", "plan", "country")
         .groupBy("user_id", "plan", "country", "acquisition_channel", "at")
         .agg(F.sum("twelfths").alias("twelfths"), F.sum("held").alias("held"))

@@ -21,15 +21,28 @@ def active_user_days(events: DataFrame) -> DataFrame:
     )
 
 
+def profiles(users: DataFrame, *columns: str) -> DataFrame:
+    """Distinct user rows with the number of their copies.
+
+    A join with the user table fans out once per copy. Copies are counted map-side first and multiply the joined values
+    instead, so a user with many copies is a few rows in every join.
+    """
+    known = users.where(F.col("user_id").isNotNull())
+    return known.groupBy("user_id", *columns).agg(F.count("*").alias("copies"))
+
+
 def user_daily_activity(users: DataFrame, events: DataFrame) -> DataFrame:
-    """User-days with the user's attributes; a duplicated user fans out, an unknown one keeps NULLs."""
-    profile = users.select("user_id", "signup_date", *DIMENSIONS)
+    """User-days with the user's attributes; a duplicated user fans out, an unknown one keeps NULLs.
+
+    ``copies`` says how many equal user rows a line stands for.
+    """
     since = F.datediff("event_date", "signup_date")
     return (
         active_user_days(events)
-        .join(profile, "user_id", "left")
+        .join(profiles(users, "signup_date", *DIMENSIONS), "user_id", "left")
         .withColumns(
             {
+                "copies": F.coalesce("copies", F.lit(1)),
                 "event_week": week_start(F.col("event_date")),
                 "event_month": month_start(F.col("event_date")),
                 "days_since_signup": since,
@@ -47,7 +60,7 @@ def user_metrics(users: DataFrame, events: DataFrame) -> DataFrame:
     per_user = (
         user_daily_activity(users, events)
         .groupBy("event_date", *DIMENSIONS, "user_id")
-        .agg(F.max("is_new_user_activity").alias("is_new"), F.sum("event_count").alias("n"))
+        .agg(F.max("is_new_user_activity").alias("is_new"), F.sum(F.col("event_count") * F.col("copies")).alias("n"))
     )
     return (
         per_user.groupBy("event_date", *DIMENSIONS)

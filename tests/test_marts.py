@@ -208,3 +208,17 @@ def test_metric_mau_differs_from_sum_of_daily(spark):
     assert user_metrics.active_users_by(u, e, "month").first().active_users == 1
     daily = user_metrics.user_metrics(u, e).agg(F.sum("daily_active_users")).first()[0]
     assert daily == 2
+
+
+def test_copies_of_a_user_multiply_instead_of_fanning_out(spark, calendar):
+    u = users(spark, *[("U1", "2024-01-01", "pro", "seo", "us")] * 3)
+    e = events(spark, ("U1", "page_view", "2024-01-05"), ("U1", "export", "2024-01-05"))
+    daily = user_metrics.user_metrics(u, e).collect()
+    assert [(r.daily_active_users, r.total_events) for r in daily] == [(1, 6)]
+    assert user_metrics.user_daily_activity(u, e).count() == 1
+    s = subs(spark, ("U1", "pro", 10.0, "2024-01-01", "", "monthly"))
+    steps = revenue.plan_steps(u, s, calendar)
+    rows = revenue.mrr_monthly(steps, calendar).collect()
+    assert {(r.paying_customers, r.mrr, r.arpu) for r in rows} == {(1, 30.0, 10.0)}
+    assert revenue.active_subs_monthly(u, s, calendar).count() == 9
+    assert retention.cohort_activity(u, e).count() == 1
