@@ -7,7 +7,7 @@ document stops as soon as its slots are full: after one or two rounds for texts
 
 Links are never lost in a hot band. Candidates are first the pairs of each bucket's members with its smallest member, of
 linear number; verified links are grouped; members of one bucket that still lie in different groups are then compared,
-the largest group of a bucket on one side only. Links inside a group need no further comparison, since only the group
+the largest group of a bucket on one side only, as far as an exact bound and the signatures allow a link. Links inside a group need no further comparison, since only the group
 counts. Equal sets are one node from the start, however many documents hold them.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterstone.llm.graph import components
@@ -34,6 +34,11 @@ SLOTS = ROWS * BANDS
 #: A pair with more differing slots than six deviations beyond that is below the limit (an error in 10**9 pairs).
 MOST_DIFFERENT = 18 + 23
 
+#: Bits of the parity map, a lower bound of how many elements two sets don't share.
+PARITY_BITS = 1024
+_SIGNED_WORDS, _PARITY_WORDS = SLOTS // 32, PARITY_BITS // 64
+_BIT_WORDS = _SIGNED_WORDS + _PARITY_WORDS
+
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.arange(1, 257, dtype=np.uint64) * _GOLD
@@ -110,6 +115,13 @@ def _two_bits(signature: np.ndarray) -> np.ndarray:
     return (bits << (2 * np.arange(32, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
 
 
+def _parity(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each element flips one of ``PARITY_BITS`` bits of its row; rows of two sets differ in no more bits than elements."""
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    flips = np.bincount(rows * PARITY_BITS + (elements % np.uint64(PARITY_BITS)).astype(np.int64), minlength=(len(offsets) - 1) * PARITY_BITS)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.uint64)
+
+
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
@@ -133,7 +145,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(sums[0].view(np.int64)),
                     pa.array(sums[1].view(np.int64)),
                     _lists(_bands(signature).reshape(-1), regular * BANDS),
-                    _lists(_two_bits(signature).reshape(-1), regular * (SLOTS // 32)),
+                    _lists(np.hstack([_two_bits(signature), _parity(elements, at).reshape(last - first, -1)]).reshape(-1), regular * _BIT_WORDS),
                 ],
                 names=["id", "n_shingles", "print_a", "print_b", "bands", "bits"],
             )
@@ -142,7 +154,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch(docs: DataFrame) -> DataFrame:
     """(id, n_shingles, print_a, print_b, bands, bits) of ``docs(doc_id, text)``.
 
-    The two prints, sums of independent hashes over the set, stand for the whole set together with its size.
+    The two prints, sums of independent hashes over the set, stand for the whole set together with its size. ``bits`` are the
+    two-bit signature and the parity map.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of("text").alias("text"))
     kinds = "id long, n_shingles long, print_a long, print_b long, bands array<long>, bits array<long>"
@@ -197,7 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = keys.groupBy("key").agg(F.min("rep").alias("least"), F.count("rep").alias("n")).filter("n > 1").select("key", "least")
     shared = through_table(keys.join(buckets, "key"), "buckets")
     stars = shared.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    brief = nodes.select("rep", "n_shingles", F.col("bits")[0].alias("w0"), F.col("bits")[1].alias("w1"), F.col("bits")[2].alias("w2"))
+    brief = nodes.select("rep", "n_shingles", *[F.col("bits")[k].alias(f"w{k}") for k in range(_BIT_WORDS)])
     stars = through_table(_plausible(stars, brief), "stars")
     sets = through_table(full_sets(docs, stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
 
@@ -209,9 +222,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(through_table(verified(more, sets), "links"))
     groups = _grouped(brief, links, "groups")
 
-    pairs = through_table(_apart(shared, groups), "apart")
-    missing = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
-    sets = sets.unionByName(full_sets(docs, missing))
+    mixed = through_table(_mixed(shared, groups), "mixed")
+    pairs = through_table(_apart(mixed), "apart")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    missing = through_table(ids.join(sets.select("id"), "id", "left_anti"), "missing")
+    sets = sets.unionByName(through_table(full_sets(docs, missing), "sets"))
     links = links.unionByName(through_table(verified(pairs, sets), "links"))
 
     # Members with the id of their class need no edge, and equal texts link by their class.
@@ -221,14 +236,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return named.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _close(x: str, y: str):
-    """Sizes and two-bit signatures allow the similarity; both sides carry n_shingles and w0..w2 under the prefixes."""
-    differ = F.lit(0)
-    for w in ("w0", "w1", "w2"):
-        xor = F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))
-        differ = differ + F.bit_count((xor.bitwiseOR(F.shiftrightunsigned(xor, 1))).bitwiseAND(F.lit(0x5555555555555555)))
+def _close(x: str, y: str) -> Column:
+    """Sizes, parity maps and signatures allow the similarity; both sides carry n_shingles and the bit words.
+
+    Sizes and parity decide exactly: 100 i >= S u holds if and only if (100 + S) d <= (100 - S) (n + m) for the number d of
+    elements in one set only, of which the differing parity bits are a lower bound.
+    """
     n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    return (100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)) & (differ <= MOST_DIFFERENT)
+    xor = [F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}")) for k in range(_BIT_WORDS)]
+    slots = sum((F.bit_count(w.bitwiseOR(F.shiftrightunsigned(w, 1)).bitwiseAND(F.lit(0x5555555555555555))) for w in xor[:_SIGNED_WORDS]), F.lit(0))
+    parity = sum((F.bit_count(w) for w in xor[_SIGNED_WORDS:]), F.lit(0))
+    sizes = 100 * F.least(n, m) >= SIMILAR * F.greatest(n, m)
+    return sizes & ((100 + SIMILAR) * parity <= (100 - SIMILAR) * (n + m)) & (slots <= MOST_DIFFERENT)
 
 
 def _plausible(pairs: DataFrame, brief: DataFrame) -> DataFrame:
@@ -242,14 +261,17 @@ def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.filter("ca <> cb").select("a", "b")
 
 
-def _apart(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Plausible pairs of a bucket that lie in different groups; the bucket's largest group stands on one side only."""
+def _mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several groups, with the bucket's largest group."""
     rows = shared.select("key", "rep").join(groups, "rep")
     sizes = rows.groupBy("key", "component").agg(F.count("rep").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("n").alias("kinds"))
-    rows = rows.join(mixed.filter("kinds > 1").select("key", "largest"), "key")
-    rows = through_table(rows, "mixed")
-    fewer, every = rows.filter("component <> largest").alias("x"), rows.alias("y")
+    return rows.join(mixed.filter("kinds > 1").select("key", "largest"), "key")
+
+
+def _apart(mixed: DataFrame) -> DataFrame:
+    """Plausible pairs of a bucket that lie in different groups; the bucket's largest group stands on one side only."""
+    fewer, every = mixed.filter("component <> largest").alias("x"), mixed.alias("y")
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.component") < F.col("y.component"))
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once
     joined = fewer.join(every, apart & _close("x", "y"))
