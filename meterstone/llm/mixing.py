@@ -29,7 +29,9 @@ NO_TOPIC = "general"
 #: without a weight get none.
 TARGETS: dict[str, float | Mapping[str, float]] = {"source": 0.7, "lang": 0.9, "topic": 0.95}
 #: Raking ends when no cell's factor moves by more than this share of the largest, or after this many sweeps.
-TOLERANCE, SWEEPS = 1e-11, 60
+TOLERANCE, SWEEPS = 1e-10, 60
+#: Cells that one task takes during fitting; up to as many need no shuffle.
+CELLS_PER_TASK = 1 << 17
 SEED = "mix-1"
 
 
@@ -66,6 +68,13 @@ def _per_token(value: Column) -> Column:
     return value / F.when(F.col("tokens") > 0, F.col("tokens"))
 
 
+def _one_step(cells: DataFrame, name: str) -> DataFrame:
+    """Weights that meet the margin of one dimension."""
+    joined = cells.join(cells.groupBy(name).agg(F.sum("weight").alias("_now")), name)
+    met = F.when(F.col("_now") > 0, F.col("weight") * F.col(f"_{name}") / F.col("_now")).otherwise(0.0)
+    return joined.withColumn("weight", met).select(cells.columns)
+
+
 def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] | None = None) -> DataFrame:
     """``cells`` of (dimensions.., tokens) with ``factor``, the raked tokens per token, the largest being 1.
 
@@ -81,14 +90,11 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] |
         share = margin.select(name, (F.col("wanted") / F.lit(whole or 1.0)).alias(f"_{name}"))
         fitted = fitted.join(share, name)
     fitted = through_table(fitted, "cells")
+    tasks = 1 + fitted.count() // CELLS_PER_TASK
     for _ in range(SWEEPS):
-        before = F.col("weight")
-        swept = fitted.withColumn("_before", before)
+        fitted = fitted.withColumn("_before", F.col("weight"))
         for name in targets:
-            margin = swept.groupBy(name).agg(F.sum("weight").alias("_now"))
-            swept = swept.join(margin, name)
-            swept = swept.withColumn("weight", F.when(F.col("_now") > 0, F.col("weight") * F.col(f"_{name}") / F.col("_now")).otherwise(0.0)).drop("_now")
-        fitted = through_table(swept, "cells")
+            fitted = through_table(_one_step(fitted.coalesce(tasks), name), "cells")
         moved, largest = fitted.agg(F.max(_per_token(F.abs(F.col("weight") - F.col("_before")))), F.max(_per_token(F.col("weight")))).first()
         fitted = fitted.drop("_before")
         if moved is None or moved <= TOLERANCE * largest:
