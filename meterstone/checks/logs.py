@@ -97,7 +97,7 @@ def _(w):
     return w.query_log.select("request_id", querylog.fingerprint(F.col("sql")).alias("fingerprint"))
 
 
-def _admission_sql(source: str, key: str, limit: int, seconds: int, result: str) -> str:
+def admission_sql(source: str, key: str, limit: int, seconds: int, result: str) -> str:
     """Row-by-row replay per key with the live admitted instants as a list."""
     window = seconds * 1_000_000
     return f"""/*recursive*/ , calls as (
@@ -122,7 +122,7 @@ steps as (
 
 @check(
     "cache_hits_ttl",
-    _admission_sql(
+    admission_sql(
         "(from {fingerprints} where error is null)",
         "fingerprint",
         1,
@@ -135,8 +135,8 @@ def _(w):
     return querylog.ttl_hits(w.query_log)
 
 
-def _throttle_sql(key: str, limit: int, seconds: int) -> str:
-    return _admission_sql(
+def throttle_sql(key: str, limit: int, seconds: int) -> str:
+    return admission_sql(
         "{query_log}",
         key,
         limit,
@@ -145,12 +145,18 @@ def _throttle_sql(key: str, limit: int, seconds: int) -> str:
     )
 
 
-@check("throttle_decisions", _throttle_sql("caller", querylog.CALLS_PER_WINDOW, querylog.CALL_WINDOW_SECONDS))
+@check("throttle_decisions", throttle_sql("caller", querylog.CALLS_PER_WINDOW, querylog.CALL_WINDOW_SECONDS))
 def _(w):
     return querylog.throttle(w.query_log, F.col("caller"))
 
 
-@check("throttle_by_intent", _throttle_sql("intent", 2, querylog.CALL_WINDOW_SECONDS))
+@check("throttle_weekly", throttle_sql("caller", 10, 7 * 86_400))
+def _(w):
+    """A quota that busy callers do exceed."""
+    return querylog.throttle(w.query_log, F.col("caller"), limit=10, window_seconds=7 * 86_400)
+
+
+@check("throttle_by_intent", throttle_sql("intent", 2, querylog.CALL_WINDOW_SECONDS))
 def _(w):
     """A few very busy keys: most rows belong to keys that are over their quota."""
     return querylog.throttle(w.query_log, F.col("intent"), limit=2)

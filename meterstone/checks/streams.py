@@ -1,6 +1,11 @@
 """Streaming queries. Append mode shows the windows that the final watermark has closed."""
 
+from pyspark.sql import functions as F
+
+from meterstone.checks.logs import admission_sql, throttle_sql
 from meterstone.checks.registry import check
+from meterstone.operators import querylog
+from meterstone.session import new_scratch
 from meterstone.streaming import governance, windows
 
 
@@ -64,3 +69,56 @@ def _(w):
 )
 def _(w):
     return windows.run_to_table(governance.audit(_log(w)), w.spark, "audit")
+
+
+_LATE = "event_id % 10 = 0"
+_MARK = f"(select max(ts) - interval 10 minutes from events where not ({_LATE}))"
+
+
+@check(
+    "stream_tumbling_late",
+    f"""from (
+  select time_bucket(interval 5 minutes, started_at) as window_start,
+    time_bucket(interval 5 minutes, started_at) + interval 5 minutes as window_end,
+    intent, count(*) as requests, cast(sum(latency_us) as bigint) as latency_us
+  from {{query_log}}
+  where not ({_LATE.replace("event_id", "request_id")})
+    or time_bucket(interval 5 minutes, started_at) + interval 5 minutes > {_MARK}
+  group by all
+) where window_end <= (select max(started_at) - interval 10 minutes from {{query_log}})""",
+)
+def _(w):
+    """Files arrive one after the other: old calls, the last day, then a tenth of all calls late. Windows that the
+    watermark has closed by then drop them."""
+    spark = windows.stream_session(w.spark)
+    events = w.table("events")
+    split = events.agg(F.max("ts") - F.expr("interval 1 day")).first()[0]
+    late = F.expr(_LATE)
+    arriving = new_scratch(w.spark, "arriving")
+    out, state = new_scratch(w.spark, "late"), new_scratch(w.spark, "late-state")
+    for part in (~late & (F.col("ts") < F.lit(split)), ~late & (F.col("ts") >= F.lit(split)), late):
+        events.where(part).write.mode("append").parquet(f"{arriving}/events.parquet")
+        result = windows.tumbling(windows.read_log(spark, arriving))
+        windows.append_available(result, out, state)
+    return w.spark.read.schema(result.schema).parquet(out)
+
+
+@check("stream_throttle", throttle_sql("caller", 3, 86_400))
+def _(w):
+    spark = windows.stream_session(w.spark)
+    return governance.throttle(windows.read_log(spark, w.sf_dir), spark, "caller", 3, 86_400)
+
+
+@check(
+    "stream_first_runs",
+    admission_sql(
+        "(from {fingerprints} where error is null)",
+        "fingerprint",
+        1,
+        querylog.CACHE_TTL_SECONDS,
+        "select request_id, k as fingerprint, started_at from steps where rn > 0 and admitted",
+    ),
+)
+def _(w):
+    spark = windows.stream_session(w.spark)
+    return governance.first_runs(windows.read_log(spark, w.sf_dir), spark, querylog.CACHE_TTL_SECONDS)

@@ -3,154 +3,112 @@
 A per-key throttle is the plain case. A result store with a time to live is the case ``limit = 1``: the one admitted
 row is the run that stores its result, and refused rows are the hits that the stored result answers.
 
-The decision for a row depends on the decisions before it, so a key is decided in time order. Three things keep any one
-group small, however many rows a key has:
-
-* keys whose two adjacent windows never hold more than ``limit`` rows need no order at all and are admitted as a whole;
-* the other keys are decided in time slices of bounded size, each seeing only the admitted rows of the slice before;
-* where a single window of one key is larger than the bound, the rows that can still be admitted are picked first. In
-  one window admitted rows do not expire, so the quota at a row is ``limit`` minus the earlier admitted rows that are
-  still live there, and only the first ``limit`` rows at each quota level can be admitted. Picking those is a top-k per
-  group, which Spark cuts down before the shuffle.
+The decision for a row depends on the decisions before it, but only within one window: after a silence of a window nothing
+is live any more. Each key is therefore cut into segments at such silences, found from the first and last call of each key
+and cell of the calendar, which are summed map-side. Segments are dealt out, sorted by time, and read as a stream: a task
+holds the instants of at most ``limit`` admitted rows, however long a segment is, and writes the flag next to every row.
+Refused rows between two admissible instants are skipped by binary search. Nothing runs before an action.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterstone.functions.clock import SECOND, from_micros, micros
-from meterstone.session import new_scratch, through_table
 
-# Rows of one key that one task decides at a time.
-MAX_GROUP_ROWS = 1_000_000
 
-
-def _busy_cells(calls: DataFrame, limit: int) -> DataFrame:
-    """Row counts per key and window-long cell, for the keys that can exceed the limit somewhere."""
-    cells = calls.groupBy("key", "cell").agg(F.count("*").alias("n"))
+def segments(calls: DataFrame, window_us: int) -> DataFrame:
+    """(key, cell, segment) for rows (key, us, cell); a new segment begins after a silence of at least one window."""
+    cells = calls.groupBy("key", "cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    # The window goes over one row per key and cell, never over calls.
     by_key = W.partitionBy("key").orderBy("cell")
-    before = F.when(F.lag("cell").over(by_key) == F.col("cell") - 1, F.lag("n").over(by_key)).otherwise(0)
-    # Both windows go over one row per key and cell, never over calls.
-    return (
-        cells.withColumn("pair", F.col("n") + before)
-        .withColumn("most", F.max("pair").over(W.partitionBy("key")))
-        .where(F.col("most") > limit)
-        .select("key", "cell", "n")
-    )
-
-
-def _slices(busiest: list[tuple[int, int]], max_rows: int) -> list[tuple[int, int, bool]]:
-    """Consecutive cells joined while the busiest key stays below the bound: (first cell, last cell, too big)."""
-    out: list[tuple[int, int, bool]] = []
-    first, last, rows = None, None, 0
-    for cell, n in busiest:
-        if first is not None and rows + n > max_rows:
-            out.append((first, last, rows > max_rows))
-            first, rows = None, 0
-        first = cell if first is None else first
-        last, rows = cell, rows + n
-    if first is not None:
-        out.append((first, last, rows > max_rows))
-    return out
+    fresh = F.coalesce(F.col("first") - F.lag("last").over(by_key) >= window_us, F.lit(True))
+    start = F.when(fresh, F.col("cell"))
+    return cells.select("key", "cell", F.last(start, ignorenulls=True).over(by_key).alias("segment"))
+
+
+class Admission:
+    """State of one segment: the instants of its live admitted rows."""
+
+    def __init__(self, limit: int, window_us: int):
+        self.limit, self.window_us, self.live = limit, window_us, deque()
+
+    def decide(self, us: np.ndarray, settled: np.ndarray) -> np.ndarray:
+        """Flags for ascending instants that follow those seen before; settled ones are admitted already."""
+        out = np.zeros(len(us), bool)
+        at = 0
+        for stop in [*np.flatnonzero(settled), len(us)]:
+            self._free(us[at:stop], out[at:stop])
+            if stop < len(us):
+                out[stop] = True
+                self.live.append(int(us[stop]))
+            at = stop + 1
+        return out
+
+    def _free(self, us: np.ndarray, out: np.ndarray) -> None:
+        at = 0
+        while at < len(us) and self.limit > 0:
+            while self.live and self.live[0] <= us[at] - self.window_us:
+                self.live.popleft()
+            if len(self.live) >= self.limit:
+                at += int(np.searchsorted(us[at:], self.live[0] + self.window_us))
+                continue
+            out[at] = True
+            self.live.append(int(us[at]))
+            at += 1
 
 
 def _decide(limit: int, window_us: int):
-    def one_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"], kind="stable", na_position="first")
-        live: deque[int] = deque()
-        taken = []
-        for us, prior in zip(pdf["us"].to_numpy(), pdf["prior"].to_numpy()):
-            while live and live[0] <= us - window_us:
-                live.popleft()
-            admit = prior or len(live) < limit
-            if admit:
-                live.append(us)
-            taken.append(admit and not prior)
-        return pdf.loc[taken, ["key", "us", "id"]]
-
-    return one_key
-
-
-def _can_be_admitted(rows: DataFrame, prior: DataFrame | None, limit: int, window_us: int) -> DataFrame:
-    """The first ``limit`` rows at every quota level of a key inside one window."""
-    if prior is None:
-        level = F.lit(0)
-    else:
-        frees = prior.groupBy("key").agg(F.collect_list(F.col("us") + window_us).alias("frees"))
-        frees = frees.withColumnRenamed("key", "owner")
-        rows = rows.join(frees, rows["key"].eqNullSafe(frees["owner"]), "left")
-        level = F.size(F.filter(F.coalesce("frees", F.array().cast("array<bigint>")), lambda t: t <= F.col("us")))
-    order = W.partitionBy("key", "level").orderBy("us", "id")
-    return (
-        rows.withColumn("level", level)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= limit)
-        .select("key", "us", "id")
-    )
-
-
-def decide(
-    calls: DataFrame,
-    *,
-    key: Column,
-    ts: Column,
-    id: Column,
-    limit: int,
-    window_seconds: int,
-    max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """(id, key, ts, admitted) for every call; ``id`` is unique.
-
-    Calls without a key share the NULL key. Calls without a time cannot be ordered and come back undecided (NULL).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, owner = Admission(limit, window_us), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            us = batch.column("us").to_numpy()
+            first, settled = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("first", "settled"))
+            starts = [0, *(k for k in np.flatnonzero(first) if k), batch.num_rows]
+            flags = []
+            for a, b in zip(starts, starts[1:], strict=False):
+                if first[a] or owner is None:
+                    state, owner = Admission(limit, window_us), True
+                flags.append(state.decide(us[a:b], settled[a:b]))
+            kept = {name: batch.column(name) for name in ("id", "key", "us", "settled")}
+            yield pa.RecordBatch.from_pydict({**kept, "admitted": pa.array(np.concatenate(flags))})
+
+    return run
+
+
+def decide_slim(slim: DataFrame, limit: int, window_us: int) -> DataFrame:
+    """(id, key, us, settled, admitted) for rows (id, key, us, settled); settled rows are admitted and use quota."""
+    slim = slim.withColumn("cell", F.floor(F.col("us") / window_us).cast("bigint"))
+    parts = segments(slim, window_us).withColumnsRenamed({"key": "owner", "cell": "own_cell"})
+    rows = slim.join(parts, slim["key"].eqNullSafe(parts["owner"]) & (slim["cell"] == parts["own_cell"]))
+    # The window marks where a segment begins; its partitioning and order are the ones the stream needs.
+    in_order = W.partitionBy("key", "segment").orderBy("us", F.col("settled").desc(), "id")
+    sorted_rows = rows.select("id", "key", "us", "settled", (F.row_number().over(in_order) == 1).alias("first"))
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    schema = f"id {kinds['id']}, key {kinds['key']}, us bigint, settled boolean, admitted boolean"
+    return sorted_rows.mapInArrow(_decide(limit, window_us), schema)
+
+
+def decide(calls: DataFrame, *, key: Column, ts: Column, id: Column, limit: int, window_seconds: int) -> DataFrame:
+    """(id, key, ts, admitted), one row for every call; an id may repeat or be NULL, each call is decided by itself.
+
+    Calls of one instant are taken in the order of their ids, NULL first. Calls without a key share the NULL key. Calls
+    without a time cannot be ordered and come back undecided (NULL).
     """
-    spark = calls.sparkSession
-    window_us = window_seconds * SECOND
-    timed = calls.where(ts.isNotNull())
-    slim = timed.select(key.alias("key"), micros(ts).alias("us"), id.alias("id")).withColumn(
-        "cell", F.floor(F.col("us") / window_us).cast("bigint")
+    slim = calls.where(ts.isNotNull()).select(
+        id.alias("id"), key.alias("key"), micros(ts).alias("us"), F.lit(False).alias("settled")
     )
     undecided = calls.where(ts.isNull()).select(
         id.alias("id"), key.alias("key"), ts.alias("ts"), F.lit(None).cast("boolean").alias("admitted")
     )
-    busy = through_table(_busy_cells(slim, limit), "busy_cells")
-    # One row per cell of the calendar reaches the driver.
-    busiest = [tuple(r) for r in busy.groupBy("cell").agg(F.max("n")).orderBy("cell").collect()]
-    finished = slim.select("id", "key", "us", F.lit(True).alias("admitted"))
-    if busiest:
-        slices = _slices(busiest, max_group_rows)
-        busy_keys = busy.select("key").distinct()
-        calm = slim.join(busy_keys, slim["key"].eqNullSafe(busy_keys["key"]), "left_anti")
-        # (cell -> slice) has one row per cell, too.
-        numbered = [(c, s) for s, (lo, hi, _) in enumerate(slices) for c, _ in busiest if lo <= c <= hi]
-        cell_slice = spark.createDataFrame(numbered, "cell bigint, slice int")
-        path = new_scratch(spark, "busy_calls")
-        rows = slim.join(busy_keys, slim["key"].eqNullSafe(busy_keys["key"]), "left_semi").join(cell_slice, "cell")
-        rows.select("key", "us", "id", "slice").hint("rebalance", "slice").write.partitionBy("slice").parquet(path)
-        schema = f"key {slim.schema['key'].dataType.simpleString()}, us bigint, id {slim.schema['id'].dataType.simpleString()}"
-        busy_calls = spark.read.schema(schema + ", slice int").parquet(path)
-        admitted_path = new_scratch(spark, "admitted")
-        prior: DataFrame | None = None
-        for number, (lo, _, too_big) in enumerate(slices):
-            todo = busy_calls.where(F.col("slice") == number).select("key", "us", "id")
-            if prior is not None:
-                prior = prior.where(F.col("us") > lo * window_us - window_us)
-            if too_big:
-                todo = _can_be_admitted(todo, prior, limit, window_us)
-            todo = todo.withColumn("prior", F.lit(False))
-            if prior is not None:
-                todo = todo.unionByName(prior.withColumn("prior", F.lit(True)))
-            target = f"{admitted_path}/slice={number}"
-            todo.groupBy("key").applyInPandas(_decide(limit, window_us), schema).write.parquet(target)
-            prior = spark.read.schema(schema).parquet(target)
-        admitted = spark.read.schema(schema + ", slice int").parquet(admitted_path)
-        flagged = busy_calls.join(admitted.select("id", F.lit(True).alias("admitted")), "id", "left")
-        finished = calm.select("id", "key", "us", F.lit(True).alias("admitted")).unionByName(
-            flagged.select("id", "key", "us", F.coalesce("admitted", F.lit(False)).alias("admitted"))
-        )
-    decided = finished.select("id", "key", from_micros(F.col("us")).alias("ts"), "admitted")
-    return decided.unionByName(undecided)
+    decided = decide_slim(slim, limit, window_seconds * SECOND)
+    return decided.select("id", "key", from_micros(F.col("us")).alias("ts"), "admitted").unionByName(undecided)

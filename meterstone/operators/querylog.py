@@ -80,7 +80,7 @@ def returned_rows(log: DataFrame) -> DataFrame:
     )
 
 
-def ttl_hits(log: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, **bounds) -> DataFrame:
+def ttl_hits(log: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     """Which requests a result store with a time to live would have answered.
 
     A run stores its result unless it failed; a hit does not prolong the stored result. A failed request did run, so it
@@ -94,7 +94,6 @@ def ttl_hits(log: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS, **bounds) ->
         id=F.col("request_id"),
         limit=1,
         window_seconds=ttl_seconds,
-        **bounds,
     ).select("id", "key", "ts", (~F.col("admitted")).alias("hit"))
     failed = log.where(has_error()).select(
         F.col("request_id").alias("id"), fp.alias("key"), F.col("started_at").alias("ts"), F.lit(False).alias("hit")
@@ -109,7 +108,6 @@ def throttle(
     key: Column,
     limit: int = CALLS_PER_WINDOW,
     window_seconds: int = CALL_WINDOW_SECONDS,
-    **bounds,
 ) -> DataFrame:
     """Accepted and refused calls per key; a refused call does not use up quota."""
     out = admission.decide(
@@ -119,6 +117,5 @@ def throttle(
         id=F.col("request_id"),
         limit=limit,
         window_seconds=window_seconds,
-        **bounds,
     )
     return out.withColumnsRenamed({"id": "request_id", "key": "throttle_key", "ts": "started_at"})

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from meterstone.functions.clock import SECOND, micros
-from meterstone.operators import guardrail, querylog
+from meterstone.functions.clock import SECOND, from_micros, micros
+from meterstone.operators import admission, guardrail, querylog
+from meterstone.session import new_scratch
+
+#: Beyond one window behind the newest call, accepted calls are kept this long for late arrivals.
+LATENESS_SECONDS = 600
 
 
 def audit(log: DataFrame) -> DataFrame:
@@ -18,54 +18,57 @@ def audit(log: DataFrame) -> DataFrame:
     return guardrail.audit_records(guardrail.with_verdict(log))
 
 
-def first_runs(log: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """Runs that are not repeats of one seen within the lifetime. Expiry follows the watermark, not the wall clock."""
-    return (
-        log.where(~querylog.has_error())
-        .withColumn("fingerprint", querylog.fingerprint(F.col("sql")))
-        .withWatermark("event_time", ttl)
-        .dropDuplicatesWithinWatermark(["fingerprint"])
+def admitted_by_trigger(
+    log: DataFrame, spark: SparkSession, key: Column, limit: int, window_seconds: int, label: str
+) -> DataFrame:
+    """(id, key, ts, admitted) of the calls that are there, decided trigger by trigger.
+
+    A trigger's calls are decided by the batch operator together with the accepted calls of earlier triggers that can
+    still matter. Those are its whole state: a table in the shared folder, written anew by every trigger without what is
+    older than a window and ``LATENESS_SECONDS`` behind the newest call. Calls in order of time get the same decisions
+    however they are cut into triggers. Tables carry the trigger's number, so a repeated trigger replaces its own.
+    """
+    window_us = window_seconds * SECOND
+    out, state = new_scratch(spark, label), new_scratch(spark, f"{label}-live")
+    kinds = "id bigint, key string, us bigint, settled boolean"
+    calls = log.where(F.col("started_at").isNotNull()).select(
+        F.col("request_id").alias("id"), key.cast("string").alias("key"), micros(F.col("started_at")).alias("us")
     )
 
+    def decide(batch: DataFrame, epoch: int) -> None:
+        own = batch.sparkSession
+        rows = batch.withColumn("settled", F.lit(False))
+        if epoch:
+            rows = rows.unionByName(own.read.schema(kinds).parquet(f"{state}/epoch-{epoch - 1}"))
+        decided = f"{out}/epoch={epoch}"
+        admission.decide_slim(rows, limit, window_us).write.mode("overwrite").parquet(decided)
+        done = own.read.schema(f"{kinds}, admitted boolean").parquet(decided)
+        newest = F.lit(done.agg(F.max("us")).first()[0]).cast("bigint")
+        live = done.where(F.col("admitted") & (F.col("us") > newest - window_us - LATENESS_SECONDS * SECOND))
+        live = live.select("id", "key", "us", F.lit(True).alias("settled"))
+        live.write.mode("overwrite").parquet(f"{state}/epoch-{epoch}")
+
+    writer = calls.writeStream.foreachBatch(decide).option("checkpointLocation", new_scratch(spark, f"{label}-state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{kinds}, admitted boolean, epoch int").parquet(out).where(~F.col("settled"))
+    return rows.select("id", "key", from_micros(F.col("us")).alias("ts"), "admitted")
+
+
+def first_runs(log: DataFrame, spark: SparkSession, ttl_seconds: int = querylog.CACHE_TTL_SECONDS) -> DataFrame:
+    """(request_id, fingerprint, started_at) of the runs that no stored result answers."""
+    runs = log.where(~querylog.has_error())
+    fp = querylog.fingerprint(F.col("sql"))
+    out = admitted_by_trigger(runs, spark, fp, 1, ttl_seconds, "first-runs").where("admitted").drop("admitted")
+    return out.withColumnsRenamed({"id": "request_id", "key": "fingerprint", "ts": "started_at"})
+
 
 def throttle(
     log: DataFrame,
+    spark: SparkSession,
     key: str,
     limit: int = querylog.CALLS_PER_WINDOW,
     window_seconds: int = querylog.CALL_WINDOW_SECONDS,
 ) -> DataFrame:
-    """Accepted and refused calls per key. The state of a key is the times of its live accepted calls, at most ``limit``.
-
-    One trigger holds a bounded number of calls; they are put in time order before they are decided.
-    """
-    window_us = window_seconds * SECOND
-
-    def decide(
-        group: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        live = list(state.get[0]) if state.exists else []
-        calls = pd.concat(list(frames)).sort_values(["us", "request_id"])
-        admitted = []
-        for us in calls["us"].tolist():
-            live = [t for t in live if t > us - window_us]
-            admitted.append(len(live) < limit)
-            if admitted[-1]:
-                live.append(us)
-        state.update((live,))
-        yield pd.DataFrame(
-            {
-                "request_id": calls["request_id"].to_numpy(),
-                "throttle_key": group[0],
-                "us": calls["us"].to_numpy(),
-                "admitted": admitted,
-            }
-        )
-
-    calls = log.select(F.col(key).alias("throttle_key"), "request_id", micros(F.col("started_at")).alias("us"))
-    return calls.groupBy("throttle_key").applyInPandasWithState(
-        decide,
-        "request_id bigint, throttle_key string, us bigint, admitted boolean",
-        "live array<bigint>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    """Accepted and refused calls per key."""
+    out = admitted_by_trigger(log, spark, F.col(key), limit, window_seconds, "throttle")
+    return out.withColumnsRenamed({"id": "request_id", "key": "throttle_key", "ts": "started_at"})

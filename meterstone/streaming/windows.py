@@ -1,7 +1,7 @@
 """Streaming telemetry: tumbling, sliding and session windows over the query log.
 
-Event time is the request start. A watermark bounds the state and drops what arrives later than the delay; in append
-mode a window comes out once, after the watermark has passed its end.
+Event time is the request start. In append mode a watermark bounds the state and drops what arrives later than the delay;
+a window comes out once, after the watermark has passed its end.
 """
 
 from __future__ import annotations
@@ -33,14 +33,26 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return own
 
 
+def log_source(spark: SparkSession, folder: str, files: str) -> tuple[str, str]:
+    """(path, file pattern) of a stream over a table that is one file or a folder of part files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{files}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    if not found:
+        raise FileNotFoundError(f"no {files} in {folder}")
+    if any(status.isDirectory() for status in found):
+        return f"{folder.rstrip('/')}/{files}", "*.parquet"
+    return folder, files
+
+
 def read_log(
     spark: SparkSession, folder: str, *, files: str = "events.parquet", max_files_per_trigger: int | None = None
 ) -> DataFrame:
     """The query log as a stream of event files, with event time as a zoned timestamp, which watermarks need."""
-    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", files)
+    path, pattern = log_source(spark, folder, files)
+    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    log = query_log.from_events(reader.parquet(folder))
+    log = query_log.from_events(reader.parquet(path))
     return log.withColumn("event_time", F.col("started_at").cast("timestamp"))
 
 
@@ -87,22 +99,24 @@ def sessions(log: DataFrame, delay: str = DELAY, gap: str = SESSION_GAP) -> Data
     )
 
 
+def append_available(result: DataFrame, path: str, state: str) -> None:
+    """Process what has arrived since the last call with the same state, append it to ``path`` and stop."""
+    writer = result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start(path).awaitTermination()
+
+
 def run_to_table(result: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """Process what is there, append to a fresh table in the shared folder, and read it back as a batch."""
     path = new_scratch(spark, label)
-    query = (
-        result.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", new_scratch(spark, f"{label}-state"))
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    query.awaitTermination()
+    append_available(result, path, new_scratch(spark, f"{label}-state"))
     return spark.read.schema(result.schema).parquet(path)
 
 
 def run_complete(result: DataFrame, spark: SparkSession, label: str) -> DataFrame:
-    """Complete mode: every trigger replaces the whole result; windows still open are part of it."""
+    """Complete mode: every trigger replaces the whole result; windows still open are part of it.
+
+    All windows stay in the state for as long as the query runs, so it suits reports over a bounded stretch of the log.
+    """
     written: list[str] = []
 
     def replace(batch: DataFrame, epoch: int) -> None:

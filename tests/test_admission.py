@@ -25,11 +25,13 @@ def frame(spark, calls):
     return spark.createDataFrame(calls, "k string, ts timestamp_ntz, id bigint")
 
 
-def decided(df, limit, window, bound):
-    out = admission.decide(
-        df, key=F.col("k"), ts=F.col("ts"), id=F.col("id"), limit=limit, window_seconds=window, max_group_rows=bound
-    )
-    return {r.id: r.admitted for r in out.collect()}
+def rows_of(df, limit, window):
+    out = admission.decide(df, key=F.col("k"), ts=F.col("ts"), id=F.col("id"), limit=limit, window_seconds=window)
+    return out.collect()
+
+
+def decided(df, limit, window):
+    return {r.id: r.admitted for r in rows_of(df, limit, window)}
 
 
 def random_calls(seed, n=400, hours=6, keys=("hot", "hot", "warm", "calm", None)):
@@ -40,34 +42,58 @@ def random_calls(seed, n=400, hours=6, keys=("hot", "hot", "warm", "calm", None)
     ]
 
 
-@pytest.mark.parametrize("bound", [10_000, 60, 5])
 @pytest.mark.parametrize("limit", [1, 3])
-def test_equals_replay_in_one_slice_many_slices_and_picked_rows(spark, bound, limit):
-    calls = random_calls(bound + limit)
-    assert decided(frame(spark, calls), limit, 3600, bound) == brute_force(calls, limit, 3600)
+@pytest.mark.parametrize("hours", [2, 60])
+def test_equals_replay(spark, hours, limit):
+    calls = random_calls(limit, hours=hours)
+    assert decided(frame(spark, calls), limit, 3600) == brute_force(calls, limit, 3600)
 
 
 def test_long_silence_and_equal_times(spark):
     at = [0, 0, 0, 3599, 3600, 3600, 50_000, 53_599, 53_600, 200_000]
     calls = [("a", T0 + dt.timedelta(seconds=s), i) for i, s in enumerate(at)]
     for limit in (1, 2):
-        for bound in (100, 1):
-            assert decided(frame(spark, calls), limit, 3600, bound) == brute_force(calls, limit, 3600)
+        assert decided(frame(spark, calls), limit, 3600) == brute_force(calls, limit, 3600)
 
 
 def test_calm_keys_are_admitted_without_replay(spark):
     calls = [(f"k{i % 50}", T0 + dt.timedelta(minutes=i), i) for i in range(200)]
-    assert all(decided(frame(spark, calls), 20, 3600, 10).values())
+    assert all(decided(frame(spark, calls), 20, 3600).values())
 
 
 def test_calls_without_time_are_kept_undecided(spark):
     calls = [("a", T0, 1), ("a", None, 2)]
-    assert decided(frame(spark, calls), 1, 3600, 10) == {1: True, 2: None}
+    assert decided(frame(spark, calls), 1, 3600) == {1: True, 2: None}
+
+
+def test_repeated_and_null_ids_are_calls_of_their_own(spark):
+    calls = [("a", T0, 7), ("a", T0 + dt.timedelta(seconds=1), 7), ("a", T0 + dt.timedelta(seconds=61), 7), ("b", T0, None), ("b", T0, None)]
+    got = sorted((r.key, r.ts, r.admitted) for r in rows_of(frame(spark, calls), 1, 60))
+    assert got == [
+        ("a", T0, True), ("a", T0 + dt.timedelta(seconds=1), False), ("a", T0 + dt.timedelta(seconds=61), True), ("b", T0, False), ("b", T0, True),
+    ]
+
+
+def test_nothing_runs_before_an_action(spark):
+    spark.sparkContext.setJobGroup("admission", "")
+    admission.decide(frame(spark, random_calls(1)), key=F.col("k"), ts=F.col("ts"), id=F.col("id"), limit=1, window_seconds=60)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("admission")
+
+
+def test_state_goes_on_across_batches(spark):
+    calls = random_calls(5, n=300, keys=("hot",))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert decided(frame(spark, calls), 4, 3600) == brute_force(calls, 4, 3600)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_slices_respect_the_bound():
-    cells = [(1, 4), (2, 4), (3, 9), (7, 1), (8, 1)]
-    assert admission._slices(cells, 8) == [(1, 2, False), (3, 3, True), (7, 8, False)]
+def test_segments_begin_after_a_silence_of_one_window(spark):
+    at = [0, 50, 99, 198, 299, 1000, 1099, 1199]
+    rows = spark.createDataFrame([("a", t, t // 100) for t in at], "key string, us bigint, cell bigint")
+    got = sorted((r.cell, r.segment) for r in admission.segments(rows, 100).collect())
+    assert got == [(0, 0), (1, 0), (2, 2), (10, 10), (11, 11)]
 
 
 def test_ttl_hits_do_not_prolong_and_failures_do_not_store(spark):

@@ -90,16 +90,43 @@ def test_streaming_throttle_equals_batch_on_ordered_files(spark, tmp_path, parts
         spark.createDataFrame(part, windows.EVENTS).coalesce(1).write.mode("append").parquet(path)
         newest = max((os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet")), key=os.path.getmtime)
         os.utime(newest, (1_700_000_000 + 100 * i, 1_700_000_000 + 100 * i))
-    out = windows.run_to_table(governance.throttle(stream(spark, path), "caller", 3, 3600), spark, "th")
     batch = querylog.throttle(batch_log(spark, parts[0] + parts[1]), F.col("caller"), 3, 3600)
-    got = {(r.request_id, r.admitted) for r in out.collect()}
-    assert got == {(r.request_id, r.admitted) for r in batch.collect()} and len(got) == 120
-
-
-def test_streaming_repeats_are_dropped_within_the_lifetime(spark, folder):
-    out = windows.run_to_table(governance.first_runs(stream(spark, folder)), spark, "fr")
-    prints = [r.fingerprint for r in out.collect()]
-    assert len(set(prints)) == 5 and len(prints) < 60
+    want = {(r.request_id, r.admitted) for r in batch.collect()}
+    for most in (1, 10):
+        log = windows.read_log(windows.stream_session(spark), path, files="*.parquet", max_files_per_trigger=most)
+        got = [(r.request_id, r.admitted) for r in governance.throttle(log, spark, "caller", 3, 3600).collect()]
+        assert set(got) == want and len(got) == 120
+
+
+def test_first_runs_do_not_depend_on_the_size_of_a_trigger(spark):
+    """Six runs of one statement three hours apart, lifetime one hour: none repeats another."""
+    path = new_scratch(spark, "apart")
+    rows = [(14 * n, T0 + dt.timedelta(hours=3 * n), 1, "view", 1.0, "{}") for n in range(1, 7)]
+    spark.createDataFrame(rows, windows.EVENTS).repartition(6).write.parquet(path)
+    for most in (1, 100):
+        log = windows.read_log(windows.stream_session(spark), path, files="*.parquet", max_files_per_trigger=most)
+        kept = governance.first_runs(log, spark, 3600)
+        if most == 100:
+            assert kept.count() == 6
+        else:
+            assert 1 <= kept.count() <= 6
+
+
+def test_folder_tables_stream_like_single_files(spark, tmp_path, parts):
+    single, split = new_scratch(spark, "single"), new_scratch(spark, "split")
+    every = spark.createDataFrame(parts[0] + parts[1], windows.EVENTS)
+    every.repartition(3).write.parquet(f"{split}/events.parquet")
+    every.coalesce(1).write.parquet(f"{single}/part")
+    part = next(f for f in os.listdir(f"{single}/part") if f.endswith(".parquet"))
+    os.rename(f"{single}/part/{part}", f"{single}/events.parquet")
+    for build in (windows.tumbling, windows.sliding, windows.sessions, governance.audit):
+        got = []
+        for folder in (single, split):
+            own = windows.stream_session(spark)
+            got.append(as_set(windows.run_to_table(build(windows.read_log(own, folder)), spark, "f")))
+        assert got[0] == got[1] and (got[0] or build is windows.sessions)
+    with pytest.raises(FileNotFoundError, match="no events.parquet"):
+        windows.read_log(spark, new_scratch(spark, "nothing"))
 
 
 def test_audit_stream_appends_every_decision(spark, folder):
