@@ -29,7 +29,8 @@ def _(w):
   avg(cast(cache_hit as integer)) as hit_ratio from {graded}""",
 )
 def _(w):
-    return telemetry.hit_ratio(_graded(w))
+    # The ratio needs no verdict, so it reads the plain log.
+    return telemetry.hit_ratio(w.query_log)
 
 
 def _buckets_sql(value: str, bounds, total: str, by: str, key: str) -> str:
@@ -41,7 +42,7 @@ def _buckets_sql(value: str, bounds, total: str, by: str, key: str) -> str:
 select {key} b.i as bucket, b.le, cast(b.bound as double) as bound,
   count(*) filter (where b.bound is null or g.v <= b.bound) as cumulative, count(*) as observations,
   {total} as total
-from (select *, {value} as v {by} from {{graded}} where not rejected) g
+from (select * replace (ifnull(nullif(intent, ''), 'unknown') as intent), {value} as v {by} from {{graded}} where not rejected) g
 cross join (values {rows}) as b(i, le, bound)
 group by all"""
 
@@ -61,7 +62,7 @@ _COST_TOTAL = "cast(sum(micro) as double) / 1000000.0"
 )
 def _(w):
     log = _graded(w)
-    latency = telemetry.latency_histogram(log, ["intent"]).withColumn("histogram", F.lit("latency"))
+    latency = telemetry.latency_histogram(log, [telemetry.intent_label()]).withColumn("histogram", F.lit("latency"))
     cost = telemetry.cost_histogram(log, [F.lit("all").alias("intent")]).withColumn("histogram", F.lit("cost"))
     return latency.unionByName(cost)
 
@@ -84,7 +85,7 @@ where cumulative >= q * observations and (below < q * observations or bucket = 0
     _quantile_sql(_buckets_sql(_LATENCY, telemetry.LATENCY_BOUNDS, _LATENCY_TOTAL, "", "intent,"), "intent"),
 )
 def _(w):
-    return telemetry.quantiles(telemetry.latency_histogram(_graded(w), ["intent"]), ["intent"])
+    return telemetry.quantiles(telemetry.latency_histogram(_graded(w), [telemetry.intent_label()]), ["intent"])
 
 
 _WINDOW_START = "time_bucket(interval 5 minutes, started_at)"
@@ -129,7 +130,7 @@ def _(w):
 @check("tel_rate_per_minute", _sliding_sql("not rejected", "", 1, 60))
 def _(w):
     log = _graded(w).where(~F.col("rejected"))
-    return telemetry.sliding_rate(log, [], window="1 minute", seconds=60, per=60)
+    return telemetry.sliding_rate(log, [], seconds=60, per=60)
 
 
 @check("tel_rejection_rate", _sliding_sql("rejected", "reason", 5, 1))
@@ -147,6 +148,51 @@ def _(w):
     return telemetry.mean_cost(_graded(w))
 
 
+_EACH_WINDOW = """(
+  select *, unnest(generate_series(
+    time_bucket(interval 15 seconds, started_at) - interval 285 seconds,
+    time_bucket(interval 15 seconds, started_at), interval 15 seconds)) as window_start
+  from {graded} where not rejected
+)"""
+
+
+@check(
+    "tel_mean_cost_sliding",
+    f"""select window_start, count(*) as requests, cast(sum(micro) as double) / 1000000.0 as cost_usd,
+  {r2("cast(sum(micro) as double) / count(*) / 1000000.0", 8)} as mean_cost_usd
+from {_EACH_WINDOW} group by all""",
+)
+def _(w):
+    return telemetry.sliding_mean_cost(_graded(w))
+
+
+@check(
+    "tel_quantiles_sliding",
+    _quantile_sql(
+        _buckets_sql(_LATENCY, telemetry.LATENCY_BOUNDS, _LATENCY_TOTAL, "", "window_start, intent,").replace(
+            "{graded} where not rejected", _EACH_WINDOW
+        ),
+        "window_start, intent",
+    ),
+)
+def _(w):
+    return telemetry.sliding_latency_quantiles(_graded(w))
+
+
+@check(
+    "tel_cost_quantiles_5m",
+    _quantile_sql(
+        _buckets_sql(
+            "cost_usd", telemetry.COST_BOUNDS, _COST_TOTAL, f", {_WINDOW_START} as window_start", "window_start,"
+        ),
+        "window_start",
+    ),
+)
+def _(w):
+    start = F.window("started_at", "5 minutes").getField("start").alias("window_start")
+    return telemetry.quantiles(telemetry.cost_histogram(_graded(w), [start]), ["window_start"])
+
+
 @check(
     "tel_in_flight",
     """select ts, cast(sum(sum(step)) over (order by ts) as bigint) as in_flight

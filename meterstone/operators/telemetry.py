@@ -18,9 +18,11 @@ from meterstone.operators import guardrail, querylog
 LATENCY_BOUNDS = (0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 30.0)
 COST_BOUNDS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05)
 QUANTILES = (0.5, 0.95, 0.99)
-RATE_WINDOW = "5 minutes"
-RATE_STEP = "15 seconds"
+RATE_SECONDS = 300
 STEP_SECONDS = 15
+# Steps of one day; running sums start anew in each block with the balance that earlier blocks leave.
+BLOCK_STEPS = 5760
+UNKNOWN = "unknown"
 
 
 def graded(log: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def counters(log: DataFrame) -> DataFrame:
     none = F.lit(None)
     answered = F.when(~F.col("rejected"), F.col("n"))
     entries = F.array(
-        counter("queries", F.coalesce("intent", F.lit("unknown")), F.col("confidence"), answered),
+        counter("queries", intent_label(), F.col("confidence"), answered),
         counter("rejections", F.col("reason"), none, F.when(F.col("rejected"), F.col("n"))),
         counter("cache", F.when(F.col("cache_hit"), "hit").otherwise("miss"), none, F.col("n")),
         counter("sql_retries", none, none, F.col("retries")),
@@ -87,11 +89,15 @@ def histogram(
     log: DataFrame, value: Column, bounds: tuple[float, ...], by: list[str | Column], total: Column
 ) -> DataFrame:
     """Cumulative bucket counts with the sum and count of a histogram, one pass over the log."""
-    wide = log.groupBy(*by).agg(
-        *[F.count_if(value <= b).alias(f"b{i}") for i, b in enumerate(bounds)],
-        F.count(value).alias("observations"),
-        total.alias("total"),
-    )
+    return _buckets(log.groupBy(*by).agg(*_bucket_sums(value, bounds), total.alias("total")), bounds)
+
+
+def _bucket_sums(value: Column, bounds: tuple[float, ...]) -> list[Column]:
+    return [*[F.count_if(value <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(value).alias("observations")]
+
+
+def _buckets(wide: DataFrame, bounds: tuple[float, ...]) -> DataFrame:
+    """One row per bucket instead of one column."""
     cells = [
         F.struct(
             F.lit(i).cast("bigint").alias("bucket"),
@@ -105,6 +111,11 @@ def histogram(
     return wide.select(*keys, F.inline(F.array(*cells)))
 
 
+def intent_label() -> Column:
+    """The intent, or a label of its own where it is missing or empty."""
+    return F.coalesce(F.nullif("intent", F.lit("")), F.lit(UNKNOWN)).alias("intent")
+
+
 def latency_seconds() -> Column:
     return F.col("latency_us").cast("double") / float(SECOND)
 
@@ -152,51 +163,89 @@ def quantiles(buckets: DataFrame, by: list[str], wanted: tuple[float, ...] = QUA
     )
 
 
-def cells(log: DataFrame, by: list[str], seconds: int = STEP_SECONDS) -> DataFrame:
-    """Counts per label and short time cell."""
-    return (
-        log.groupBy(F.window("started_at", f"{seconds} seconds").alias("w"), *by)
-        .agg(F.count("*").alias("n"), F.sum("cost_micro_usd").alias("cost_micro_usd"))
-        .select(F.col("w.start").alias("cell"), *by, "n", "cost_micro_usd")
-    )
-
-
-def sliding_rate(
-    log: DataFrame, by: list[str], window: str = RATE_WINDOW, seconds: int = 300, per: int = 1
+def sliding(
+    log: DataFrame, by: list[Column], measures: list[Column], seconds: int, block_steps: int = BLOCK_STEPS
 ) -> DataFrame:
-    """Requests per second (times ``per``) in every sliding window that holds any.
+    """(window_start, labels, measures) of every sliding window, one per step, that holds any request.
 
-    Requests are counted into steps first; a window is a whole number of steps, so only cells are copied into the
-    windows that cover them.
+    ``measures`` are additive and the first one counts requests. Requests are summed into steps; a step's sums enter at
+    the first window that covers it and leave after the last, so each cell makes two rows and not one per window. Running
+    sums go over the changes of one label and block of time, with the block's opening balance as its first row; windows
+    between two changes are alike and are listed at the end.
     """
-    return (
-        cells(log, by)
-        .groupBy(F.window("cell", window, RATE_STEP).alias("w"), *by)
-        .agg(F.sum("n").alias("requests"))
-        .select(
-            F.col("w.start").alias("window_start"),
-            *by,
-            "requests",
-            round_to(F.col("requests").cast("double") * per / float(seconds), 6).alias("rate"),
-        )
+    width = seconds // STEP_SECONDS
+    block_steps = max(block_steps, width)  # what enters in one block leaves in the next one at the latest
+    labels, names = log.select(*by).columns, log.groupBy().agg(*measures).columns
+    step = F.floor(micros(F.col("started_at")) / F.lit(STEP_SECONDS * SECOND)).cast("bigint")
+    cells = log.groupBy(step.alias("step"), *by).agg(*measures)
+    change = F.explode(F.array(*[
+        F.struct((F.col("step") + at).alias("at"), F.lit(sign).alias("sign")) for at, sign in ((1 - width, 1), (1, -1))
+    ])).alias("change")
+    changes = cells.select(*labels, *names, change).groupBy(*labels, F.col("change.at").alias("at"))
+    changes = changes.agg(*[F.sum(F.col(n) * F.col("change.sign")).alias(n) for n in names])
+    changes = changes.withColumn("block", F.floor(F.col("at") / block_steps).cast("bigint"))
+    earlier = W.partitionBy(*labels).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    opening = changes.groupBy(*labels, "block").agg(*[F.sum(n).alias(n) for n in names])
+    opening = opening.select(
+        *labels,
+        "block",
+        (F.col("block") * block_steps).alias("at"),
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in names],
     )
+    inside = W.partitionBy(*labels, "block").orderBy("at")
+    rows = changes.unionByName(opening).select(
+        *labels,
+        "at",
+        *[F.sum(n).over(inside.rangeBetween(W.unboundedPreceding, W.currentRow)).alias(n) for n in names],
+        F.coalesce(F.lead("at").over(inside), (F.col("block") + 1) * block_steps).alias("next"),
+    )
+    alike = F.explode(F.sequence("at", F.col("next") - 1))
+    held = rows.where((F.col(names[0]) > 0) & (F.col("next") > F.col("at")))
+    return held.select(alike.alias("at"), *labels, *names).select(
+        from_micros(F.col("at") * (STEP_SECONDS * SECOND)).alias("window_start"), *labels, *names
+    )
+
+
+def _requests() -> Column:
+    return F.count("*").alias("requests")
+
+
+def sliding_rate(log: DataFrame, by: list[str], seconds: int = RATE_SECONDS, per: int = 1) -> DataFrame:
+    """Requests per second (times ``per``) in every sliding window that holds any."""
+    rate = round_to(F.col("requests").cast("double") * per / float(seconds), 6).alias("rate")
+    return sliding(log, [F.col(c) for c in by], [_requests()], seconds).select("*", rate)
+
 
+def sliding_latency_quantiles(log: DataFrame, seconds: int = RATE_SECONDS) -> DataFrame:
+    """Latency quantiles by intent over sliding windows."""
+    answered = log.where(~F.col("rejected"))
+    measures = [_requests(), *_bucket_sums(latency_seconds(), LATENCY_BOUNDS)]
+    wide = sliding(answered, [intent_label()], measures, seconds).drop("requests")
+    return quantiles(_buckets(wide, LATENCY_BOUNDS), ["window_start", "intent"])
 
-def mean_cost(log: DataFrame, window: str = RATE_WINDOW) -> DataFrame:
+
+def _cost_columns() -> list[Column]:
+    micro, requests = F.col("micro").cast("double"), F.col("requests").cast("double")
+    return [(micro / 1e6).alias("cost_usd"), round_to(micro / requests / 1e6, 8).alias("mean_cost_usd")]
+
+
+def mean_cost(log: DataFrame, window: str = "5 minutes") -> DataFrame:
     """Mean cost per answered request in tumbling windows."""
     return (
         log.where(~F.col("rejected"))
         .groupBy(F.window("started_at", window).alias("w"))
-        .agg(F.sum("cost_micro_usd").alias("micro"), F.count("*").alias("requests"))
-        .select(
-            F.col("w.start").alias("window_start"),
-            "requests",
-            (F.col("micro").cast("double") / 1e6).alias("cost_usd"),
-            round_to(F.col("micro").cast("double") / F.col("requests").cast("double") / 1e6, 8).alias("mean_cost_usd"),
-        )
+        .agg(F.sum("cost_micro_usd").alias("micro"), _requests())
+        .select(F.col("w.start").alias("window_start"), "requests", *_cost_columns())
     )
 
 
+def sliding_mean_cost(log: DataFrame, seconds: int = RATE_SECONDS) -> DataFrame:
+    """Mean cost per answered request in sliding windows."""
+    measures = [_requests(), F.sum("cost_micro_usd").alias("micro")]
+    rows = sliding(log.where(~F.col("rejected")), [], measures, seconds)
+    return rows.select("window_start", "requests", *_cost_columns())
+
+
 def in_flight(log: DataFrame, cell_seconds: int = 60) -> DataFrame:
     """Open requests after every instant at which a request starts or ends.
 

@@ -42,6 +42,26 @@ def test_sliding_windows_count_every_request_in_each_window(spark):
     assert len(got) == 40 and sum(got.values()) == 5 * 20
 
 
+def test_sliding_windows_cross_blocks_of_time(spark):
+    rng = random.Random(3)
+    calls = [(T0 + dt.timedelta(seconds=rng.randrange(4000)), rng.choice(["a", None]), rng.randrange(9)) for _ in range(80)]
+    log = spark.createDataFrame(calls, "started_at timestamp_ntz, intent string, n bigint")
+    measures = [F.count("*").alias("requests"), F.sum("n").alias("n")]
+    got = {(r.window_start, r.intent): (r.requests, r.n) for r in telemetry.sliding(log, [F.col("intent")], measures, 300, 21).collect()}
+    want = {}
+    for at, intent, n in calls:
+        last = T0 + dt.timedelta(seconds=(at - T0).total_seconds() // 15 * 15)
+        for k in range(20):
+            key = last - dt.timedelta(seconds=15 * k), intent
+            want[key] = tuple(a + b for a, b in zip(want.get(key, (0, 0)), (1, n)))
+    assert got == want
+
+
+def test_missing_intents_have_a_label(spark):
+    log = spark.createDataFrame([(None,), ("",), ("x",)], "intent string")
+    assert [r.intent for r in log.select(telemetry.intent_label()).collect()] == ["unknown", "unknown", "x"]
+
+
 def test_confidence_grades(spark):
     rows = [("x", 5, 0), (None, 0, 0), (None, 5, 1), (None, 201, 0), (None, 200, 0), (None, None, 0), ("", 5, 0)]
     log = spark.createDataFrame(rows, "error string, row_count bigint, retries bigint")
