@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from meterstone.checks.ctes import dsum, r2
-from meterstone.checks.registry import check
+from meterstone.checks.registry import stored_check as check
 from meterstone.operators import governed
 from meterstone.plans import questions, revenue
 

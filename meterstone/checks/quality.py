@@ -1,7 +1,7 @@
 """Queries for data tests, inventory and sources."""
 
 from meterstone.checks.ctes import listed, quoted
-from meterstone.checks.registry import check
+from meterstone.checks.registry import stored_check as check
 from meterstone.config import DEFAULTS
 from meterstone.operators import inventory, quality
 from meterstone.session import new_scratch
@@ -147,8 +147,11 @@ def _floor_sql(name: str, low: int) -> str:
     )
 
 
+_RAW = ("raw_users", "raw_events", "raw_subscriptions", "raw_payments")
+
+
 def _raw_and_staging(w):
-    raw = {n: w.raw(n) for n in ("raw_users", "raw_events", "raw_subscriptions", "raw_payments")}
+    raw = {n: w.raw(n) for n in _RAW}
     return {**raw, **w.staging_views}
 
 
@@ -158,7 +161,7 @@ def _(w):
 
 
 @check(
-    "inventory_missing",
+    "inventory_rows",
     "\nunion all\n".join(
         f"select {quoted(n)} as table_name, (select count(*) from {_CTE[n]}) as rows, false as missing"
         for n in inventory.EXPECTED_TABLES
@@ -168,6 +171,18 @@ def _(w):
     return inventory.inventory({**_raw_and_staging(w), **w.marts})
 
 
+_ABSENT = ("stg_payments", "mart_funnel_analysis")
+
+
+@check("inventory_missing", f"from (values {', '.join(f'({quoted(n)})' for n in (*_ABSENT, *_RAW))}) as t(table_name)")
+def _(w):
+    """A catalog in which the raw tables and two views were never created."""
+    session = w.spark.newSession()
+    w.register_views(session, leave_out=_ABSENT)
+    names = [(n,) for n in inventory.missing_tables(session).toPandas()["table_name"]]
+    return w.spark.createDataFrame(names, "table_name string")
+
+
 @check(
     "preview_rows",
     "\nunion all\n".join(

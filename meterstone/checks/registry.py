@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterstone.checks.ctes import with_ctes
+from meterstone.plans.stored import StoredWarehouse
 from meterstone.plans.warehouse import Warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,12 +30,12 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[column(f) for f in df.schema.fields])
 
 
-def check(name: str, sql: str | None = None):
+def check(name: str, sql: str | None = None, frames: type[Warehouse] = Warehouse):
     """Register ``build(warehouse)`` under ``name``; ``sql`` may use the shared table expressions of ctes.py."""
 
     def wrap(build: Callable[[Warehouse], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return plain(build(Warehouse(spark, sf_dir)))
+            return plain(build(frames(spark, sf_dir)))
 
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
@@ -44,3 +45,8 @@ def check(name: str, sql: str | None = None):
         return build
 
     return wrap
+
+
+def stored_check(name: str, sql: str | None = None):
+    """``check`` for a consumer of staging and marts, which reads the written layer."""
+    return check(name, sql, StoredWarehouse)

@@ -2,7 +2,7 @@
 
 
 from meterstone.checks.ctes import dsum
-from meterstone.checks.registry import check
+from meterstone.checks.registry import check, stored_check
 from meterstone.plans import exports, funnel, retention, revenue, user_metrics
 
 _USER_COLUMNS = "user_id, email, signup_date, plan, acquisition_channel, country, company_size"
@@ -178,7 +178,7 @@ def _davg(column: str) -> str:
     return f"{dsum(column)} / nullif(count({column}), 0)"
 
 
-@check(
+@stored_check(
     "export_mrr_trend",
     f"""select metric_month, plan, {dsum("mrr")} as mrr, {dsum("arr")} as arr,
   cast(sum(paying_customers) as bigint) as paying_customers,
@@ -190,12 +190,12 @@ def _(w):
     return exports.mrr_trend(w.revenue_metrics)
 
 
-@check("export_cohort_retention", "select * exclude (churned_users) from {mart_retention} where retention_period <= 12")
+@stored_check("export_cohort_retention", "select * exclude (churned_users) from {mart_retention} where retention_period <= 12")
 def _(w):
     return exports.cohort_retention(w.cohort_retention)
 
 
-@check(
+@stored_check(
     "export_funnel",
     "select * exclude (activation_to_paid_rate_pct, paid_to_retained_rate_pct) from {mart_funnel} where signups > 0",
 )
@@ -203,7 +203,7 @@ def _(w):
     return exports.funnel_analysis(w.funnel_analysis)
 
 
-@check(
+@stored_check(
     "export_dau_trend",
     "select metric_date, plan, country, acquisition_channel, cast(sum(daily_active_users) as bigint) as dau, "
     "cast(sum(new_user_activations) as bigint) as new_activations from {mart_users} group by all",

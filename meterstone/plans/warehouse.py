@@ -51,10 +51,12 @@ class Warehouse:
             "stg_payments": self.payments,
         }
 
-    def register_views(self) -> None:
-        """Expose staging and marts as temp views: lazy and always fresh."""
-        for name, df in {**self.staging_views, **self.marts}.items():
-            df.createOrReplaceTempView(name)
+    def register_views(self, session: SparkSession | None = None, leave_out: tuple[str, ...] = ()) -> None:
+        """Expose staging and marts as temp views: lazy and always fresh. Views belong to one session."""
+        own = self if session is None else type(self)(session, self.sf_dir, self.settings)
+        for name, df in {**own.staging_views, **own.marts}.items():
+            if name not in leave_out:
+                df.createOrReplaceTempView(name)
 
     @cached_property
     def user_metrics(self) -> DataFrame:
