@@ -369,16 +369,21 @@ CTES["seasonal"] = (
     + """
   select *, 1.96 * stddev_samp(y - expected) over (partition by metric) as half
   from (
-    select s.metric, s.ds, s.y,
-      intercept + slope * (s.ds - date '2000-01-01')
-        + avg(s.y - (intercept + slope * (s.ds - date '2000-01-01')))
-            over (partition by s.metric, isodow(s.ds)) as expected
-    from {series} s
-    join (
-      select metric, regr_slope(y, ds - date '2000-01-01') as slope,
-        regr_intercept(y, ds - date '2000-01-01') as intercept
-      from {series} group by metric having count(*) >= 14
-    ) t on t.metric = s.metric
+    select metric, ds, y, trend + season
+      + if(daily, avg(y - trend - season) over (partition by metric, isodow(ds)), 0.0) as expected
+    from (
+      select *, if(yearly, avg(y - trend) over (partition by metric, month(ds)), 0.0) as season
+      from (
+        select s.metric, s.ds, s.y, intercept + slope * (s.ds - date '2000-01-01') as trend, yearly, daily
+        from {series} s
+        join (
+          select metric, regr_slope(y, ds - date '2000-01-01') as slope,
+            regr_intercept(y, ds - date '2000-01-01') as intercept,
+            max(ds) - min(ds) >= 730 as yearly, max(day(ds)) > 1 as daily
+          from {series} group by metric having count(*) >= 14
+        ) t on t.metric = s.metric
+      )
+    )
   )
 ) where y < expected - half or y > expected + half
 """

@@ -162,6 +162,36 @@ def _(w):
     )
 
 
+@check(
+    "governed_filter_in",
+    f"""select event_month, count(distinct a.user_id) as monthly_active_users
+from {_ACTIVE_WITH_USER} where plan in ('pro', 'starter') group by all order by event_month desc limit 100""",
+)
+def _(w):
+    """A user who is counted under two plans' rows stays one user."""
+    return governed.query_metric(w, "monthly_active_users", where=[("plan", "in", ("pro", "starter"))])
+
+
+@check(
+    "governed_filter_not",
+    f"""select metric_month, country, {_MRR} from {{mart_revenue}} where plan != 'free' group by all
+order by metric_month desc, country nulls last limit 100""",
+)
+def _(w):
+    return governed.query_metric(w, "monthly_recurring_revenue", ["country"], where=[("plan", "!=", "free")])
+
+
+@check(
+    "governed_filter_range",
+    f"""select cohort_month, {_RETENTION} from {{mart_funnel}}
+where country >= 'NATION_2' and country < 'NATION_5' and plan != 'free' group by all
+order by cohort_month desc nulls last limit 100""",
+)
+def _(w):
+    where = [("country", ">=", "NATION_2"), ("country", "<", "NATION_5"), ("plan", "!=", "free")]
+    return governed.query_metric(w, "thirty_day_retention_rate", where=where)
+
+
 @check("governed_query_churn_by_country", _churn_sql("country,") + " order by metric_month desc, country limit 100")
 def _(w):
     return governed.query_metric(w, "churn_rate", ["country"])

@@ -15,6 +15,8 @@ SIGMA_THRESHOLD = 3.0
 MIN_HISTORY = 14
 WINDOW_ROWS = 30
 MIN_POINTS = 7
+# A yearly effect needs two years.
+YEARLY_DAYS = 730
 BAND_Z = 1.96
 FEED_SIZE = 20
 
@@ -101,10 +103,11 @@ def sigma(
 
 
 def seasonal(series: DataFrame, z: float = BAND_Z, min_history: int = MIN_HISTORY) -> DataFrame:
-    """Points outside a band around linear trend plus weekday effect.
+    """Points outside a band around linear trend plus yearly and weekly effects.
 
-    Two grouped aggregates joined back: the trend per metric, then the mean residual per metric and weekday. The band
-    is z residual deviations wide on each side.
+    The yearly effect is the mean residual of a month of the year, for series of at least ``YEARLY_DAYS``; the weekly one
+    is the mean of what is left by weekday, for series with points on other days than the first of a month. The band is z
+    residual deviations wide on each side.
     """
     x = F.datediff("ds", F.lit("2000-01-01").cast("date")).cast("double")
     trend = (
@@ -114,6 +117,8 @@ def seasonal(series: DataFrame, z: float = BAND_Z, min_history: int = MIN_HISTOR
             F.regr_slope("y", "x").alias("slope"),
             F.regr_intercept("y", "x").alias("intercept"),
             F.count("*").alias("history"),
+            (F.datediff(F.max("ds"), F.min("ds")) >= YEARLY_DAYS).alias("yearly"),
+            (F.max(F.dayofmonth("ds")) > 1).alias("daily"),
         )
         .where(F.col("history") >= min_history)
     )
@@ -123,8 +128,13 @@ def seasonal(series: DataFrame, z: float = BAND_Z, min_history: int = MIN_HISTOR
         .withColumn("weekday", F.weekday("ds"))
         .withColumn("residual", F.col("y") - F.col("trend"))
     )
-    fitted = detrended.withColumn(
-        "expected", F.col("trend") + F.avg("residual").over(W.partitionBy("metric", "weekday"))
+    by_month = F.avg("residual").over(W.partitionBy("metric", F.month("ds")))
+    left = detrended.withColumn("season", F.when(F.col("yearly"), by_month).otherwise(0.0)).withColumn(
+        "rest", F.col("residual") - F.col("season")
+    )
+    by_weekday = F.avg("rest").over(W.partitionBy("metric", "weekday"))
+    fitted = left.withColumn(
+        "expected", F.col("trend") + F.col("season") + F.when(F.col("daily"), by_weekday).otherwise(0.0)
     )
     spread = F.stddev_samp(F.col("y") - F.col("expected")).over(W.partitionBy("metric"))
     banded = fitted.withColumn("half", F.lit(z) * spread).withColumns(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +34,18 @@ _OPERATORS: dict[str, Callable[[Column, object], Column]] = {
 }
 
 
-def daily_active(w: Warehouse, dims: Sequence[str], grain: str) -> DataFrame:
-    out = user_metrics.active_users_by(w.users, w.events, grain, tuple(dims))
+def _kept(mart: DataFrame, keep: Column | None) -> DataFrame:
+    """Mart rows that pass the filters, before anything is grouped."""
+    return mart if keep is None else mart.where(keep)
+
+
+def daily_active(w: Warehouse, dims: Sequence[str], grain: str, keep: Column | None = None) -> DataFrame:
+    out = user_metrics.active_users_by(w.users, w.events, grain, tuple(dims), keep)
     return out.withColumnsRenamed({"period": "metric_date", "active_users": "daily_active_users"})
 
 
-def monthly_active(w: Warehouse, dims: Sequence[str], grain: str = "month") -> DataFrame:
-    out = user_metrics.active_users_by(w.users, w.events, "month", tuple(dims))
+def monthly_active(w: Warehouse, dims: Sequence[str], grain: str = "month", keep: Column | None = None) -> DataFrame:
+    out = user_metrics.active_users_by(w.users, w.events, "month", tuple(dims), keep)
     return out.withColumnsRenamed({"period": "event_month", "active_users": "monthly_active_users"})
 
 
@@ -49,34 +56,34 @@ def monthly_active_as_written(daily: DataFrame) -> DataFrame:
     )
 
 
-def retention30(w: Warehouse, dims: Sequence[str], grain: str = "month") -> DataFrame:
+def retention30(w: Warehouse, dims: Sequence[str], grain: str = "month", keep: Column | None = None) -> DataFrame:
     """Numerator and denominator are summed first, then divided."""
     keys = list(dict.fromkeys(["cohort_month", *dims]))
     return (
-        w.funnel_analysis.groupBy(*keys)
+        _kept(w.funnel_analysis, keep).groupBy(*keys)
         .agg(F.sum("signups").alias("signups"), F.sum("day30_retained").alias("day30_retained"))
         .withColumn("day30_retention_rate_pct", round_to(share(F.col("day30_retained"), F.col("signups"))))
     )
 
 
-def recurring_revenue(w: Warehouse, dims: Sequence[str], grain: str = "month") -> DataFrame:
-    return w.revenue_metrics.groupBy("metric_month", *dims).agg(
+def recurring_revenue(w: Warehouse, dims: Sequence[str], grain: str = "month", keep: Column | None = None) -> DataFrame:
+    return _kept(w.revenue_metrics, keep).groupBy("metric_month", *dims).agg(
         exact_sum(F.col("mrr")).alias("mrr"),
         exact_sum(F.col("arr")).alias("arr"),
         F.sum("paying_customers").alias("paying_customers"),
     )
 
 
-def lifetime_value(w: Warehouse, dims: Sequence[str], grain: str = "month") -> DataFrame:
+def lifetime_value(w: Warehouse, dims: Sequence[str], grain: str = "month", keep: Column | None = None) -> DataFrame:
     """Plain average of the mart's slice estimates, which carry no weights; slices without churn have none."""
-    return w.revenue_metrics.groupBy("metric_month", *dims).agg(
+    return _kept(w.revenue_metrics, keep).groupBy("metric_month", *dims).agg(
         *[exact_avg(F.col(c)).alias(c) for c in ("estimated_ltv", "estimated_cac", "ltv_to_cac_ratio")]
     )
 
 
-def churn_rate(w: Warehouse, dims: Sequence[str], grain: str = "month") -> DataFrame:
+def churn_rate(w: Warehouse, dims: Sequence[str], grain: str = "month", keep: Column | None = None) -> DataFrame:
     """Churn repeats over the channels of a slice in the mart, so it is taken once per month, plan and country."""
-    per_slice = w.revenue_metrics.groupBy("metric_month", "plan", "country").agg(
+    per_slice = _kept(w.revenue_metrics, keep).groupBy("metric_month", "plan", "country").agg(
         F.max("churned_customers").alias("churned_customers"), F.sum("paying_customers").alias("paying_customers")
     )
     return (
@@ -129,18 +136,16 @@ def query_metric(
 ) -> DataFrame:
     """One certified metric by allowed dimensions, newest period first unless ``order_by`` names a column.
 
-    Filters on dimensions become group keys of the metric, so Catalyst pushes them below the aggregation.
+    Filters on dimensions, whether or not they are among ``dims``, choose the rows that are counted; filters on the period
+    choose the periods shown. A NULL dimension passes no filter.
     """
     _validate(name, dims, grain, where)
     m = metric(name)
-    filter_dims = [c for c, _, _ in where if c != m.time_column]
-    keys = list(dict.fromkeys([*dims, *filter_dims]))
-    single = all(op == "=" for c, op, _ in where if c != m.time_column and c not in dims)
-    if not single:
-        raise GovernanceError("a filter other than = needs its column among the dimensions")
-    out = _BUILDERS[name](w, keys, grain or m.grains[0])
+    rows = [_OPERATORS[op](F.col(column), value) for column, op, value in where if column != m.time_column]
+    out = _BUILDERS[name](w, list(dict.fromkeys(dims)), grain or m.grains[0], reduce(and_, rows) if rows else None)
     for column, op, value in where:
-        out = out.where(_OPERATORS[op](F.col(column), value))
+        if column == m.time_column:
+            out = out.where(_OPERATORS[op](F.col(column), value))
     kept = list(dict.fromkeys([m.time_column, *dims]))
     if order_by is not None and order_by not in (*kept, *m.columns):
         raise GovernanceError(f"cannot order by {order_by}")

@@ -99,6 +99,13 @@ def duplicates(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _repeated(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many values of each column occur more than once: one grouped count for all columns of a table."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])
+    counted = df.select(F.inline(cells)).where("value is not null").groupBy("i", "value").agg(F.count("*").alias("n"))
+    return counted.where("n > 1").agg(*[F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(len(columns))])
+
+
 def _row(rule: Rule, failures: Column) -> Column:
     return F.struct(
         F.lit(rule.test).alias("test"),
@@ -115,7 +122,7 @@ def _row(rule: Rule, failures: Column) -> Column:
 def run_rules(
     tables: Mapping[str, DataFrame], rules: Sequence[Rule] = RULES, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """One row per rule. All row rules of a table share one scan; each unique rule adds one grouped count.
+    """One row per rule. All row rules of a table share one scan, all unique rules one grouped count.
 
     A column's accepted values count violating rows here; ``unaccepted_values`` lists the values.
     """
@@ -129,10 +136,10 @@ def run_rules(
             counts = df.agg(*[F.count_if(c).alias(f"n{i}") for i, (_, c) in enumerate(by_row)])
             cells = F.array(*[_row(r, F.col(f"n{i}")) for i, (r, _) in enumerate(by_row)])
             parts.append(counts.select(F.inline(cells)))
-        for r in own:
-            if r.test == "unique":
-                n = duplicates(df, r.column).agg(F.count("*").alias("n"))
-                parts.append(n.select(F.inline(F.array(_row(r, F.col("n"))))))
+        unique = [r for r in own if r.test == "unique"]
+        if unique:
+            n = _repeated(df, [r.column for r in unique])
+            parts.append(n.select(F.inline(F.array(*[_row(r, F.col(f"n{i}")) for i, r in enumerate(unique)]))))
     return reduce(DataFrame.unionByName, parts)
 
 

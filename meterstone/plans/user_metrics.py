@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -82,17 +82,24 @@ def user_metrics(users: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def active_users_by(users: DataFrame, events: DataFrame, grain: str, dims: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct active users per day, week or month: a true regroup of user-days, never a sum of daily counts."""
+def active_users_by(
+    users: DataFrame, events: DataFrame, grain: str, dims: tuple[str, ...] = (), keep: Column | None = None
+) -> DataFrame:
+    """Distinct active users per day, week or month: a true regroup of user-days, never a sum of daily counts.
+
+    ``keep`` is a condition on user columns; users it is not true for are not counted.
+    """
     start = {
         "day": F.col("event_date"),
         "week": week_start(F.col("event_date")),
         "month": month_start(F.col("event_date")),
     }[grain]
-    if dims:
+    if dims or keep is not None:
         base = user_daily_activity(users, events)
     else:
         base = active_user_days(events)
+    if keep is not None:
+        base = base.where(keep)
     return (
         base.select(start.alias("period"), *dims, "user_id")
         .distinct()

@@ -63,3 +63,11 @@ def test_seasonal_alert_wins_and_ids_are_stable(spark):
     approved = anomaly.apply_approvals(feed, feed.select("id").union(feed.select("id")))
     assert [r.commentary_approved for r in approved.collect()] == [True]
     assert anomaly.latest(feed, 5).count() == 1
+
+
+def test_a_yearly_peak_is_expected_and_another_one_is_not(spark):
+    days = [dt.date(2019 + m // 12, m % 12 + 1, 1) for m in range(60)]
+    values = [100.0 + (50 if d.month == 12 else 0) + (40 if d == dt.date(2022, 6, 1) else 0) for d in days]
+    rows = spark.createDataFrame([("monthly", d, v) for d, v in zip(days, values)], SCHEMA)
+    flagged = {r.ds for r in anomaly.seasonal(rows).collect()}
+    assert dt.date(2022, 6, 1) in flagged and not any(d.month == 12 for d in flagged)

@@ -22,7 +22,6 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
         ("daily_active_users", {"where": [("phone", "=", "1")]}),
         ("daily_active_users", {"where": [("user_id", "=", "U1")]}),
         ("daily_active_users", {"where": [("plan", "like", "p%")]}),
-        ("daily_active_users", {"where": [("country", "in", ("US", "UK"))]}),
         ("daily_active_users", {"order_by": "user_id"}),
     ],
 )
