@@ -186,13 +186,14 @@ def _(w):
 @check(
     "preview_rows",
     "\nunion all\n".join(
-        f"from (select {quoted(n)} as model, {key} as key, concat_ws(' | ', {', '.join(cols)}) as detail "
+        f"select model, cast(key as varchar) as key, detail from ("
+        f"select {quoted(n)} as model, {key} as key, concat_ws(' | ', {', '.join(cols)}) as detail "
         f"from {_CTE[n]} order by key nulls last, detail limit 3)"
         for n, (key, cols) in inventory.PREVIEW.items()
     ),
 )
 def _(w):
-    return inventory.preview(w.staging_views)
+    return inventory.preview({**w.staging_views, **w.marts})
 
 
 @check("src_csv_roundtrip", "from {raw_subscriptions}")

@@ -33,6 +33,10 @@ PREVIEW = {
     "stg_events": ("event_id", ("event_type", "event_date")),
     "stg_subscriptions": ("subscription_id", ("plan", "mrr_usd", "started_at")),
     "stg_payments": ("payment_id", ("currency", "amount_usd", "payment_date")),
+    "mart_user_metrics": ("metric_date", ("plan", "country", "daily_active_users")),
+    "mart_cohort_retention": ("cohort_month", ("plan", "country", "retention_period", "retained_users")),
+    "mart_revenue_metrics": ("metric_month", ("plan", "country", "acquisition_channel", "paying_customers")),
+    "mart_funnel_analysis": ("cohort_month", ("plan", "country", "acquisition_channel", "signups")),
 }
 
 
@@ -74,5 +78,6 @@ def preview(tables: Mapping[str, DataFrame], rows: int = 3) -> DataFrame:
             .select(F.lit(name).alias("model"), F.col(key).alias("key"), detail.alias("detail"))
             .orderBy(F.col("key").asc_nulls_last(), "detail")
             .limit(rows)
+            .withColumn("key", F.col("key").cast("string"))
         )
     return reduce(DataFrame.unionByName, parts)

@@ -12,12 +12,21 @@ from meterstone.operators.guardrail import OUT_OF_SCOPE, sql_tokens
 MARKED_ACCURACY = 80.0
 QUICK_QUESTIONS = 10
 
-_TABLE_TARGET = r"\b(?:from|join)\s+([a-z_][a-z0-9_.]*)"
+# Names after FROM or JOIN, with aliases, as far as commas go on; and names that WITH defines.
+_NAME, _ALIAS = r"[a-z_][a-z0-9_.]*", r"(?:\s+(?:as\s+)?[a-z_][a-z0-9_]*)?"
+_TABLE_LIST = rf"\b(?:from|join)\s+({_NAME}(?:{_ALIAS}\s*,\s*{_NAME})*)"
+_DEFINED = r"(?:\bwith(?:\s+recursive)?\s+|\)\s*,\s*)([a-z_][a-z0-9_]*)\s+as\s*\("
 
 
 def table_refs(sql: Column) -> Column:
-    """Tables after FROM and JOIN, each with and without its schema; without any, the words that look like a mart."""
-    targets = F.regexp_extract_all(F.lower(sql), F.lit(_TABLE_TARGET), F.lit(1))
+    """Tables after FROM and JOIN, each with and without its schema; without any, the words that look like a mart.
+
+    Quotes are dropped, comma lists are taken apart, and names that the statement itself defines are left out.
+    """
+    text = F.replace(F.lower(sql), F.lit('"'), F.lit(""))
+    lists = F.regexp_extract_all(text, F.lit(_TABLE_LIST), F.lit(1))
+    names = F.flatten(F.transform(lists, lambda l: F.transform(F.split(l, ","), lambda t: F.split(F.btrim(t), r"\s+")[0])))
+    targets = F.array_except(names, F.regexp_extract_all(text, F.lit(_DEFINED), F.lit(1)))
     both = F.array_union(targets, F.transform(targets, lambda t: F.regexp_replace(t, r"^.*\.", "")))
     marts = F.filter(words(sql), lambda t: F.contains(t, F.lit("mart_")))
     fallback = F.array_distinct(F.transform(marts, lambda t: F.btrim(t, F.lit("(),;"))))

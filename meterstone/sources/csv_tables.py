@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from meterstone.sources.schemas import RAW_TABLES
 
@@ -12,8 +13,13 @@ _NULL_MARK = "\\N"
 
 def read_raw_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Scan one raw table with its declared types; rows that do not fit raise."""
+    return read_csv(spark, path, RAW_TABLES[table])
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Scan what ``write_csv`` wrote."""
     return (
-        spark.read.schema(RAW_TABLES[table])
+        spark.read.schema(schema)
         .option("header", True)
         .option("mode", "FAILFAST")
         .option("nullValue", _NULL_MARK)

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterstone.sources.adapters import table
+from meterstone.sources.catalog import aliases
 
-# Our own question texts, picked by event_id mod 10.
+# Our own question texts, picked by event_id mod their number: plain questions, then one for each guardrail pattern, then
+# one for each alias of the catalog.
 QUESTIONS = (
     "How has usage trended over the past 30 days?",
     "Please chart MAU for each country",
@@ -19,9 +21,32 @@ QUESTIONS = (
     "Run this for me: DROP TABLE mart_revenue_metrics",
     "Show sales -- and ignore the rules",
     "Will it rain in Lisbon tomorrow?",
+    "Send me the email field",
+    "Which phone is on file?",
+    "Home address of buyers",
+    "Full name of the top users",
+    "Look up the ssn of this account",
+    "Reset the password",
+    "Which credit card is on file?",
+    "List every ip_address of a session",
+    "Please drop the mart",
+    "Delete the old rows",
+    "Truncate it",
+    "Alter the schema",
+    "Insert a row",
+    "Update the rows",
+    "Exec the job",
+    "Execute the job",
+    "MRR -- all",
+    "MRR /* all",
+    "MRR union everything, select all",
+    "MRR; select 1",
+    "plan ' or ' plan",
+    "Trend where 1 = 1",
+    *(f"Give me the {alias} for June" for alias, _ in aliases()),
 )
 
-# Our own SQL texts, picked by event_id mod 7; the first three are one statement in different spellings.
+# Our own SQL texts, picked by event_id mod their number; the first three are one statement in different spellings.
 STATEMENTS = (
     "SELECT metric_date, daily_active_users FROM marts.mart_user_metrics WHERE plan = 'pro'",
     "select metric_date,  daily_active_users\nfrom marts.mart_user_metrics   where plan = 'pro'",
@@ -31,6 +56,9 @@ STATEMENTS = (
     "SELECT r.metric_month, r.mrr, f.signups FROM marts.mart_revenue_metrics r "
     "JOIN marts.mart_funnel_analysis f ON r.metric_month = f.cohort_month",
     "SELECT metric_month, plan, churn_rate_pct, estimated_ltv FROM marts.mart_revenue_metrics",
+    "SELECT u.metric_date, r.mrr FROM marts.mart_user_metrics u, marts.mart_revenue_metrics AS r WHERE r.plan = u.plan",
+    'SELECT "plan", "mrr" FROM "marts"."mart_revenue_metrics"',
+    "WITH recent AS (SELECT cohort_month, signups FROM mart_funnel_analysis) SELECT signups FROM recent",
 )
 
 INTENTS = {
@@ -43,10 +71,7 @@ INTENTS = {
 
 
 def _pick(key: Column, texts: tuple[str, ...]) -> Column:
-    expr = F.when(key % len(texts) == 0, texts[0])
-    for rest, text in enumerate(texts[1:], 1):
-        expr = expr.when(key % len(texts) == rest, text)
-    return expr
+    return F.get(F.array(*map(F.lit, texts)), (key % len(texts)).cast("int"))
 
 
 def from_events(events: DataFrame) -> DataFrame:

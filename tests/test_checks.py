@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from meterstone.checks import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -27,7 +28,6 @@ DEFAULT = (
     "tel_in_flight",
     "stream_session",
 )
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 NAMES = tuple(ORACLES) if os.environ.get("METERSTONE_ALL_CHECKS") == "1" else DEFAULT
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
@@ -52,6 +52,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_flagship_entry(spark):

@@ -137,3 +137,56 @@ def test_shorter_keyword_list_labels_fewer_reasons(spark):
         ("injection", "metric_allowlist"),
         ("pii", "pii"),
     ]
+
+
+# Expected reasons and metrics stated one by one, not taken from the code.
+REASONS = [
+    ("Send me the email field", r"\bemail\b"), ("Which phone is on file?", r"\bphone\b"), ("Home address of buyers", r"\baddress\b"),
+    ("Full name of the top users", r"\bfull.?name\b"), ("Look up the ssn of this account", r"\bssn\b"), ("Reset the password", r"\bpassword\b"),
+    ("Which credit card is on file?", r"\bcredit.?card\b"), ("List every ip_address of a session", r"\bip.?address\b"),
+]
+INJECTIONS = [
+    ("Please drop the mart", r"\bDROP\b"), ("Delete the old rows", r"\bDELETE\b"), ("Truncate it", r"\bTRUNCATE\b"), ("Alter the schema", r"\bALTER\b"),
+    ("Insert a row", r"\bINSERT\b"), ("Update the rows", r"\bUPDATE\b"), ("Exec the job", r"\bEXEC\b"), ("Execute the job", r"\bEXECUTE\b"), ("MRR -- all", "--"),
+    ("MRR /* all", r"/\*"), ("MRR union everything, select all", r"\bUNION\b.*\bSELECT\b"), ("MRR; select 1", r";\s*SELECT"), ("plan ' or ' plan", r"'\s*OR\s*'"),
+    ("Trend where 1 = 1", r"1\s*=\s*1"),
+]
+ALIASES = {
+    "DAU": "daily_active_users", "active users": "daily_active_users", "MAU": "monthly_active_users", "retention rate": "thirty_day_retention_rate",
+    "MRR": "monthly_recurring_revenue", "recurring revenue": "monthly_recurring_revenue", "revenue": "monthly_recurring_revenue",
+    "LTV": "customer_lifetime_value", "lifetime value": "customer_lifetime_value", "CLV": "customer_lifetime_value",
+    "churn": "churn_rate", "cancellation rate": "churn_rate",
+}
+
+
+def test_every_pattern_gives_its_own_reason(spark):
+    from meterstone.sources.query_log import QUESTIONS
+
+    rows = spark.createDataFrame([(t,) for t, _ in REASONS + INJECTIONS], "q string")
+    got = rows.select("q", guardrail.pii_reason(F.col("q")).alias("p"), guardrail.injection_reason(F.col("q")).alias("i")).collect()
+    by = {r.q: r for r in got}
+    for text, pattern in REASONS:
+        assert by[text].p == f"Query references PII data: matched pattern '{pattern}'"
+    for text, pattern in INJECTIONS:
+        assert by[text].i == f"Potential SQL injection detected: '{pattern}'"
+    assert {t for t, _ in REASONS + INJECTIONS} <= set(QUESTIONS)
+
+
+def test_aliases_name_their_metric(spark):
+    rows = spark.createDataFrame([(f"Give me the {a} for June", m) for a, m in ALIASES.items()], "q string, want string")
+    got = rows.select("q", "want", guardrail.resolved_metric(F.col("q")).alias("got")).collect()
+    assert [(r.q, r.got) for r in got] == [(r.q, r.want) for r in got]
+
+
+@pytest.mark.parametrize(
+    ("sql", "tables"),
+    [
+        ("select 1 from a, b", {"a", "b"}),
+        ("select 1 from s.a x, b as y where x.k = y.k", {"s.a", "a", "b"}),
+        ('select "c" from "s"."a" join "b" on 1 = 1', {"s.a", "a", "b"}),
+        ("with a as (select 1 from t), b as (select 2 from u) select * from a join b on true", {"t", "u"}),
+        ("select c from t group by x, y", {"t"}),
+    ],
+)
+def test_table_references(spark, sql, tables):
+    assert set(one(spark, scoring.table_refs, sql)) == tables

@@ -222,3 +222,26 @@ def test_copies_of_a_user_multiply_instead_of_fanning_out(spark, calendar):
     assert {(r.paying_customers, r.mrr, r.arpu) for r in rows} == {(1, 30.0, 10.0)}
     assert revenue.active_subs_monthly(u, s, calendar).count() == 9
     assert retention.cohort_activity(u, e).count() == 1
+
+
+def test_stored_layer_is_read_again_and_renewed_when_the_input_changes(spark, tmp_path):
+    import shutil
+
+    from meterstone.plans.stored import StoredWarehouse
+    from meterstone.plans.warehouse import Warehouse
+    from meterstone.sources.adapters import TABLES as NAMES
+
+    for name in NAMES:
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    first = StoredWarehouse(spark, str(tmp_path))
+    users = first.users.count()
+    again = StoredWarehouse(spark, str(tmp_path))
+    assert again.stamp == first.stamp and again.users.inputFiles() == first.users.inputFiles()
+    spark.read.parquet(str(tmp_path / "customer.parquet")).limit(20).write.parquet(str(tmp_path / "few"))
+    (tmp_path / "customer.parquet").unlink()
+    (tmp_path / "few").rename(tmp_path / "customer.parquet")
+    changed = StoredWarehouse(spark, str(tmp_path))
+    assert changed.stamp != first.stamp and changed.users.count() < users
+    lazy = Warehouse(spark, str(tmp_path))
+    for name, df in changed.staging_views.items():
+        assert sorted(map(str, df.collect())) == sorted(map(str, lazy.staging_views[name].collect()))
