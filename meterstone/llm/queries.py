@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from meterstone.llm import chat, exact, lm, mixing, pieces, pq, quality, secret_scan, superminhash, warc
 from meterstone.llm.tables import table
 
-#: The model of the registered encoding; its bytes travel with the tasks.
-PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,8 +23,13 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def piece_model() -> bytes:
-    with open(PIECE_MODEL, "rb") as f:
+def piece_model(path: str | None = None) -> bytes:
+    """The serialised model of the registered encoding, read on the driver; its bytes travel with the tasks."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
         return f.read()
 
 
