@@ -45,7 +45,28 @@ def scratch_root(spark: SparkSession) -> str:
 
 def new_scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created or reused."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _paths(spark).append(path)
+    return path
+
+
+def _paths(spark: SparkSession) -> list[str]:
+    """What this application has written to; sessions of one application share the list."""
+    context = spark.sparkContext
+    if not hasattr(context, "_meterstone_paths"):
+        context._meterstone_paths = []
+    return context._meterstone_paths
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. Frames that still read them can't be used afterwards.
+
+    The written staging and mart layer stays, since it is kept for other sessions.
+    """
+    paths = _paths(spark)
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def through_table(df: DataFrame, label: str) -> DataFrame:
