@@ -9,6 +9,7 @@ document. Fitting needs the bounded samples alone; features and scores cover who
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,13 +87,13 @@ def text_features(array: pa.Array) -> np.ndarray:
 
 
 def _slots(array: pa.Array, seed: int) -> np.ndarray:
+    """One-hot of a label's hash; null is a label of its own."""
     coded = array.cast(pa.string()).dictionary_encode()
     names = [b"\0null" if x is None else x.encode() for x in coded.dictionary.to_pylist()]
-    salt = np.uint64(seed)
-    value = np.array([int.from_bytes(n[:8].ljust(8, b"\0"), "little") ^ sum(c << (i % 48) for i, c in enumerate(n)) for n in [*names, b"\0null"]], np.uint64)
+    value = np.array([zlib.crc32(n) for n in [*names, b"\0null"]], np.uint64)
     index = coded.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)
     out = np.zeros((len(array), LABEL_SLOTS), np.float32)
-    out[np.arange(len(array)), (mix(value + salt) % np.uint64(LABEL_SLOTS)).astype(np.int64)[index]] = 1
+    out[np.arange(len(array)), (mix(value + np.uint64(seed << 32)) % np.uint64(LABEL_SLOTS)).astype(np.int64)[index]] = 1
     return out
 
 
