@@ -10,17 +10,28 @@ from meterstone.sources import catalog, golden, sinks
 
 _VERDICT = "passed, metric_check, pii_check, injection_check, rejection_reason, out_of_scope"
 
-# Columns of the four marts.
-MART_COLUMNS = sorted(
-    set(
-        """metric_date event_week event_month plan country acquisition_channel daily_active_users new_user_activations
-        total_events dau cohort_month retention_period cohort_size retained_users retention_rate_pct churned_users
-        metric_month paying_customers mrr arr arpu churned_customers churned_mrr churn_rate_pct estimated_cac
-        estimated_ltv ltv_to_cac_ratio net_revenue dirty_payment_rows signups activations conversions day30_retained
-        activation_rate_pct signup_to_paid_rate_pct day30_retention_rate_pct activation_to_paid_rate_pct
-        paid_to_retained_rate_pct""".split()
-    )
-)
+# Columns of the four marts, in the marts' order.
+_MARTS = {
+    "mart_user_metrics": (
+        "metric_date", "event_week", "event_month", "plan", "country", "acquisition_channel", "daily_active_users",
+        "new_user_activations", "total_events", "dau",
+    ),
+    "mart_cohort_retention": (
+        "cohort_month", "retention_period", "plan", "country", "cohort_size", "retained_users", "retention_rate_pct",
+        "churned_users",
+    ),
+    "mart_revenue_metrics": (
+        "metric_month", "plan", "country", "acquisition_channel", "paying_customers", "mrr", "arr", "arpu",
+        "churned_customers", "churned_mrr", "churn_rate_pct", "estimated_cac", "estimated_ltv", "ltv_to_cac_ratio",
+        "net_revenue", "dirty_payment_rows",
+    ),
+    "mart_funnel_analysis": (
+        "cohort_month", "plan", "country", "acquisition_channel", "signups", "activations", "conversions", "day30_retained",
+        "activation_rate_pct", "signup_to_paid_rate_pct", "day30_retention_rate_pct", "activation_to_paid_rate_pct",
+        "paid_to_retained_rate_pct",
+    ),
+}
+MART_COLUMNS = list(dict.fromkeys(c for columns in _MARTS.values() for c in columns))
 
 
 @check("guard_pii", "select request_id, pii_check, pii_reason from {verdicts}")

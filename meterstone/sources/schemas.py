@@ -1,27 +1,20 @@
 """Declared column types of the raw tables; nothing is inferred."""
 
-from pyspark.sql import types as T
-
-
-def _struct(strings: str, doubles: str = "", booleans: str = "", order: str = "") -> T.StructType:
-    kinds = {n: T.StringType() for n in strings.split()}
-    kinds |= {n: T.DoubleType() for n in doubles.split()}
-    kinds |= {n: T.BooleanType() for n in booleans.split()}
-    return T.StructType([T.StructField(n, kinds[n], True) for n in (order or strings).split()])
-
-
-RAW_USERS = _struct("user_id email signup_date plan acquisition_channel country company_size")
-RAW_EVENTS = _struct("event_id user_id event_type event_timestamp session_id properties")
-RAW_SUBSCRIPTIONS = _struct(
-    "subscription_id user_id plan started_at ended_at billing_interval",
-    doubles="mrr_usd",
-    order="subscription_id user_id plan mrr_usd started_at ended_at billing_interval",
+# Names, types and order of the raw columns.
+RAW_USERS = (
+    "user_id string, email string, signup_date string, plan string, acquisition_channel string, country string, "
+    "company_size string"
+)
+RAW_EVENTS = (
+    "event_id string, user_id string, event_type string, event_timestamp string, session_id string, properties string"
+)
+RAW_SUBSCRIPTIONS = (
+    "subscription_id string, user_id string, plan string, mrr_usd double, started_at string, ended_at string, "
+    "billing_interval string"
 )
-RAW_PAYMENTS = _struct(
-    "payment_id user_id subscription_id currency payment_date payment_method",
-    doubles="amount_usd",
-    booleans="refund_flag",
-    order="payment_id user_id subscription_id amount_usd currency refund_flag payment_date payment_method",
+RAW_PAYMENTS = (
+    "payment_id string, user_id string, subscription_id string, amount_usd double, currency string, refund_flag boolean, "
+    "payment_date string, payment_method string"
 )
 
 RAW_TABLES = {
