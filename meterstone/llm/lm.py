@@ -14,7 +14,6 @@ words, only those are shuffled (with exact counts). Words of at least ``WORD_SHA
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 

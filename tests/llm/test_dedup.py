@@ -5,7 +5,6 @@ import re
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from meterstone.llm import exact, graph, superminhash
 from tests.llm.helpers import ODD_TEXTS, shingles, smallest_reachable
