@@ -6,16 +6,19 @@ and its failure arc carries L(state), the mass that the arcs leave. So each stat
 n-grams are kept. A text is traversed once from left to right: each word follows the arc of the current state, or failure
 arcs until one fits, adds the logarithms on the way and leads to the longest state that ends in it.
 
-All training tokens are counted. An n-gram is kept if its share of the N tokens is at least ``PAIR_SHARE``, which bounds
-the broadcast automaton by 1 / PAIR_SHARE arcs an order at any corpus size; since a frequent n-gram consists of frequent
-words, only those are shuffled (with exact counts). Words of at least ``WORD_SHARE`` travel with the tasks, at most
-1 / WORD_SHARE of them; counts of all other words reach their documents by a join.
+All training tokens are counted, and every pair and triple of words that occurs at least ``LEAST`` times is kept at any
+corpus size. Texts become written chunks of word codes. In a first round each chunk sends short fingerprints of its distinct
+n-grams to buckets, which answer whether a fingerprint occurs often enough; no kept n-gram fails that. The rest goes to
+buckets dealt by state, with its state's own count: a bucket sees all arcs of its states and answers each chunk, in the
+order asked, with exact counts. Only what a chunk asked for comes back to it, so no task holds the automaton. A state with
+at least ``WORD_SHARE`` of the tokens is spread over all buckets by its arcs; the totals of these states, at most
+2 / WORD_SHARE an order, travel with the tasks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +27,23 @@ from pyspark.sql import functions as F
 
 from meterstone.llm.tables import text_of
 from meterstone.llm.words import hashed_words, mix
-from meterstone.session import through_table
+from meterstone.session import new_scratch, through_table
 
 #: Documents with crc32(doc_id as text) mod FOLDS equal to HELD_OUT are not learnt from.
 FOLDS, HELD_OUT = 5, 1
-WORD_SHARE = 2.0**-22
-PAIR_SHARE = 2.0**-16
+#: Least count of a kept pair or triple, and least share of the training tokens (none).
+LEAST, PAIR_SHARE = 2, 0.0
+WORD_SHARE = 2.0**-10
 DISCOUNT = 0.5
-#: Distinct keys that a task holds before it passes its counts on.
-HELD_KEYS = 1 << 20
-#: Bytes of text traversed at once.
-BYTES = 4 << 20
+#: Bytes of text in a chunk, and tokens of the table for each bucket of an order.
+BYTES, BUCKET_TOKENS = 6 << 20, 1 << 20
+#: Bits of a fingerprint besides those that tell the bucket: about 1 of 2**8 other n-grams passes the first round by chance.
+PRINT_BITS = 29
 
 END = mix(np.array([0x5E4D0F7E87], np.uint64))[0]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for the word in the record of a state itself; words have 48 bits there.
+_ITSELF = np.uint64(1 << 48)
 
 
 def held_out() -> Column:
@@ -44,200 +51,268 @@ def held_out() -> Column:
     return F.crc32(key) % FOLDS == HELD_OUT
 
 
-def _tokens(array: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, token hashes with one end each, place of each token in its row)."""
-    for first, last, hashes, at in hashed_words(array, BYTES):
-        counts = np.diff(at) + 1
-        rows = np.repeat(np.arange(last - first), counts)
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        out = np.full(int(starts[-1]), END)
-        place = np.arange(len(out)) - starts[rows]
-        out[place < counts[rows] - 1] = hashes
-        yield first, last, out, place
-
-
-def _summed(parts: Iterator[np.ndarray], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    """Counts of 64-bit keys, added up in the task as long as few are held; Spark adds up the rest."""
-
-    def batch(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)].view(np.int64)), pa.array(counts[k : k + (1 << 16)])], names=list(names))
-
-    held_keys, held_counts, size = [], [], 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = np.concatenate(held_keys), np.concatenate(held_counts)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(counts, first)
-
-    for part in parts:
-        if not len(part):
-            continue
-        keys, counts = np.unique(part, return_counts=True)
-        held_keys.append(keys)
-        held_counts.append(counts.astype(np.int64))
-        size += len(keys)
-        if size >= 2 * HELD_KEYS:
-            keys, counts = merged()
-            if len(keys) >= HELD_KEYS:
-                yield from batch(keys, counts)
-                held_keys, held_counts, size = [], [], 0
-            else:
-                held_keys, held_counts, size = [keys], [counts], len(keys)
-    if held_keys:
-        yield from batch(*merged())
-
-
-@dataclass(frozen=True)
-class Grams:
-    """Sorted keys with their values."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key, -1 where it is not kept."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-    @classmethod
-    def of(cls, counted: DataFrame) -> Grams:
-        """Collect counts whose number is bounded by their least share."""
-        got = counted.toArrow()
-        keys = got.column("key").to_numpy().view(np.uint64) if got.num_rows else np.zeros(0, np.uint64)
-        order = np.argsort(keys)
-        return cls(keys[order], got.column("c").to_numpy()[order] if got.num_rows else np.zeros(0, np.int64))
-
-
-def _frequent(words: Grams, tokens: int, share: float) -> Grams:
-    able = words.counts >= share * tokens
-    return Grams(words.keys[able], words.counts[able])
-
-
-def _codes(tokens: np.ndarray, place: np.ndarray, words: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of each token and of the one and two before it in its row; -1 for rare words and beyond the row."""
-    code = words.find(tokens)
-    one, two = np.full(len(code), -1), np.full(len(code), -1)
-    one[1:], two[2:] = code[:-1], code[:-2]
-    one[place < 1], two[place < 2] = -1, -1
-    return code, one, two
-
-
-def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Key of two codes, each below 2**31; meaningless where one is -1."""
-    return (first.astype(np.uint64) << np.uint64(32)) | (second.astype(np.uint64) & np.uint64(0xFFFFFFFF))
-
-
-class Automaton:
-    """States, arcs and failure arcs as sorted arrays; weights are log10."""
-
-    def __init__(self, words: Grams, tokens: int, kinds: int, frequent: Grams, pairs: Grams, triples: Grams):
-        self.words, self.frequent, self.pairs, self.triples = words, frequent, pairs, triples
-        self.floor = tokens + 0.5 * (kinds + 1)
-        root = (frequent.counts + 0.5) / self.floor
-        left, right = (pairs.keys >> np.uint64(32)).astype(np.int64), (pairs.keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        seen = (pairs.counts - DISCOUNT) / frequent.counts[left]
-        fail = 1 - np.bincount(left, seen, minlength=len(frequent.keys))
-        pair = seen + fail[left] * root[right]
-        before, word = (triples.keys >> np.uint64(32)).astype(np.int64), (triples.keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        seen = (triples.counts - DISCOUNT) / pairs.counts[before]
-        fail2 = 1 - np.bincount(before, seen, minlength=len(pairs.keys))
-        lower = pairs.find(_pair(right[before], word))
-        known = np.where(lower >= 0, pair[lower] if len(pair) else 0, fail[right[before]] * root[word])
-        self.root = np.log10((words.counts + 0.5) / self.floor)
-        self.pair, self.fail = np.log10(pair), np.append(np.log10(fail), 0.0)
-        self.triple, self.fail2 = np.log10(seen + fail2[before] * known), np.append(np.log10(fail2), 0.0)
-
-    def traverse(self, tokens: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word index or -1, log10 weight of the arcs taken, whether the root's arc for the word is still to be added).
-
-        The state before a token is the longest one that ends there: the pair before it, else the word before it, else the
-        root. It depends on two tokens, so all steps of the traversal are taken at once.
-        """
-        code, one, two = _codes(tokens, place, self.frequent)
-        state2 = np.where((two >= 0) & (one >= 0), self.pairs.find(_pair(two, one)), -1)
-        arc3 = np.where((state2 >= 0) & (code >= 0), self.triples.find(_pair(state2, code)), -1)
-        arc2 = np.where((one >= 0) & (code >= 0), self.pairs.find(_pair(one, code)), -1)
-        weight = self.fail2[state2]
-        at_root = arc2 < 0
-        weight = weight + np.where(at_root, self.fail[one], self.pair[arc2] if len(self.pair) else 0.0)
-        if len(self.triple):
-            weight = np.where(arc3 >= 0, self.triple[arc3], weight)
-        return self.words.find(tokens), weight, at_root & (arc3 < 0)
-
-
-@dataclass(frozen=True)
-class Counted:
-    unigrams: DataFrame
-    tokens: int
-    kinds: int
-
-
-def count_words(docs: DataFrame) -> Counted:
-    """Counts of all tokens of ``docs(text)``: a written table (key, c), N and V."""
+def _packed(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes."""
+    planes = np.ascontiguousarray(values.astype(np.int64, copy=False)).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _summed((t for b in batches for _, _, t, _ in _tokens(b.column("text"))), ("key", "c"))
 
-    parts = docs.select(text_of("text").alias("text")).mapInArrow(run, "key long, c long")
-    unigrams = through_table(parts.groupBy("key").agg(F.sum("c").alias("c")), "unigrams")
-    tokens, kinds = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("key")).first()
-    return Counted(unigrams, tokens, kinds)
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
+
+
+def _differences(keys: np.ndarray) -> np.ndarray:
+    """Steps between sorted 64-bit keys; their running sum gives the keys back."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.int64)
+
 
+def _states(tokens: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the tokens that end an n-gram of the order, keys of the states before them)."""
+    at = np.flatnonzero(place >= order - 1)
+    if order == 2:
+        return at, tokens[at - 1]
+    return at, mix(tokens[at - 2] + _ODD * mix(tokens[at - 1] ^ _ODD))
 
-def _shared(spark, value):
-    return spark.sparkContext.broadcast(value)
 
+_CHUNK = "chunk long, n int, docs array<long>, held array<boolean>, lengths array<int>, kinds int, words binary, codes binary, state array<long>, times array<long>"
+_PRINTS = "bucket long, chunk long, n int, prints binary, counts binary"
+_PASSED = "bucket long, chunk long, n int, passed binary"
+_ASKED = "bucket long, chunk long, n int, keys binary, words binary, flags binary, counts binary"
+_ANSWER = "bucket long, chunk long, n int, counts binary, totals binary, arcs binary, kinds long, spread array<int>, total array<long>, arc array<long>"
 
-def learn(docs: DataFrame, counted: Counted) -> Automaton:
-    """The automaton of the training ``docs(text)``."""
-    spark, n = docs.sparkSession, counted.tokens
-    words = Grams.of(counted.unigrams.filter(F.col("c") >= F.lit(max(1.0, WORD_SHARE * n))))
-    frequent = _frequent(words, n, PAIR_SHARE)
-    least = F.lit(max(2.0, PAIR_SHARE * n))
 
-    def grams(run) -> Grams:
-        parts = docs.select(text_of("text").alias("text")).mapInArrow(run, "key long, c long")
-        return Grams.of(parts.groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least))
+def _names(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(",")]
 
-    given = _shared(spark, frequent)
 
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts():
-            for batch in batches:
-                for _, _, tokens, place in _tokens(batch.column("text")):
-                    code, one, _ = _codes(tokens, place, given.value)
-                    real = (code >= 0) & (one >= 0)
-                    yield _pair(one[real], code[real])
+def chunks(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, held_out, text)`` as a written table of chunks: word codes, and the states that are frequent in each."""
+    most, share = BYTES, WORD_SHARE
 
-        return _summed(parts(), ("key", "c"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held = batch.column("doc_id"), batch.column("held_out")
+            for first, last, hashes, at in hashed_words(batch.column("text"), most):
+                lengths = np.diff(at) + 1
+                starts = np.concatenate([[0], np.cumsum(lengths)])
+                tokens, place = np.full(int(starts[-1]), END), _place(lengths)
+                tokens[place < np.repeat(lengths, lengths) - 1] = hashes
+                words, codes = np.unique(tokens, return_inverse=True)
+                often = []
+                for order in (2, 3):
+                    state, times = np.unique(_states(tokens, place, order)[1], return_counts=True)
+                    able = times >= share * len(tokens)
+                    often.append((state[able].view(np.int64), times[able]))
+                states, times = (np.concatenate([x[k] for x in often]) for k in (0, 1))
+                row = [
+                    [0], [len(tokens)], [ids.slice(first, last - first).to_pylist()], [held.slice(first, last - first).to_pylist()], [lengths],
+                    [len(words)], [_packed(_differences(words))], [_packed(codes)], [states], [times],
+                ]
+                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=_names(_CHUNK))
+
+    table = docs.mapInArrow(run, _CHUNK).withColumn("chunk", F.monotonically_increasing_id())
+    return _dealt(table, "chunk")
+
+
+def _place(lengths: np.ndarray) -> np.ndarray:
+    """Place of each token in its row."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _dealt(table: DataFrame, key: str) -> DataFrame:
+    """``table`` written in files by hashed key, so that grouping by the key moves no row again."""
+    spark = table.sparkSession
+    name, parts = f"meterstone_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table.write.bucketBy(parts, key).option("path", new_scratch(spark, "chunks")).saveAsTable(name)
+    out = spark.table(name)
+    # Only the name goes: the frame knows its files and buckets.
+    spark.sql(f"drop table {name}")
+    return out
+
+
+def _buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets that sorted keys fall into, where each begins and the last ends)."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    found, starts = np.unique(bucket.astype(np.int64), return_index=True)
+    return found, np.append(starts, len(keys))
 
-    pairs = grams(pairs_of)
-    both = _shared(spark, (frequent, pairs))
 
-    def triples_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, pairs = both.value
+class Grams:
+    """The distinct n-grams of one order in a chunk, by key."""
 
-        def parts():
-            for batch in batches:
-                for _, _, tokens, place in _tokens(batch.column("text")):
-                    code, one, two = _codes(tokens, place, frequent)
-                    real = (code >= 0) & (one >= 0) & (two >= 0)
-                    code, one, two = code[real], one[real], two[real]
-                    state, lower = pairs.find(_pair(two, one)), pairs.find(_pair(one, code))
-                    real = (state >= 0) & (lower >= 0)
-                    yield _pair(state[real], code[real])
+    def __init__(self, tokens: np.ndarray, place: np.ndarray, order: int, buckets: int):
+        self.at, self.state = _states(tokens, place, order)
+        self.word = tokens[self.at] >> np.uint64(16)
+        self.keys, self.first, self.of = np.unique(mix(self.state + _ODD * mix(self.word)), return_index=True, return_inverse=True)
+        self.buckets, self.ends = _buckets(self.keys, buckets)
 
-        return _summed(parts(), ("key", "c"))
+    def passed(self, got: dict[int, dict], base: int) -> np.ndarray:
+        """Which of the n-grams may be kept, from the answers to the first round."""
+        parts = [np.unpackbits(np.frombuffer(got[int(b) + base]["passed"], np.uint8), count=int(n)) for b, n in zip(self.buckets, np.diff(self.ends), strict=True)]
+        return np.concatenate([np.zeros(0, np.uint8), *parts]).astype(bool)
 
-    return Automaton(words, n, counted.kinds, frequent, pairs, grams(triples_of))
 
+class Asked:
+    """Records of one order in a chunk, in the order in which they are dealt to buckets: n-grams that may be kept, and states.
 
-_PARTS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>, times array<int>"
+    ``able`` tells at which ends of n-grams the state is asked for; others lead to no kept n-gram.
+    """
+
+    def __init__(self, grams: Grams, passed: np.ndarray, able: np.ndarray, spread: np.ndarray, buckets: int, learnt: np.ndarray | None = None):
+        some = np.flatnonzero(passed)
+        names, own = np.unique(grams.state[able], return_inverse=True)
+        state = np.concatenate([grams.state[grams.first[some]], names])
+        word = np.concatenate([grams.word[grams.first[some]], np.full(len(names), _ITSELF)])
+        found = np.minimum(np.searchsorted(spread, state), max(len(spread) - 1, 0))
+        hot = spread[found] == state if len(spread) else np.zeros(len(state), bool)
+        key = np.where(hot, mix(state + _ODD * mix(word)), state)
+        dealt = np.argsort(key, kind="stable")
+        back = np.empty(len(dealt), np.int64)
+        back[dealt] = np.arange(len(dealt))
+        to = np.full(len(passed), -1)
+        to[some] = back[: len(some)]
+        #: Record of each n-gram's arc and of its state, -1 where not asked.
+        self.arc, self.own = to[grams.of], np.full(len(able), -1)
+        self.own[able] = back[len(some) :][own]
+        self.keys, self.words = key[dealt], word[dealt]
+        self.spread = np.where(hot, found, -1)[dealt]
+        self.buckets, self.ends = _buckets(self.keys, buckets)
+        # Bit 0: another key than before (always at the start of a bucket); bit 1: a state itself; above: place of a spread state, or 0.
+        new = np.append([True], self.keys[1:] != self.keys[:-1])[: len(dealt)]
+        self.flags = ((self.spread + 1) << 2) | ((self.words == _ITSELF) << 1) | new
+        if learnt is not None:
+            counts = [np.bincount(x[x >= 0], learnt[grams.at][x >= 0], minlength=len(dealt)) for x in (self.arc, self.own)]
+            self.counts = (counts[0] + counts[1]).astype(np.int64)
+
+
+def _asked(tokens: np.ndarray, place: np.ndarray, got: dict[int, dict], spread, buckets: int, learnt: np.ndarray | None = None) -> Iterator[tuple[int, Grams, Asked]]:
+    """Pairs with the states of single words, then triples with the states of pairs that may be kept."""
+    may = np.zeros(len(tokens), bool)
+    for order in (2, 3):
+        grams = Grams(tokens, place, order, buckets)
+        passed = grams.passed(got, buckets * (order - 2))
+        able = np.ones(len(grams.at), bool) if order == 2 else may[grams.at - 1]
+        yield order, grams, Asked(grams, passed, able, spread.value[order - 2], buckets, learnt)
+        may[grams.at] = passed[grams.of]
+
+
+def _read_chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, places, row of each token, held) of a chunk."""
+    lengths = np.array(row["lengths"], np.int64)
+    words = np.cumsum(_unpacked(row["words"], row["kinds"]).view(np.uint64), dtype=np.uint64)
+    return words[_unpacked(row["codes"], row["n"])], _place(lengths), np.repeat(np.arange(len(lengths)), lengths), np.array(row["held"], bool)
+
+
+def prints(table: DataFrame, buckets: int) -> DataFrame:
+    """The first round's questions: fingerprints with training counts, one row for a bucket and chunk. Triples have the upper buckets."""
+    shift = np.uint64(max(0, 64 - PRINT_BITS - buckets.bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                tokens, place, owner, held = _read_chunk(row)
+                for order in (2, 3):
+                    grams, out = Grams(tokens, place, order, buckets), []
+                    counts = np.bincount(grams.of, ~held[owner][grams.at], minlength=len(grams.keys)).astype(np.int64)
+                    for b, i, j in zip(grams.buckets, grams.ends[:-1], grams.ends[1:], strict=True):
+                        packs = (_differences(grams.keys[i:j] >> shift), counts[i:j])
+                        out.append((int(b) + buckets * (order - 2), row["chunk"], int(j - i), *map(_packed, packs)))
+                    if out:
+                        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_names(_PRINTS))
+
+    return table.select("chunk", "n", "held", "lengths", "kinds", "words", "codes").mapInArrow(run, _PRINTS)
+
+
+def passed(questions: DataFrame, least: float) -> DataFrame:
+    """One bit for each fingerprint asked: whether it occurs at least ``least`` times in training texts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        n = group.column("n").to_pylist()
+        keys, counts = ([_unpacked(x, k) for x, k in zip(group.column(c).to_pylist(), n, strict=True)] for c in ("prints", "counts"))
+        _, at = np.unique(np.concatenate([np.cumsum(x) for x in keys]), return_inverse=True)
+        often = (np.bincount(at, np.concatenate(counts)) >= least)[at]
+        bits = [np.packbits(x).tobytes() for x in np.split(often, np.cumsum(n)[:-1])]
+        return group.select(["bucket", "chunk", "n"]).append_column("passed", pa.array(bits, pa.binary()))
+
+    return questions.groupBy("bucket").applyInArrow(run, _PASSED)
+
+
+def asked(table: DataFrame, masks: DataFrame, spread, buckets: int) -> DataFrame:
+    """The second round's questions: n-grams and states with their training counts, one row for a bucket and chunk."""
+
+    def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        tokens, place, owner, held = _read_chunk(row)
+        got, out = {r["bucket"]: r for r in replies.to_pylist()}, []
+        for order, _, a in _asked(tokens, place, got, spread, buckets, ~held[owner]):
+            for b, i, j in zip(a.buckets, a.ends[:-1], a.ends[1:], strict=True):
+                flags = a.flags[i:j]
+                packs = (_differences(a.keys[i:j][flags & 1 == 1]), a.words[i:j][flags >> 1 == 0].view(np.int64), flags, a.counts[i:j])
+                out.append((int(b) + buckets * (order - 2), row["chunk"], int(j - i), *map(_packed, packs)))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=_names(_ASKED))
+
+    asking = table.select("chunk", "n", "held", "lengths", "kinds", "words", "codes").groupBy("chunk")
+    return asking.cogroup(masks.select("chunk", "bucket", "n", "passed").groupBy("chunk")).applyInArrow(run, _ASKED)
+
+
+def _records(n: int, keys: bytes, words: bytes, flags: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, words, flags, counts) of one question; a spread state's arc is told by its key alone and has word 0."""
+    flags = _unpacked(flags, n)
+    new, plain = flags & 1 == 1, flags >> 1 == 0
+    found = np.cumsum(_unpacked(keys, int(new.sum())).view(np.uint64), dtype=np.uint64)
+    word = np.where(flags & 2, int(_ITSELF), 0)
+    word[plain] = _unpacked(words, int(plain.sum()))
+    return found[np.cumsum(new) - 1], word, flags, _unpacked(counts, n)
+
+
+def answered(questions: DataFrame, least: float, buckets: int) -> DataFrame:
+    """Counts of kept arcs (0 for others), totals of states and twice the arcs' discounted sum, for each question.
+
+    One more row for each bucket, with a null chunk, has its number of words and its part of the spread states.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        n = group.column("n").to_pylist()
+        packs = [group.column(c).to_pylist() for c in ("keys", "words", "flags", "counts")]
+        keys, words, flags, counts = (np.concatenate(x) for x in zip(*map(_records, n, *packs), strict=True))
+        spread = (flags >> 2) - 1
+        _, first, gram = np.unique(mix(keys + _ODD * mix(words.view(np.uint64))), return_index=True, return_inverse=True)
+        count = np.bincount(gram, counts).astype(np.int64)
+        itself = words[first] == int(_ITSELF)
+        count_kept = np.where((count >= least) & ~itself, count, 0)
+        twice = np.where(count_kept > 0, 2 * count_kept - int(2 * DISCOUNT), 0)
+        cold = spread[first] < 0
+        _, state = np.unique(keys[first], return_inverse=True)
+        total, arcs = (np.bincount(state, np.where(cold & y, x, 0)).astype(np.int64) for x, y in ((count, itself), (twice, ~itself)))
+        bucket = group.column("bucket")[0].as_py()
+        out = [[bucket] * (len(n) + 1), [*group.column("chunk").to_pylist(), None], [*n, 0]]
+        ends = np.cumsum([0, *n])
+        for x in (count_kept[gram], total[state[gram]], arcs[state[gram]]):
+            out.append([*[_packed(x[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], b""])
+        wide = spread[first][~cold]
+        names, at = np.unique(wide, return_inverse=True)
+        sums = [np.bincount(at, x[~cold], minlength=len(names)).astype(np.int64) for x in (np.where(itself, count, 0), twice)]
+        kinds = int((total > 0).sum()) if bucket < buckets else 0
+        out.append([*[0] * len(n), kinds])
+        out += [[*[None] * len(n), x.tolist()] for x in (names, *sums)]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=_names(_ANSWER))
+
+    return questions.groupBy("bucket").applyInArrow(run, _ANSWER)
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _log(x: np.ndarray, able: np.ndarray) -> np.ndarray:
+    return np.log10(np.where(able, x, 1.0))
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -248,59 +323,64 @@ def scores(docs: DataFrame) -> DataFrame:
     every token has probability 1 and the scores are 0. An empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
-    training = docs.filter(~held_out())
-    counted = count_words(training)
-    n, floor = counted.tokens, counted.tokens + 0.5 * (counted.kinds + 1)
-    model = _shared(spark, learn(training, counted))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.value
-        for batch in batches:
-            for first, last, tokens, place in _tokens(batch.column("text")):
-                rows = np.cumsum(place == 0) - 1
-                word, weight, at_root = automaton.traverse(tokens, place)
-                known = word >= 0
-                root = np.where(known, automaton.root[word] if len(automaton.root) else 0.0, 0.0)
-                many = last - first
-                sums = [np.bincount(rows, x, minlength=many) for x in (known, root, weight + np.where(at_root, root, 0.0))]
-                order = np.lexsort((tokens[~known], rows[~known]))
-                rare, owner = tokens[~known][order], rows[~known][order]
-                new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(rare))).astype(np.int32)
-                ends = pa.array(np.searchsorted(owner[new], np.arange(many + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(first, many),
-                        batch.column("held_out").slice(first, many),
-                        pa.array(np.bincount(rows, minlength=many).astype(np.int64)),
-                        pa.array(sums[0].astype(np.int64)),
-                        pa.array(sums[1]),
-                        pa.array(sums[2]),
-                        pa.ListArray.from_arrays(ends, pa.array(rare[new].view(np.int64))),
-                        pa.ListArray.from_arrays(ends, pa.array(times)),
-                    ],
-                    names=[c.strip().split(" ")[0] for c in _PARTS.split(",")],
-                )
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of("text").alias("text"))
-    parts = rows.mapInArrow(run, _PARTS).withColumn("row", F.monotonically_increasing_id())
-    parts = through_table(parts, "parts")
-
-    # A rare word always takes the root's arc, so its term adds to both scores.
-    rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
-    less = counted.unigrams.filter(F.col("c") < F.lit(max(1.0, WORD_SHARE * n)))
-    c = F.coalesce("c", F.lit(0))
-    term = F.when(F.lit(n > 0), F.log10((c + 0.5) / F.lit(floor))).otherwise(0.0)
-    looked_up = rare.join(less, "key", "left").groupBy("row").agg(
-        F.sum(F.col("times") * term).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).cast("long").alias("more_known")
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    return parts.join(looked_up, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
-    )
+    table = chunks(rows)
+    one = table.select("n", F.explode(F.arrays_zip("held", "lengths")).alias("d"))
+    learnt = ~F.col("d.held")
+    everything, n, texts = one.agg(
+        F.coalesce(F.sum("d.lengths"), F.lit(0)), F.coalesce(F.sum(F.when(learnt, F.col("d.lengths"))), F.lit(0)), F.count(F.when(learnt, 1))
+    ).first()
+    # A state with the share in all texts has it in some chunk; few more than 1 / WORD_SHARE an order come to the driver.
+    often = table.select(F.explode(F.arrays_zip("state", "times")).alias("s")).groupBy("s.state").agg(F.sum("s.times").alias("times"))
+    often = np.sort(np.array([r[0] for r in often.filter(F.col("times") >= F.lit(WORD_SHARE * everything / 2)).select("state").collect()], np.int64).view(np.uint64))
+    spread = spark.sparkContext.broadcast((often, often))
+    buckets = 1 + everything // BUCKET_TOKENS
+    least = max(float(LEAST), PAIR_SHARE * n)
+    masks = through_table(passed(prints(table, buckets), least), "passed")
+    answers = through_table(answered(asked(table, masks, spread, buckets), least, buckets), "answers")
+    sums = answers.filter("chunk is null")
+    kinds = (sums.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]) + (texts > 0)
+    wide = sums.select((F.col("bucket") >= buckets).cast("int").alias("upper"), F.explode(F.arrays_zip("spread", "total", "arc")).alias("s"))
+    totals = np.zeros((2, 2, len(often)), np.int64)
+    for r in wide.groupBy("upper", "s.spread").agg(F.sum("s.total"), F.sum("s.arc")).collect():
+        totals[r[0], :, r[1]] = r[2], r[3]
+    kinds += int((totals[0, 0] > 0).sum())
+    given = spark.sparkContext.broadcast(totals)
+    floor = n + 0.5 * (kinds + 1)
+
+    def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        tokens, place, owner, held = _read_chunk(row)
+        replies = replies.to_pylist()
+        bits, got = ({r["bucket"]: r for r in replies if (r["passed"] is None) == x} for x in (False, True))
+        count, total, left = {}, {}, {}
+        for order, grams, a in _asked(tokens, place, bits, spread, buckets):
+            mine = [got[int(b) + buckets * (order - 2)] for b in a.buckets]
+            c, t, s = (np.concatenate([np.zeros(0, np.int64), *[_unpacked(r[x], r["n"]) for r in mine], np.zeros(1, np.int64)]) for x in ("counts", "totals", "arcs"))
+            hot = np.flatnonzero(a.spread >= 0)
+            t[hot], s[hot] = given.value[order - 2][:, a.spread[hot]]
+            # By token: count of the arc, the state's own count, and twice the discounted counts of its arcs.
+            count[order], total[order], left[order] = (np.zeros(len(tokens), np.int64) for _ in range(3))
+            count[order][grams.at], total[order][grams.at], left[order][grams.at] = c[a.arc], t[a.own], s[a.own]
+        total[3] = np.append([0], count[2][:-1])
+        left = {k: 1 - left[k] / 2 / np.maximum(total[k], 1) for k in left}
+        last = np.append(place[1:] == 0, True)
+        # A word's count is its state's own, before the next token; the end has one for each text.
+        single = np.where(last, texts, np.append(total[2][1:], 0))
+        known = single > 0
+        root = (single + 0.5) / floor if n else np.ones(len(tokens))
+        pair = left[2] * root + np.where(count[2] > 0, (count[2] - DISCOUNT) / np.maximum(total[2], 1), 0.0)
+        # The state of two words is there if their pair is kept, as the arc of the token before.
+        there = total[3] > 0
+        triple = left[3] * pair + np.where(count[3] > 0, (count[3] - DISCOUNT) / np.maximum(total[3], 1), 0.0)
+        full = np.where((place >= 2) & there, triple, pair)
+        many = len(row["docs"])
+        base, score = (np.bincount(owner, _log(x, x > 0), minlength=many) for x in (root, full))
+        out = [row["docs"], row["held"], row["lengths"], np.bincount(owner, known, minlength=many).astype(np.int64), [n] * many, base, score]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=_names(_SCORES))
+
+    asking = table.select("chunk", "n", "docs", "held", "lengths", "kinds", "words", "codes").groupBy("chunk")
+    replies = answers.filter("chunk is not null").select("chunk", "bucket", "n", "counts", "totals", "arcs")
+    replies = replies.unionByName(masks.select("chunk", "bucket", "n", "passed"), allowMissingColumns=True)
+    return asking.cogroup(replies.groupBy("chunk")).applyInArrow(run, _SCORES)

@@ -106,3 +106,32 @@ def test_odd_tables(spark):
     only = [(i, "a b") for i in range(40) if held(i)]
     assert [(r.score, r.base_score, r.n_known) for r in lm.scores(spark.createDataFrame(only[:2], schema)).collect()] == [(0.0, 0.0, 0)] * 2
     assert lm.scores(spark.createDataFrame([], schema)).count() == 0
+
+
+def same_as_dictionaries(spark, rows):
+    got = lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    model, texts = Brute(rows, 0.0, 0.0), dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        tokens = [*words(texts[r.doc_id]), END]
+        assert r.train_tokens == model.n and r.n_known == sum(model.c[w] > 0 for w in tokens)
+        assert r.base_score == pytest.approx(sum(math.log10(model.p1(w)) for w in tokens), abs=1e-6)
+        assert r.score == pytest.approx(model.score(texts[r.doc_id]), abs=1e-6)
+    return model
+
+
+def test_ngrams_are_kept_whatever_the_size_of_the_corpus(spark):
+    """With 400,000 tokens a share of 2**-16 is 6 times; pairs and triples that occur twice are to be kept."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"u{rng.randrange(3000)}" for _ in range(1000))) for i in range(500)]
+    rows += [(i + 500, rows[i][1]) for i in range(0, 20)]
+    model = same_as_dictionaries(spark, rows)
+    assert model.n > 3 * 2**16 and sum(k == 2 for k in model.three.values()) > 1000
+
+
+@pytest.mark.parametrize("share", [1.0, 0.01, 0.0])
+def test_chunks_buckets_and_spread_states(spark, monkeypatch, share):
+    for name, value in (("BYTES", 2000), ("BUCKET_TOKENS", 500), ("WORD_SHARE", share)):
+        monkeypatch.setattr(lm, name, value)
+    model = same_as_dictionaries(spark, [r for r in rows_of() if r[0] is not None and (r[0] != 3 or r[1] == "again")])
+    assert len(model.three) > 50
