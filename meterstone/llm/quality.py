@@ -9,6 +9,7 @@ document. Fitting needs the bounded samples alone; features and scores cover who
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -233,10 +234,11 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> dict[int, tuple[np.ndarray, np.
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
     """Co-train on at most ``labelled`` labelled and ``pool`` further documents, those with the smallest hashed ids.
 
-    Labels that are null or belong to no document are left out; of repeated labels the lowest counts.
+    Labels that are null or belong to no document are left out before that; of repeated labels the lowest counts. A warning
+    tells if there are labels but no model can be fitted.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).filter("id is not null and y is not null")
-    marks = marks.groupBy("id").agg(F.min("y").alias("y"))
+    marks = marks.join(docs.select(F.col("doc_id").cast("long").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("y").alias("y"))
     order = F.xxhash64("id", F.lit(17))
     known = {r.id: float(r.y > 0) for r in marks.orderBy(order, "id").limit(labelled).collect()}
     others = docs.select(F.col("doc_id").cast("long").alias("id")).filter("id is not null").distinct().orderBy(order, "id").limit(labelled + pool)
@@ -253,7 +255,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     pt, pm = (np.array([features[i][k] for i in free]).reshape(len(free), x.shape[1]) for k, x in ((0, t), (1, m)))
     y = np.array([known[i] for i in rows])
     held = mix(np.array(rows, np.int64).view(np.uint64)) % np.uint64(1000) < np.uint64(int(1000 * HELD_BACK))
-    return co_train(t, m, y, held, pt, pm)
+    model = co_train(t, m, y, held, pt, pm)
+    if model.text is None:
+        warnings.warn(f"no quality model can be fitted on the {len(rows)} labelled documents; all documents are kept", stacklevel=2)
+    return model
 
 
 def scored(model: CoTrained) -> Column:

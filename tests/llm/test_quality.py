@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from meterstone.llm import quality
 from meterstone.llm.tables import table
@@ -55,3 +56,22 @@ def test_threshold_keeps_the_good():
     score = np.concatenate([np.linspace(0.6, 1, 1000), np.linspace(0, 0.5, 200)])
     y = np.concatenate([np.ones(1000), np.zeros(200)])
     assert 0.5 < quality._threshold(score, y) < 0.6
+
+
+def test_labels_of_other_documents_take_no_place(spark):
+    docs = spark.createDataFrame(
+        [(i, "good words in a row " * 5 if i % 2 else "!!! ### $$$ " * 9, "en", f"s{i % 2}", 100) for i in range(100)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20000)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels, labelled=100)
+    assert model.text is not None
+    kept = {r.doc_id for r in quality.annotate(docs, labels).filter("kept").collect()}
+    assert kept == set(range(1, 100, 2))
+
+
+def test_labels_of_one_class_are_reported(spark):
+    docs = spark.createDataFrame([(i, "a b", "en", "s", 3) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="20 labelled documents"):
+        assert quality.annotate(docs, labels).filter("kept").count() == 20
