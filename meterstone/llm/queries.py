@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterstone.llm import chat, exact, lm, mixing, pieces, pq, quality, secret_scan, superminhash, warc
+from meterstone.llm import chat, exact, lexical, lm, mixing, nndescent, pieces, pq, quality, secret_scan, spelling, superminhash, warc
 from meterstone.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,106 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_backoff_automaton")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_reduced_alphabet",
+    r"""
+with recursive table_(b, v, k) as (
+  select range, range, 0 from range(256)
+  union all
+  select b, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from table_ where k < 8
+), crc as (
+  select list(v order by b) as t from table_ where k = 8
+), runs as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents
+), counted as (
+  select doc_id, run, count(*) as n from runs where length(run) >= 5 group by all
+), bytes as (
+  select *, coalesce(doc_id::varchar, '') || ':' || run as s, hex(encode(s)) as x from counted
+), summed as (
+  select run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+    lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1]))) as h
+  from bytes, crc
+), damaged as (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from summed
+), words as (
+  select word, sum(n)::bigint as n from damaged where length(word) >= 5 group by word having sum(n) >= 3
+), without as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from words)
+), pairs as (
+  select a.word as a, b.word as b, b.n from without a join without b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union
+  select a.word, b.word, b.n from without a join words b on a.rest = b.word
+  union
+  select b.word, a.word, a.n from without a join words b on a.rest = b.word
+), best as (
+  select a as word, count(*) as n_near, arg_min(b, (-n, b)) as b, max(n) as b_n from pairs group by a
+), forms as (
+  select word, n, coalesce(n_near, 0) as n_near, case when b_n >= 2 * n then b end as form, case when b_n >= 2 * n then b_n end as form_n
+  from words left join best using (word)
+), follow(word, root) as (
+  select word, word from forms
+  union all
+  select follow.word, forms.form from follow join forms on forms.word = follow.root where forms.form is not null
+)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n
+from forms f join (select follow.word, root from follow join forms on forms.word = root where form is null) r on r.word = f.word
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_nn_descent",
+    """
+with vectors as (
+  select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null
+), valid as (
+  select * from vectors where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), measured as (
+  select a.vec_id as query_id, b.vec_id, sqrt(list_reduce(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda s, x: s + x)) as score
+  from valid a join valid b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 100 = 0
+), ranked as (
+  select *, row_number() over (partition by query_id order by score, vec_id) as rank from measured
+)
+select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 10
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(table(spark, sf_dir, "embeddings"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+
+@query(
+    "op13_accumulator_limit",
+    f"""
+with terms as (
+  select doc_id, {_TERMS} as t from documents
+), held as (
+  select row_number() over () as d, doc_id, t, len(t) as n from terms where len(t) > 0
+), corpus as (
+  select count(*) as docs, sum(n)::bigint as all_terms from held
+), asked as (
+  select distinct item_id, unnest({_TERMS}) as term from benchmark
+), postings as (
+  select d, doc_id, n, term, count(*) as tf from (select d, doc_id, n, unnest(t) as term from held)
+  where term in (select term from asked) group by all
+), weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w from postings, corpus group by term
+), scored as (
+  select item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // all_terms))))::bigint as score
+  from asked join postings using (term) join weights using (term), corpus group by all
+), ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 10
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterstone.session import new_scratch
+
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_BLANKS = r"[^\x20\x09-\x0D]+"
@@ -47,3 +50,14 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         last = min(max(last, first + 1), rows)
         yield first, last
         first = last
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written in files by hashed key, so that joins by the key move none of its rows again."""
+    spark = df.sparkSession
+    name, parts = f"meterstone_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(parts, key).option("path", new_scratch(spark, "buckets")).saveAsTable(name)
+    out = spark.table(name)
+    # Only the name goes: the frame knows its files and buckets.
+    spark.sql(f"drop table {name}")
+    return out
