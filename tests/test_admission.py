@@ -2,6 +2,7 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,50 @@ def test_ttl_hits_do_not_prolong_and_failures_do_not_store(spark):
     log = spark.createDataFrame(rows, "request_id bigint, sql string, started_at timestamp_ntz, error string")
     hits = {r.request_id: r.hit for r in querylog.ttl_hits(log).collect()}
     assert hits == {1: False, 2: True, 3: False, 4: False, 5: False, 6: True}
+
+
+@pytest.mark.parametrize("limit", [1, 2, 5])
+@pytest.mark.parametrize("rows", [1, 9, 60])
+def test_blocks_of_an_unbroken_key_equal_replay(spark, monkeypatch, limit, rows):
+    monkeypatch.setattr(admission, "BLOCK_ROWS", rows)
+    calls = random_calls(7 * limit + rows, n=600, hours=12, keys=("hot", "hot", "hot", None, "calm"))
+    assert decided(frame(spark, calls), limit, 1800) == brute_force(calls, limit, 1800)
+
+
+def test_blocks_respect_settled_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(6000), rng.random() < 0.1, i) for i in range(900))
+    slim = spark.createDataFrame([(i, "a", us, settled) for us, settled, i in rows], "id bigint, key string, us bigint, settled boolean")
+    for limit in (1, 3):
+        whole = {r.id: r.admitted for r in admission.decide_slim(slim, limit, 100).collect()}
+        monkeypatch.setattr(admission, "BLOCK_ROWS", 40)
+        cut = admission.decide_slim(slim, limit, 100)
+        assert {r.id: r.admitted for r in cut.collect()} == whole and all(whole[i] for _, settled, i in rows if settled)
+        monkeypatch.undo()
+
+
+def test_exits_of_a_block_are_those_of_a_replay():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 300):
+        us = np.sort(rng.integers(1000, 4000, n))
+        entries, exits = admission.single_exits(us, 250)
+        assert (np.diff(entries) > 0).all()
+        for t in range(int(us[0]) - 3, int(us[0]) + 251):
+            last, free = None, t
+            for u in us:
+                if u >= free:
+                    last, free = u, u + 250
+            at = np.searchsorted(entries, t)
+            assert (exits[at] if at < len(exits) else None) == last
+
+
+def test_a_long_unbroken_key_is_decided_in_many_tasks(spark):
+    """A million calls of one key, two a second: more blocks than one, each decided on its own."""
+    n = 1_000_000
+    calls = spark.range(n, numPartitions=8).select(F.col("id"), F.lit("hot").alias("key"), (F.col("id") * 500_000).alias("us"), F.lit(False).alias("settled"))
+    for limit in (1, 20):
+        out = admission.decide_slim(calls, limit, 3_600_000_000)
+        got = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("id").alias("n"), F.sum(F.col("admitted").cast("int")).alias("admitted")).collect()
+        # An hour is 7,200 calls, so calls are admitted in runs of `limit` at the start of each hour.
+        assert sum(r.n for r in got) == n and sum(r.admitted for r in got) == limit * (-(-n // 7200))
+        assert sum(1 for r in got if r.n) > 1 and max(r.n for r in got) < n // 2
