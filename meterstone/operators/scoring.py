@@ -6,35 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterstone.functions.numeric import round_to, share
+from meterstone.functions.sqltext import bound, references
 from meterstone.functions.text import words
-from meterstone.operators.guardrail import OUT_OF_SCOPE, sql_tokens
+from meterstone.operators.guardrail import OUT_OF_SCOPE
 
 MARKED_ACCURACY = 80.0
 QUICK_QUESTIONS = 10
 
-# Names after FROM or JOIN, with aliases, as far as commas go on; and names that WITH defines.
-_NAME, _ALIAS = r"[a-z_][a-z0-9_.]*", r"(?:\s+(?:as\s+)?[a-z_][a-z0-9_]*)?"
-_TABLE_LIST = rf"\b(?:from|join)\s+({_NAME}(?:{_ALIAS}\s*,\s*{_NAME})*)"
-_DEFINED = r"(?:\bwith(?:\s+recursive)?\s+|\)\s*,\s*)([a-z_][a-z0-9_]*)\s+as\s*\("
-
 
 def table_refs(sql: Column) -> Column:
-    """Tables after FROM and JOIN, each with and without its schema; without any, the words that look like a mart.
+    """Tables that a statement reads or writes, each with and without its schema; names that WITH defines are left out.
 
-    Quotes are dropped, comma lists are taken apart, and names that the statement itself defines are left out.
+    Of a text that can't be read as a statement, the words that look like a mart.
     """
-    text = F.replace(F.lower(sql), F.lit('"'), F.lit(""))
-    lists = F.regexp_extract_all(text, F.lit(_TABLE_LIST), F.lit(1))
-    names = F.flatten(F.transform(lists, lambda l: F.transform(F.split(l, ","), lambda t: F.split(F.btrim(t), r"\s+")[0])))
-    targets = F.array_except(names, F.regexp_extract_all(text, F.lit(_DEFINED), F.lit(1)))
-    both = F.array_union(targets, F.transform(targets, lambda t: F.regexp_replace(t, r"^.*\.", "")))
     marts = F.filter(words(sql), lambda t: F.contains(t, F.lit("mart_")))
     fallback = F.array_distinct(F.transform(marts, lambda t: F.btrim(t, F.lit("(),;"))))
-    return F.when(F.size(targets) > 0, both).otherwise(fallback)
+
+    def named(tables: Column) -> Column:
+        return F.array_union(tables, F.transform(tables, lambda t: F.substring_index(t, ".", -1)))
+
+    return bound(references(sql), lambda found: F.when(found["readable"], named(found["tables"])).otherwise(fallback))
 
 
 def column_refs(sql: Column, known: list[str]) -> Column:
-    return F.array_intersect(sql_tokens(sql), F.array(*[F.lit(c) for c in known]))
+    """Which of the known columns a statement names as columns; none of a text that can't be read."""
+    wanted, none = F.array(*[F.lit(c) for c in known]), F.array().cast("array<string>")
+    return bound(references(sql), lambda found: F.when(found["readable"], F.array_intersect(found["columns"], wanted)).otherwise(none))
 
 
 def score(answers: DataFrame, golden: DataFrame) -> DataFrame:

@@ -59,6 +59,11 @@ STATEMENTS = (
     "SELECT u.metric_date, r.mrr FROM marts.mart_user_metrics u, marts.mart_revenue_metrics AS r WHERE r.plan = u.plan",
     'SELECT "plan", "mrr" FROM "marts"."mart_revenue_metrics"',
     "WITH recent AS (SELECT cohort_month, signups FROM mart_funnel_analysis) SELECT signups FROM recent",
+    "SELECT 'copied from archive, plan' AS note, metric_date FROM mart_user_metrics",
+    "SELECT mrr FROM mart_revenue_metrics -- join old_table using (plan)",
+    "SELECT extract(year FROM metric_date) AS mrr, daily_active_users FROM marts.mart_user_metrics",
+    "SELECT metric_date FROM `marts`.`mart_user_metrics`",
+    "SELECT r.mrr FROM mart_revenue_metrics r LEFT JOIN LATERAL mart_user_metrics u ON u.plan = r.plan",
 )
 
 INTENTS = {
