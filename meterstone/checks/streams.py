@@ -1,5 +1,7 @@
 """Streaming queries. Append mode shows the windows that the final watermark has closed."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from meterstone.checks.logs import admission_sql, throttle_sql
@@ -122,3 +124,52 @@ def _(w):
 def _(w):
     spark = windows.stream_session(w.spark)
     return governance.first_runs(windows.read_log(spark, w.sf_dir), spark, querylog.CACHE_TTL_SECONDS)
+
+
+_FIRST_SEEN_DAYS = 5
+_PART = "(epoch_us(started_at) - epoch_us(from_)) // 864000000000"
+
+
+@check(
+    "stream_first_seen",
+    f"""/*recursive*/ , calls as (
+  select *, cast({_PART} as bigint) as part
+  from (select request_id, caller, fingerprint, started_at, (select min(started_at) from {{query_log}}) as from_ from {{fingerprints}})
+),
+firsts as (
+  select caller, fingerprint, part, min_by(request_id, (started_at, request_id)) as request_id, min(started_at) as started_at
+  from calls group by all
+),
+marks as (
+  select p.part, max(c.started_at) - interval {_FIRST_SEEN_DAYS} days as mark
+  from (select distinct part from calls) p join calls c on c.part < p.part group by all
+),
+walk as (
+  select cast(-1 as bigint) as part, caller, fingerprint, cast(null as bigint) as request_id, cast(null as timestamp) as seen, false as new
+  from (select distinct caller, fingerprint from calls)
+  union all
+  select w.part + 1, w.caller, w.fingerprint, f.request_id,
+    case when f.started_at is not null and not alive then f.started_at when alive then w.seen end, f.started_at is not null and not alive
+  from (
+    select w.*, w.seen is not null and (m.mark is null or w.seen + interval {_FIRST_SEEN_DAYS} days > m.mark) as alive
+    from walk w left join marks m on m.part = w.part + 1
+  ) w left join firsts f on f.caller = w.caller and f.fingerprint = w.fingerprint and f.part = w.part + 1
+  where w.part < (select max(part) from calls)
+)
+select request_id, caller, fingerprint from walk where new""",
+)
+def _(w):
+    """Ten days of calls arrive at a time, in order; Spark drops what it has seen within five days."""
+    spark = windows.stream_session(w.spark)
+    events = w.table("events")
+    start, end = events.agg(F.min("ts"), F.max("ts")).first()
+    arriving = new_scratch(w.spark, "arriving")
+    out, state = new_scratch(w.spark, "first-seen"), new_scratch(w.spark, "first-seen-state")
+    for k in range((end - start) // dt.timedelta(days=10) + 1):
+        after, before = (start + dt.timedelta(days=10 * n) for n in (k, k + 1))
+        part = events.where((F.col("ts") >= F.lit(after)) & (F.col("ts") < F.lit(before)))
+        part.orderBy("ts", "event_id").coalesce(1).write.mode("append").parquet(f"{arriving}/events.parquet")
+        log = windows.read_log(spark, arriving).withColumn("fingerprint", querylog.fingerprint(F.col("sql")))
+        result = governance.first_seen(log, ["caller", "fingerprint"], f"{_FIRST_SEEN_DAYS} days").select("request_id", "caller", "fingerprint")
+        windows.append_available(result, out, state)
+    return w.spark.read.schema(result.schema).parquet(out)

@@ -132,3 +132,35 @@ def test_folder_tables_stream_like_single_files(spark, tmp_path, parts):
 def test_audit_stream_appends_every_decision(spark, folder):
     out = windows.run_to_table(governance.audit(stream(spark, folder)), spark, "au")
     assert out.count() == 130 and out.select("id").distinct().count() == 130
+
+
+def test_quota_state_follows_the_keys_touched_and_expires(spark):
+    path = new_scratch(spark, "keyed")
+    many = [(n, T0 + dt.timedelta(seconds=n), n, "view", 1.0, "{}") for n in range(100)]
+    steps = [many, [(500, T0 + dt.timedelta(seconds=200), 7, "view", 1.0, "{}")], [(501, T0 + dt.timedelta(days=2), 8, "view", 1.0, "{}")]]
+    out, state = new_scratch(spark, "quota"), new_scratch(spark, "quota-state")
+    seen = []
+    for step in steps:
+        spark.createDataFrame(step, windows.EVENTS).coalesce(1).write.mode("append").parquet(path)
+        own = windows.stream_session(spark)
+        own.conf.set("spark.sql.streaming.stateStore.providerClass", governance._ROCKS)
+        log = windows.read_log(own, path, files="*.parquet").withWatermark("event_time", "600 seconds")
+        calls = log.select(F.col("request_id").alias("id"), F.col("caller").alias("key"), (F.unix_micros("event_time")).alias("us"), "event_time")
+        decided = calls.groupBy("key").transformWithStateInPandas(governance.Quota(1, 3600 * 10**6), "id bigint, key string, us bigint, admitted boolean", "Append", "EventTime")
+        query = decided.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        seen.append([p.stateOperators[0] for p in query.recentProgress])
+    first, second = (max(p.numRowsUpdated for p in seen[k]) for k in (0, 1))
+    assert second < first / 20  # one key of a hundred
+    assert seen[2][-1].numRowsTotal < seen[1][-1].numRowsTotal / 20  # timers removed what no call can meet again
+    got = {r.id: r.admitted for r in spark.read.parquet(out).collect()}
+    assert got == {**{n: True for n in range(100)}, 500: False, 501: True}
+
+
+def test_calls_without_a_key_share_one_quota(spark):
+    path = new_scratch(spark, "keyless")
+    calls = [(n, T0 + dt.timedelta(seconds=n), None, "view", 1.0, "{}") for n in range(3)]
+    spark.createDataFrame(calls, windows.EVENTS).coalesce(1).write.parquet(path)
+    log = windows.read_log(windows.stream_session(spark), path, files="*.parquet")
+    got = {r.request_id: (r.throttle_key, r.admitted) for r in governance.throttle(log, spark, "caller", 2, 60).collect()}
+    assert got == {0: (None, True), 1: (None, True), 2: (None, False)}
