@@ -14,6 +14,8 @@ from meterstone.plans.warehouse import Warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The SQL as it was given, without the shared table expressions.
+TEXTS: dict[str, str] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def check(name: str, sql: str | None = None, frames: type[Warehouse] = Warehouse
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name], TEXTS[name] = with_ctes(sql), sql
         return build
 
     return wrap

@@ -4,9 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from meterstone.checks import telemetry as _batch  # noqa: F401  registers the batch queries first
 from meterstone.checks.logs import admission_sql, throttle_sql
-from meterstone.checks.registry import check
-from meterstone.operators import querylog
+from meterstone.checks.registry import TEXTS, check
+from meterstone.operators import querylog, telemetry
 from meterstone.session import new_scratch
 from meterstone.streaming import governance, windows
 
@@ -105,6 +106,24 @@ def _(w):
     return w.spark.read.schema(result.schema).parquet(out)
 
 
+# A stream that has seen all calls agrees with the SQL of the batch query.
+@check("stream_counters", TEXTS["tel_counters"])
+def _(w):
+    cells = telemetry.counter_cells(telemetry.graded(_log(w)))
+    return telemetry.counters_of(windows.run_update(cells, list(telemetry.COUNTER_LABELS), w.spark, "counters"))
+
+
+@check("stream_latency_quantiles", TEXTS["tel_quantiles"])
+def _(w):
+    cells = telemetry.latency_cells(telemetry.graded(_log(w)))
+    return telemetry.quantiles(telemetry.latency_buckets(windows.run_update(cells, ["intent"], w.spark, "latency")), ["intent"])
+
+
+@check("stream_in_flight", TEXTS["tel_in_flight"])
+def _(w):
+    return telemetry.in_flight_of(windows.run_update(telemetry.flight_steps(_log(w)), ["us"], w.spark, "in-flight"))
+
+
 @check("stream_throttle", throttle_sql("caller", 3, 86_400))
 def _(w):
     spark = windows.stream_session(w.spark)

@@ -179,6 +179,41 @@ def _(w):
     return telemetry.sliding_latency_quantiles(_graded(w))
 
 
+@check(
+    "tel_cost_quantiles_sliding",
+    _quantile_sql(
+        _buckets_sql("cost_usd", telemetry.COST_BOUNDS, _COST_TOTAL, "", "window_start,").replace(
+            "{graded} where not rejected", _EACH_WINDOW
+        ),
+        "window_start",
+    ),
+)
+def _(w):
+    return telemetry.sliding_cost_quantiles(_graded(w))
+
+
+_SKETCH_DAYS = 7
+
+
+@check(
+    "tel_sketch_quantiles",
+    f"""select window_start, intent, q as quantile, count(*) as observations, true as within
+from (
+  select ifnull(nullif(intent, ''), 'unknown') as intent, unnest(generate_series(
+    date_trunc('day', started_at)::timestamp - interval {_SKETCH_DAYS - 1} days,
+    date_trunc('day', started_at)::timestamp, interval 1 day)) as window_start
+  from {{graded}} where not rejected
+) cross join (values (0.5::double), (0.95::double), (0.99::double)) as p(q)
+group by all""",
+)
+def _(w):
+    """Quantiles of merged sketches, each held against the exact ranks of its window."""
+    answered = _graded(w).where(~F.col("rejected"))
+    steps = telemetry.sketch_steps(answered, telemetry.latency_seconds(), [telemetry.intent_label()], 86_400)
+    found = telemetry.sketched_quantiles(steps, ["intent"], 86_400, _SKETCH_DAYS)
+    return telemetry.sketch_ranks(found, answered, 86_400, _SKETCH_DAYS)
+
+
 @check(
     "tel_cost_quantiles_5m",
     _quantile_sql(

@@ -42,11 +42,20 @@ def graded(log: DataFrame) -> DataFrame:
     )
 
 
+COUNTER_LABELS = ("rejected", "intent", "confidence", "reason", "cache_hit")
+
+
+def counter_cells(log: DataFrame) -> DataFrame:
+    """Requests and retries per combination of labels: additive, so a stream can keep them."""
+    return log.groupBy(*COUNTER_LABELS).agg(F.count("*").alias("n"), F.sum("retries").alias("retries"))
+
+
 def counters(log: DataFrame) -> DataFrame:
     """The four labelled counters from one grouped scan."""
-    cells = log.groupBy("rejected", "intent", "confidence", "reason", "cache_hit").agg(
-        F.count("*").alias("n"), F.sum("retries").alias("retries")
-    )
+    return counters_of(counter_cells(log))
+
+
+def counters_of(cells: DataFrame) -> DataFrame:
 
     def counter(name: str, label1: Column, label2: Column, value: Column) -> Column:
         return F.struct(
@@ -96,6 +105,17 @@ def _bucket_sums(value: Column, bounds: tuple[float, ...]) -> list[Column]:
     return [*[F.count_if(value <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(value).alias("observations")]
 
 
+def latency_cells(log: DataFrame) -> DataFrame:
+    """Latency counts below each bound and their sum by intent, one row an intent."""
+    answered = log.where(~F.col("rejected"))
+    return answered.groupBy(intent_label()).agg(*_bucket_sums(latency_seconds(), LATENCY_BOUNDS), F.sum("latency_us").alias("latency_us"))
+
+
+def latency_buckets(cells: DataFrame) -> DataFrame:
+    total = (F.col("latency_us").cast("double") / float(SECOND)).alias("total")
+    return _buckets(cells.withColumn("total", total).drop("latency_us"), LATENCY_BOUNDS)
+
+
 def _buckets(wide: DataFrame, bounds: tuple[float, ...]) -> DataFrame:
     """One row per bucket instead of one column."""
     cells = [
@@ -224,6 +244,51 @@ def sliding_latency_quantiles(log: DataFrame, seconds: int = RATE_SECONDS) -> Da
     return quantiles(_buckets(wide, LATENCY_BOUNDS), ["window_start", "intent"])
 
 
+def sliding_cost_quantiles(log: DataFrame, seconds: int = RATE_SECONDS) -> DataFrame:
+    """Quantiles of the cost of a request over sliding windows."""
+    measures = [_requests(), *_bucket_sums(F.col("cost_usd"), COST_BOUNDS)]
+    wide = sliding(log.where(~F.col("rejected")), [], measures, seconds).drop("requests")
+    return quantiles(_buckets(wide, COST_BOUNDS), ["window_start"])
+
+
+#: Size of a quantile sketch, and how far the rank of its answers may be off: three times what is typical of the size.
+SKETCH_K, SKETCH_RANK_ERROR = 200, 0.04
+
+
+def sketch_steps(log: DataFrame, value: Column, by: list[Column], step_seconds: int) -> DataFrame:
+    """(step, labels, sketch): one mergeable sketch per step of time and labels, of bounded size whatever it has seen."""
+    step = F.floor(micros(F.col("started_at")) / F.lit(step_seconds * SECOND)).cast("bigint").alias("step")
+    return log.groupBy(step, *by).agg(F.kll_sketch_agg_double(value.cast("double"), SKETCH_K).alias("sketch"))
+
+
+def sketched_quantiles(steps: DataFrame, by: list[str], step_seconds: int, width: int, wanted: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """(window_start, labels, quantile, value) over windows of ``width`` steps, one window per step, from merged sketches.
+
+    Values need no bounds fixed beforehand. Sketches travel into the windows that cover them, requests never do.
+    """
+    covered = F.explode(F.sequence(F.col("step") - (width - 1), F.col("step"))).alias("at")
+    merged = steps.select(covered, *by, "sketch").groupBy("at", *by).agg(F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+    start = from_micros(F.col("at") * (step_seconds * SECOND)).alias("window_start")
+    answers = [F.struct(F.lit(q).alias("quantile"), F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("value")) for q in wanted]
+    return merged.select(start, *by, F.inline(F.array(*answers)))
+
+
+def sketch_ranks(found: DataFrame, log: DataFrame, step_seconds: int, width: int) -> DataFrame:
+    """(window_start, intent, quantile, observations, within): whether each latency quantile's exact rank is near enough."""
+    at = F.floor(micros(F.col("started_at")) / F.lit(step_seconds * SECOND)).cast("bigint")
+    windows = F.explode(F.sequence(F.col("step") - (width - 1), F.col("step"))).alias("at")
+    # Requests are summed per step and value before they enter windows.
+    values = log.groupBy(at.alias("step"), "latency_us", intent_label()).agg(F.count("*").alias("n"))
+    seen = values.select(windows, "intent", latency_seconds().alias("v"), "n")
+    seen = seen.select(from_micros(F.col("at") * (step_seconds * SECOND)).alias("window_start"), "intent", "v", "n")
+    below, upto = (F.sum(F.when(c, F.col("n")).otherwise(0)) for c in (F.col("v") < F.col("value"), F.col("v") <= F.col("value")))
+    ranked = found.join(seen, ["window_start", "intent"]).groupBy("window_start", "intent", "quantile")
+    ranked = ranked.agg(F.sum("n").alias("observations"), below.alias("below"), upto.alias("upto"))
+    lowest, highest = F.col("below") / F.col("observations"), F.col("upto") / F.col("observations")
+    within = (lowest <= F.col("quantile") + SKETCH_RANK_ERROR) & (highest >= F.col("quantile") - SKETCH_RANK_ERROR)
+    return ranked.select("window_start", "intent", "quantile", "observations", within.alias("within"))
+
+
 def _cost_columns() -> list[Column]:
     micro, requests = F.col("micro").cast("double"), F.col("requests").cast("double")
     return [(micro / 1e6).alias("cost_usd"), round_to(micro / requests / 1e6, 8).alias("mean_cost_usd")]
@@ -246,27 +311,28 @@ def sliding_mean_cost(log: DataFrame, seconds: int = RATE_SECONDS) -> DataFrame:
     return rows.select("window_start", "requests", *_cost_columns())
 
 
+def flight_steps(log: DataFrame) -> DataFrame:
+    """(us, step): requests that start less those that end, per instant."""
+    ends = F.array(
+        F.struct(micros(F.col("started_at")).alias("us"), F.lit(1).alias("step")),
+        F.struct((micros(F.col("started_at")) + F.col("latency_us")).alias("us"), F.lit(-1).alias("step")),
+    )
+    return log.select(F.explode(ends).alias("s")).select("s.us", "s.step").groupBy("us").agg(F.sum("step").alias("step"))
+
+
 def in_flight(log: DataFrame, cell_seconds: int = 60) -> DataFrame:
-    """Open requests after every instant at which a request starts or ends.
+    """Open requests after every instant at which a request starts or ends."""
+    return in_flight_of(flight_steps(log), cell_seconds)
+
 
-    A running sum over all time would be one task. Steps are summed per instant, then per minute; minutes get their
-    opening balance from a running sum over one row per minute, and instants are summed inside their minute only.
+def in_flight_of(steps: DataFrame, cell_seconds: int = 60) -> DataFrame:
+    """The gauge from the steps of instants.
+
+    A running sum over all time would be one task. Minutes get their opening balance from a running sum over one row per
+    minute, and instants are summed inside their minute only.
     """
     us = F.col("us")
-    steps = (
-        log.select(
-            F.explode(
-                F.array(
-                    F.struct(micros(F.col("started_at")).alias("us"), F.lit(1).alias("step")),
-                    F.struct((micros(F.col("started_at")) + F.col("latency_us")).alias("us"), F.lit(-1).alias("step")),
-                )
-            ).alias("s")
-        )
-        .select("s.us", "s.step")
-        .groupBy("us")
-        .agg(F.sum("step").alias("step"))
-        .withColumn("minute", F.floor(us / F.lit(cell_seconds * SECOND)).cast("bigint"))
-    )
+    steps = steps.withColumn("minute", F.floor(us / F.lit(cell_seconds * SECOND)).cast("bigint"))
     earlier = W.orderBy("minute").rowsBetween(W.unboundedPreceding, -1)
     opening = (
         steps.groupBy("minute")

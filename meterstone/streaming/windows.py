@@ -112,6 +112,23 @@ def run_to_table(result: DataFrame, spark: SparkSession, label: str) -> DataFram
     return spark.read.schema(result.schema).parquet(path)
 
 
+def run_update(cells: DataFrame, keys: list[str], spark: SparkSession, label: str) -> DataFrame:
+    """Update mode: a trigger writes the cells that it changed; read back, each cell has its last value.
+
+    The state is one row per cell, and a trigger's work follows its own calls, not all cells.
+    """
+    path = new_scratch(spark, label)
+
+    def changed(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    writer = cells.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", new_scratch(spark, f"{label}-state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{cells.schema.toDDL()}, epoch int").parquet(path)
+    last = F.max_by(F.struct(*[c for c in cells.columns if c not in keys]), "epoch").alias("last")
+    return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
+
+
 def run_complete(result: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """Complete mode: every trigger replaces the whole result; windows still open are part of it.
 

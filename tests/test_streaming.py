@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from meterstone.operators import querylog
+from meterstone.operators import querylog, telemetry
 from meterstone.session import new_scratch
 from meterstone.sources import query_log
 from meterstone.streaming import governance, windows
@@ -164,3 +164,12 @@ def test_calls_without_a_key_share_one_quota(spark):
     log = windows.read_log(windows.stream_session(spark), path, files="*.parquet")
     got = {r.request_id: (r.throttle_key, r.admitted) for r in governance.throttle(log, spark, "caller", 2, 60).collect()}
     assert got == {0: (None, True), 1: (None, True), 2: (None, False)}
+
+
+def test_updated_cells_equal_the_batch_over_several_triggers(spark, folder, parts):
+    log = telemetry.graded(stream(spark, folder))
+    every = telemetry.graded(batch_log(spark, parts[0] + parts[1] + parts[2]))
+    cells = windows.run_update(telemetry.counter_cells(log), list(telemetry.COUNTER_LABELS), spark, "cells")
+    assert as_set(telemetry.counters_of(cells)) == as_set(telemetry.counters(every))
+    steps = windows.run_update(telemetry.flight_steps(stream(spark, folder)), ["us"], spark, "steps")
+    assert as_set(telemetry.in_flight_of(steps)) == as_set(telemetry.in_flight(every))

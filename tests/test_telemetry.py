@@ -79,3 +79,20 @@ def test_cap_reports_the_true_size(spark):
     rows = querylog.cap(spark.range(30), [F.col("id").desc()], rows=4).collect()
     assert [r.id for r in rows] == [29, 28, 27, 26] and {r.row_count for r in rows} == {30}
     assert all(r.truncated for r in rows)
+
+
+def test_merged_sketches_stay_within_their_bound(spark):
+    """Skewed latencies, many more than a sketch holds; ranks are held against the exact ones."""
+    log = spark.range(120_000).select(
+        (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(F.col("id") % 6)).alias("started_at"),
+        (F.pow(F.rand(3), 6) * 3e7).cast("bigint").alias("latency_us"),
+        F.lit("metric_query").alias("intent"),
+    )
+    steps = telemetry.sketch_steps(log, telemetry.latency_seconds(), [telemetry.intent_label()], 86_400)
+    assert steps.count() == 6 and steps.agg(F.max(F.length("sketch"))).first()[0] < 20_000
+    ranked = telemetry.sketch_ranks(telemetry.sketched_quantiles(steps, ["intent"], 86_400, 3), log, 86_400, 3).collect()
+    assert len(ranked) == 3 * 8 and all(r.within for r in ranked)
+    assert max(r.observations for r in ranked) == 60_000
+    # A wrong answer is told apart.
+    wrong = telemetry.sketched_quantiles(steps, ["intent"], 86_400, 3, (0.5,)).withColumn("quantile", F.lit(0.95))
+    assert not any(r.within for r in telemetry.sketch_ranks(wrong, log, 86_400, 3).collect())
