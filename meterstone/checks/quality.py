@@ -1,11 +1,15 @@
 """Queries for data tests, inventory and sources."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from meterstone.checks.ctes import listed, quoted
 from meterstone.checks.registry import stored_check as check
 from meterstone.config import DEFAULTS
 from meterstone.operators import inventory, quality
 from meterstone.session import new_scratch
-from meterstone.sources import csv_tables, sinks
+from meterstone.sources import csv_tables, schemas, sinks
 
 _CTE = {
     "stg_users": "{users}",
@@ -171,16 +175,47 @@ def _(w):
     return inventory.inventory({**_raw_and_staging(w), **w.marts})
 
 
+# A catalog in which two models were never saved, one lacks a column, one has a column of another type and one has a column
+# that nobody declared.
 _ABSENT = ("stg_payments", "mart_funnel_analysis")
+_LOST, _OTHER, _NEW = ("mart_user_metrics", "dau"), ("stg_users", "signup_date"), ("mart_cohort_retention", "lost_pct")
+
+
+# Where the shared table expressions name a column otherwise.
+_SQL_NAMES = {"monthly_twelfths": "twelfths"}
 
 
-@check("inventory_missing", f"from (values {', '.join(f'({quoted(n)})' for n in (*_ABSENT, *_RAW))}) as t(table_name)")
+def _diff_sql(table: str) -> str:
+    parts = []
+    for name, kind in schemas.columns(schemas.MODELS[table]):
+        at = (table, name)
+        saved = "null" if table in _ABSENT or at == _LOST else quoted("string" if at == _OTHER else kind)
+        state = "missing" if saved == "null" else "type" if at == _OTHER else "ok"
+        rows, filled = ("null", "null") if saved == "null" else ("count(*)", f"count({_SQL_NAMES.get(name, name)})")
+        source = "" if saved == "null" else f" from {_CTE[table]}"
+        parts.append(f"select {quoted(table)}, {quoted(name)}, {quoted(kind)}, {saved}, {quoted(state)}, {rows}, {filled}{source}")
+    return "\nunion all\n".join(parts)
+
+
+@check(
+    "catalog_diff",
+    "select table_name, column_name, declared_type, saved_type, state, cast(rows as bigint) as rows, cast(filled as bigint) as filled from (\n"
+    + "\nunion all\n".join(_diff_sql(t) for t in schemas.MODELS)
+    + f"\nunion all select {quoted(_NEW[0])}, {quoted(_NEW[1])}, null, 'double', 'undeclared', count(*), count(retention_rate_pct) from {_CTE[_NEW[0]]}\n"
+    ") as t(table_name, column_name, declared_type, saved_type, state, rows, filled)",
+)
 def _(w):
-    """A catalog in which the raw tables and two views were never created."""
-    session = w.spark.newSession()
-    w.register_views(session, leave_out=_ABSENT)
-    names = [(n,) for n in inventory.missing_tables(session).toPandas()["table_name"]]
-    return w.spark.createDataFrame(names, "table_name string")
+    tables = {n: df for n, df in _all_tables(w).items() if n not in _ABSENT}
+    tables[_LOST[0]] = tables[_LOST[0]].drop(_LOST[1])
+    tables[_OTHER[0]] = tables[_OTHER[0]].withColumn(_OTHER[1], F.col(_OTHER[1]).cast("string"))
+    tables[_NEW[0]] = tables[_NEW[0]].withColumn(_NEW[1], 100 - F.col("retention_rate_pct"))
+    database = f"meterstone_{uuid.uuid4().hex}"
+    sinks.save_tables(w.spark, database, tables)
+    diff = inventory.catalog_diff(w.spark, database, schemas.MODELS)
+    # The result has read the catalog and knows the files, so the names can go.
+    diff.schema  # noqa: B018
+    w.spark.sql(f"drop database `{database}` cascade")
+    return diff
 
 
 @check(

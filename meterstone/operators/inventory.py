@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterstone.sources.schemas import columns
+
 # Smallest accepted row counts.
 ROW_FLOORS = {
     "raw_users": 900,
@@ -48,6 +50,49 @@ def missing_tables(spark: SparkSession, expected: tuple[str, ...] = EXPECTED_TAB
     return want.join(have, "table_name", "left_anti")
 
 
+def saved_columns(spark: SparkSession, database: str) -> DataFrame:
+    """(table_name, column_name, saved_type) that the session catalog has for a database."""
+    listed = [
+        (t.name, c.name, c.dataType)
+        for t in spark.catalog.listTables(database)
+        if t.tableType != "TEMPORARY"
+        for c in spark.catalog.listColumns(f"`{database}`.`{t.name}`")
+    ]
+    return spark.createDataFrame(listed, "table_name string, column_name string, saved_type string")
+
+
+def _filled(df: DataFrame, name: str) -> DataFrame:
+    """(table_name, column_name, rows, filled) of a table's columns from one pass over it."""
+    counts = df.agg(F.count("*").alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col("rows"), F.col(f"c{i}").alias("filled")) for i, c in enumerate(df.columns)]
+    return counts.select(F.lit(name).alias("table_name"), F.inline(F.array(*cells)))
+
+
+def catalog_diff(spark: SparkSession, database: str, declared: Mapping[str, str]) -> DataFrame:
+    """(table_name, column_name, declared_type, saved_type, state, rows, filled) of declared and saved columns.
+
+    ``declared`` has the columns of each expected table, as ``sources.schemas`` states them. A column is ok, missing (its table may be), of another type,
+    or undeclared. Saved tables tell their rows and how many of them fill the column.
+    """
+    want = spark.createDataFrame(
+        [(t, name, kind) for t, declaration in declared.items() for name, kind in columns(declaration)],
+        "table_name string, column_name string, declared_type string",
+    )
+    have = saved_columns(spark, database)
+    names = [t.name for t in spark.catalog.listTables(database) if t.tableType != "TEMPORARY"]
+    counts = [_filled(spark.table(f"`{database}`.`{n}`"), n) for n in names]
+    none = spark.createDataFrame([], "table_name string, column_name string, rows bigint, filled bigint")
+    counted = have.join(reduce(DataFrame.unionByName, counts, none), ["table_name", "column_name"])
+    state = (
+        F.when(F.col("saved_type").isNull(), "missing")
+        .when(F.col("declared_type").isNull(), "undeclared")
+        .when(F.col("declared_type") != F.col("saved_type"), "type")
+        .otherwise("ok")
+    )
+    joined = want.join(counted, ["table_name", "column_name"], "full")
+    return joined.select("table_name", "column_name", "declared_type", "saved_type", state.alias("state"), "rows", "filled")
+
+
 def _count_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
     parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -1,4 +1,5 @@
 import os
+import uuid
 
 import pytest
 
@@ -96,3 +97,30 @@ def test_rule_statuses(spark):
             ("accepted_values", 0, "pass"),
         ]
     )
+
+
+def test_catalog_diff_tells_each_kind_of_difference(spark):
+    database = f"t{uuid.uuid4().hex}"
+    frames = {
+        "a": spark.createDataFrame([(1, None), (2, "x")], "id bigint, `odd name` string"),
+        "b": spark.createDataFrame([], "id int"),
+        "extra": spark.createDataFrame([(1,)], "v int"),
+    }
+    declared = {"a": "id bigint, lost date", "b": "id bigint, price decimal(10,2)", "gone": "id bigint"}
+    sinks.save_tables(spark, database, frames)
+    got = {(r.table_name, r.column_name): (r.declared_type, r.saved_type, r.state, r.rows, r.filled) for r in inventory.catalog_diff(spark, database, declared).collect()}
+    assert got == {
+        ("a", "id"): ("bigint", "bigint", "ok", 2, 2), ("a", "odd name"): (None, "string", "undeclared", 2, 1), ("a", "lost"): ("date", None, "missing", None, None),
+        ("b", "id"): ("bigint", "int", "type", 0, 0), ("b", "price"): ("decimal(10,2)", None, "missing", None, None),
+        ("gone", "id"): ("bigint", None, "missing", None, None), ("extra", "v"): (None, "int", "undeclared", 1, 1),
+    }
+    spark.sql(f"drop database {database} cascade")
+    spark.sql(f"create database {database}")
+    assert {r.state for r in inventory.catalog_diff(spark, database, declared).collect()} == {"missing"}
+
+
+@needs_data
+def test_declared_models_are_those_that_are_built(spark):
+    w = Warehouse(spark, SF)
+    for name, df in {**w.staging_views, **w.marts}.items():
+        assert schemas.columns(schemas.MODELS[name]) == [(f.name, f.dataType.simpleString()) for f in df.schema]
