@@ -1,9 +1,11 @@
 """Queries for staging, marts and exports."""
 
+from pyspark.sql import functions as F
 
 from meterstone.checks.ctes import dsum
 from meterstone.checks.registry import ORACLES, QUERIES, check, stored_check
 from meterstone.plans import exports, funnel, retention, revenue, user_metrics
+from meterstone.plans.monthly import MonthlyUserMetrics
 from meterstone.session import new_scratch
 from meterstone.sources import csv_tables
 
@@ -43,6 +45,17 @@ def _(w):
     return w.user_metrics
 
 
+@check("mart_user_metrics_monthly", "from {mart_users}")
+def _(w):
+    """The mart after two arrivals of event files: the second one builds the months that it holds again, and no others."""
+    events, arriving = w.table("events"), f"{new_scratch(w.spark, 'arriving')}/events.parquet"
+    layer = MonthlyUserMetrics(w, arriving)
+    for part in (F.col("event_id") % 3 != 0, F.col("event_id") % 3 == 0):
+        events.where(part).write.mode("append").parquet(arriving)
+        layer.refresh()
+    return layer.user_metrics
+
+
 @check(
     "daily_active_spine",
     """select cast(d as date) as metric_date,

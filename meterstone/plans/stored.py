@@ -1,6 +1,6 @@
 """Staging and marts written once per input and read by everything downstream.
 
-A table lives under a stamp of the input files (path, length, modification time), the settings and the layer's version,
+A table lives under a stamp of the input files (path, length, modification time), the settings and the source of the rules,
 so a changed input or rule gives a new table and nothing stale is read. A build goes to a folder of its own and is moved
 into place when it is complete; of two sessions that build at once, one wins and the other reads its result.
 """
@@ -8,20 +8,22 @@ into place when it is complete; of two sessions that build at once, one wins and
 from __future__ import annotations
 
 import hashlib
+import inspect
 import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cache, cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from meterstone.plans import revenue
+from meterstone import config
+from meterstone.functions import clock, numeric, text
+from meterstone.operators import staging
+from meterstone.plans import funnel, retention, revenue, user_metrics
 from meterstone.plans.warehouse import Warehouse
 from meterstone.session import scratch_root
+from meterstone.sources import adapters
 from meterstone.sources.adapters import TABLES
 
-#: Raised whenever a rule of staging or a mart changes.
-VERSION = 1
-
 #: Leading sort columns inside the files, so that row groups can be skipped by date.
 ORDER = {
     "stg_users": ("signup_date", "user_id"),
@@ -35,6 +37,24 @@ ORDER = {
 }
 
 
+#: Modules whose source decides what staging and marts hold.
+_RULES = (adapters, clock, config, funnel, numeric, retention, revenue, staging, text, user_metrics)
+
+
+@cache
+def rules_stamp() -> str:
+    """A stamp of the rules' own source: nobody has to remember to raise a version."""
+    return hashlib.sha256("\n".join(inspect.getsource(m) for m in _RULES).encode()).hexdigest()[:24]
+
+
+def listed_files(spark: SparkSession, place: str) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of a table that is one file or a folder of them, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    files = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+    return sorted(f for f in files if f[0].rsplit("/", 1)[-1][:1] not in ("_", "."))
+
+
 class StoredWarehouse(Warehouse):
     """The same frames as ``Warehouse``, read from written tables; a table is built when it is first asked for."""
 
@@ -47,11 +67,9 @@ class StoredWarehouse(Warehouse):
 
     @cached_property
     def stamp(self) -> str:
-        parts = [f"{VERSION}", repr(self.settings)]
+        parts = [rules_stamp(), repr(self.settings)]
         for name in sorted(TABLES):
-            path = self._path(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
-            listed = self._files(path).listStatus(path)
-            parts += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in listed)
+            parts += map(repr, listed_files(self.spark, f"{self.sf_dir.rstrip('/')}/{name}.parquet"))
         return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:24]
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -94,7 +94,8 @@ def raw_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events of both sources; ``events`` stands for some of the files of that table."""
     priority = F.substring("o_orderpriority", 1, 1)
     okey = F.col("o_orderkey")
     from_orders = table(spark, sf_dir, "orders").select(
@@ -112,7 +113,8 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kind = F.col("event_type")
     ekey = F.col("event_id")
-    from_events = table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events") if events is None else events
+    from_events = events.select(
         _tag("E", ekey).alias("event_id"),
         _tag("U", F.col("user_id")).alias("user_id"),
         F.when(kind == "view", "page_view")
