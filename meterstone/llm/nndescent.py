@@ -8,8 +8,8 @@ the pivot's own neighbours, so no list is cut short and no group grows. Pivots m
 each vector once.
 
 A query walks the graph: it keeps the POOL best nodes seen and expands the nearest unexpanded ones, a join with the graph a
-round, until none is left. The graph holds neighbours' vectors as bytes scaled per vector; the pool is ranked again by the
-original vectors in double precision.
+round, until none is left. Vectors travel as 16-bit numbers scaled per vector; the pool is ranked again by the original
+vectors in double precision.
 """
 
 from __future__ import annotations
@@ -26,25 +26,33 @@ from meterstone.session import through_table
 
 NEAREST, EVERY = 10, 100
 #: Neighbours of a node, orders of the first graph and nodes of their blocks, rounds of descent.
-NEIGHBOURS, ORDERS, BLOCK, ROUNDS = 32, 4, 1024, 3
+NEIGHBOURS, ORDERS, BLOCK, ROUNDS = 24, 8, 1024, 2
 #: Best introductions that a pivot passes on to each of its members in a round.
 PASSED = 4
 #: Nodes a query keeps, expands at once, and starts from: the nearest of a bounded sample of the index.
-POOL, EXPANDED, STARTS, SAMPLE = 256, 32, 4, 1024
+POOL, EXPANDED, STARTS, SAMPLE = 384, 48, 4, 1024
 #: Signs of projections in a node's place in an order.
 SIGNS = 24
-#: Numbers that a group of pivots holds.
-GROUP = 1 << 24
+#: Numbers that a group of pivots holds. Groups are small, so that the vectors sent to them grow with the edges at any size.
+GROUP = 1 << 19
 SEED = 11
 
 _EDGE = "array<struct<dist:float,near:bigint,fresh:boolean>>"
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float32) -> np.ndarray:
-    """A list column of equal lengths as rows."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), -1)
+def _decoded(codes: list[bytes], units: np.ndarray) -> np.ndarray:
+    """Vectors of one dimension as rows."""
+    return np.frombuffer(b"".join(codes), np.int16).reshape(len(codes), -1) * np.asarray(units, np.float32)[:, None]
+
+
+def _matrix(table: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return _decoded(table.column("code").to_pylist(), table.column("unit").to_numpy())
+
+
+def _by_dim(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        yield batch.filter(pa.array(dims == dim))
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -61,18 +69,32 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def nodes_of(rows: DataFrame, k: int) -> DataFrame:
-    """(node, dim, vec, small, members) per different vector.
+    """(node, dim, vec, code, unit, members) per different vector.
 
-    ``members`` are its k + 1 smallest ids: of equal vectors no others can be among the k nearest of anything. ``small`` is the
-    vector divided by the largest number of the table, in single precision.
+    ``members`` are its k + 1 smallest ids: of equal vectors no others can be among the k nearest of anything. ``code`` holds
+    the vector in 16-bit numbers that are worth ``unit`` each, after division by the largest number of the table.
     """
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, units = [], []
+            for vec in batch.column("small"):
+                x = vec.values.to_numpy()
+                unit = np.abs(x).max() / np.float32(32767)
+                codes.append(np.rint(x / (unit or 1)).astype(np.int16).tobytes())
+                units.append(unit)
+            columns = [batch.column("node"), batch.column("vec"), batch.column("members"), pa.array(codes, pa.binary()), pa.array(units, pa.float32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "vec", "members", "code", "unit"])
+
     order = Window.partitionBy("vec").orderBy("vec_id")
     first = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
     grouped = first.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     grouped = through_table(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     largest = grouped.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
     small = F.transform("vec", lambda x: (x / F.lit(largest)).cast("float"))
-    return grouped.select("node", F.size("vec").alias("dim"), "vec", small.alias("small"), "members")
+    kinds = "node long, vec array<double>, members array<bigint>, code binary, unit float"
+    coded_rows = grouped.select("node", "vec", "members", small.alias("small")).mapInArrow(coded, kinds)
+    return coded_rows.select("node", F.size("vec").alias("dim"), "vec", "code", "unit", "members")
 
 
 def _first_pairs(nodes: DataFrame, count: int) -> DataFrame:
@@ -80,15 +102,13 @@ def _first_pairs(nodes: DataFrame, count: int) -> DataFrame:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(1).to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                x = _matrix(part.column(2))
+            for part in _by_dim(batch):
+                x = _matrix(part)
                 for order in range(ORDERS):
-                    planes = np.random.default_rng((SEED, order, int(dim))).standard_normal((int(dim), SIGNS), dtype=np.float32)
-                    code = ((x @ planes > 0) @ (1 << np.arange(SIGNS, dtype=np.int64)[::-1])).astype(np.int64)
-                    columns = [pa.array(np.full(len(x), order, np.int32)), part.column(1), pa.array(code), part.column(0), part.column(2)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["order", "dim", "code", "node", "small"])
+                    planes = np.random.default_rng((SEED, order, x.shape[1])).standard_normal((x.shape[1], SIGNS), dtype=np.float32)
+                    sides = ((x @ planes > 0) @ (1 << np.arange(SIGNS, dtype=np.int64)[::-1])).astype(np.int64)
+                    columns = [pa.array(np.full(len(x), order, np.int32)), part.column("dim"), pa.array(sides), *(part.column(c) for c in ("node", "code", "unit"))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["order", "dim", "sides", "node", "code", "unit"])
 
     def compared(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         d = _squares(x, x)
@@ -111,15 +131,15 @@ def _first_pairs(nodes: DataFrame, count: int) -> DataFrame:
                     for half in np.array_split(np.arange(len(ids)), -(-len(ids) // BLOCK) or 1):
                         yield compared(ids[half], x[half])
                     run, ids, x = which[a], np.zeros(0, np.int64), np.zeros((0, int(which[a] & 0xFFFFFFFF)), np.float32)
-                ids, x = np.concatenate([ids, part.column(3).to_numpy()]), np.concatenate([x, _matrix(part.column(4))])
+                ids, x = np.concatenate([ids, part.column(3).to_numpy()]), np.concatenate([x, _matrix(part)])
                 while len(ids) >= 2 * BLOCK:
                     yield compared(ids[:BLOCK], x[:BLOCK])
                     ids, x = ids[BLOCK:], x[BLOCK:]
         for half in np.array_split(np.arange(len(ids)), -(-len(ids) // BLOCK) or 1):
             yield compared(ids[half], x[half])
 
-    placed = nodes.select("node", "dim", "small").mapInArrow(places, "order int, dim int, code long, node long, small array<float>")
-    keys = ["order", "dim", "code", "node"]
+    placed = nodes.select("node", "dim", "code", "unit").mapInArrow(places, "order int, dim int, sides long, node long, code binary, unit float")
+    keys = ["order", "dim", "sides", "node"]
     placed = placed.repartitionByRange(max(1, count * ORDERS // (8 * BLOCK)), *keys).sortWithinPartitions(*keys)
     return placed.mapInArrow(blocks, "node long, near long, dist float")
 
@@ -136,10 +156,10 @@ _PAIR = pa.schema([("node", pa.int64()), ("near", pa.int64()), ("dist", pa.float
 
 
 def introduced(members: pa.Table, vectors: pa.Table) -> pa.Table:
-    """What the pivots of one group pass on: members(pivot, part, member, fresh), vectors(member, small, kth)."""
+    """What the pivots of one group pass on: members(pivot, part, member, fresh), vectors(member, code, unit, kth)."""
     ids = vectors.column("member").to_numpy()
     order = np.argsort(ids)
-    ids, x, kth = ids[order], _matrix(vectors.column("small"))[order], vectors.column("kth").to_numpy()[order]
+    ids, x, kth = ids[order], _matrix(vectors)[order], vectors.column("kth").to_numpy()[order]
     pivot, part, member = (members.column(c).to_numpy() for c in ("pivot", "part", "member"))
     fresh = members.column("fresh").to_numpy()
     at = np.searchsorted(ids, member)
@@ -181,9 +201,9 @@ def _round(nodes: DataFrame, graph: DataFrame, groups: int) -> DataFrame:
     group = F.pmod(F.xxhash64("pivot", "part"), F.lit(groups)).cast("int")
     members = through_table(naming.unionByName(own).withColumn("g", group), "members")
     kth = F.when(F.size("edges") == NEIGHBOURS, F.element_at("edges", -1)["dist"]).otherwise(float("inf")).cast("float")
-    vectors = nodes.select("node", "small").join(graph.select("node", kth.alias("kth")), "node").withColumnRenamed("node", "member")
+    vectors = nodes.select("node", "code", "unit").join(graph.select("node", kth.alias("kth")), "node").withColumnRenamed("node", "member")
     vectors = members.select("dim", "g", "member").distinct().join(vectors, "member")
-    vectors = vectors.select(F.col("dim").alias("of"), F.col("g").alias("to"), F.col("member").alias("member"), "small", "kth")
+    vectors = vectors.select(F.col("dim").alias("of"), F.col("g").alias("to"), F.col("member").alias("member"), "code", "unit", "kth")
     met = members.groupBy("dim", "g").cogroup(vectors.groupBy("of", "to")).applyInArrow(introduced, "node long, near long, dist float")
     return _edges(graph, F.lit(False)).unionByName(met.withColumn("fresh", F.lit(True)))
 
@@ -204,27 +224,9 @@ def build(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return graph
 
 
-def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as signed bytes, and what a byte is worth."""
-    unit = np.abs(x).max(axis=1) / np.float32(127)
-    return np.rint(x / np.where(unit > 0, unit, 1)[:, None]).astype(np.int8), unit
-
-
-def _codes(nodes: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(1).to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                code, unit = _coded(_matrix(part.column(2)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(unit)], names=["near", "code", "unit"])
-
-    return nodes.select("node", "dim", "small").mapInArrow(run, "near long, code binary, unit float")
-
-
 def walkable(nodes: DataFrame, graph: DataFrame) -> DataFrame:
     """(node, near, codes, units) with the neighbours' vectors beside their ids, laid out by node."""
-    pairs = graph.select("node", F.explode("edges.near").alias("near")).join(_codes(nodes), "near")
+    pairs = graph.select("node", F.explode("edges.near").alias("near")).join(nodes.select(F.col("node").alias("near"), "code", "unit"), "near")
     lists = pairs.groupBy("node").agg(F.collect_list(F.struct("near", "code", "unit")).alias("all"))
     return bucketed(lists.select("node", F.col("all.near").alias("near"), F.col("all.code").alias("codes"), F.col("all.unit").alias("units")), "node")
 
@@ -234,8 +236,7 @@ def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            y = np.frombuffer(b"".join(row["codes"]), np.int8).reshape(len(row["near"]), -1) * np.array(row["units"], np.float32)[:, None]
-            d = _squares(np.array(row["small"], np.float32)[None], y)[0]
+            d = _squares(_decoded([row["code"]], [row["unit"]]), _decoded(row["codes"], row["units"]))[0]
             better = np.flatnonzero(d < row["bound"])
             out.append((np.full(len(better), row["query"], np.int64), np.array(row["near"], np.int64)[better], d[better]))
         if out:
@@ -249,23 +250,23 @@ def _started(sample: dict[int, tuple[np.ndarray, np.ndarray]]):
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                x = np.array(row["small"], np.float32)
-                ids, y = sample.value.get(len(x), (np.zeros(0, np.int64), np.zeros((0, len(x)), np.float32)))
-                d = _squares(x[None], y)[0]
+                x = _decoded([row["code"]], [row["unit"]])
+                ids, y = sample.value.get(x.shape[1], (np.zeros(0, np.int64), np.zeros((0, x.shape[1]), np.float32)))
+                d = _squares(x, y)[0]
                 near = np.argsort(d, kind="stable")[:STARTS]
                 pool = [] if row["own"] is None else [(-1.0, row["own"], False)]
                 pool += [(float(d[j]), int(ids[j]), False) for j in near if ids[j] != row["own"]]
-                rows.append({"query": row["query"], "small": row["small"], "pool": [dict(zip(("dist", "node", "done"), p, strict=True)) for p in pool]})
+                rows.append({"query": row["query"], "code": row["code"], "unit": row["unit"], "pool": [dict(zip(("dist", "node", "done"), p, strict=True)) for p in pool]})
             yield pa.RecordBatch.from_pylist(rows, schema=_STATE)
 
     return run
 
 
 _STATE = pa.schema([
-    ("query", pa.int64()), ("small", pa.list_(pa.float32())),
+    ("query", pa.int64()), ("code", pa.binary()), ("unit", pa.float32()),
     ("pool", pa.list_(pa.struct([("dist", pa.float32()), ("node", pa.int64()), ("done", pa.bool_())]))),
 ])
-_STATE_DDL = "query long, small array<float>, pool array<struct<dist:float,node:bigint,done:boolean>>"
+_STATE_DDL = "query long, code binary, unit float, pool array<struct<dist:float,node:bigint,done:boolean>>"
 
 
 def _advanced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,24 +283,24 @@ def _advanced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in row["reached"] or []:
                 pool.setdefault(c["near"], (c["dist"], False))
             best = sorted((d, node, done) for node, (d, done) in pool.items())[:POOL]
-            rows.append({"query": row["query"], "small": row["small"], "pool": [dict(zip(("dist", "node", "done"), p, strict=True)) for p in best]})
+            rows.append({"query": row["query"], "code": row["code"], "unit": row["unit"], "pool": [dict(zip(("dist", "node", "done"), p, strict=True)) for p in best]})
         yield pa.RecordBatch.from_pylist(rows, schema=_STATE)
 
 
 def walk(graph: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, pool) after greedy search; ``queries(query, own, small)`` with the query's own node or null."""
+    """(query, pool) after greedy search; ``queries(query, own, code, unit)`` with the query's own node or null."""
     spark = nodes.sparkSession
     sample: dict[int, list] = {}
-    for row in nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("node", "small").collect():
-        sample.setdefault(len(row.small), []).append(row)
-    entries = {dim: (np.array([r.node for r in rs]), np.array([r.small for r in rs], np.float32)) for dim, rs in sample.items()}
+    for row in nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("node", "dim", "code", "unit").collect():
+        sample.setdefault(row.dim, []).append(row)
+    entries = {dim: (np.array([r.node for r in rs]), _decoded([bytes(r.code) for r in rs], [r.unit for r in rs])) for dim, rs in sample.items()}
     shared = spark.sparkContext.broadcast(entries)
-    state = through_table(queries.select("query", "own", "small").mapInArrow(_started(shared), _STATE_DDL), "pools")
+    state = through_table(queries.select("query", "own", "code", "unit").mapInArrow(_started(shared), _STATE_DDL), "pools")
     open_ = F.filter("pool", lambda p: ~p["done"])
     while state.filter(F.size(open_) > 0).limit(1).count():
         bound = F.when(F.size("pool") >= POOL, F.element_at("pool", -1)["dist"]).otherwise(float("inf")).cast("float")
-        asked = state.select("query", "small", bound.alias("bound"), F.explode(F.slice(open_, 1, EXPANDED)["node"]).alias("node"))
-        reached = asked.join(graph, "node").select("query", "small", "bound", "near", "codes", "units")
+        asked = state.select("query", "code", "unit", bound.alias("bound"), F.explode(F.slice(open_, 1, EXPANDED)["node"]).alias("node"))
+        reached = asked.join(graph, "node").select("query", "code", "unit", "bound", "near", "codes", "units")
         reached = reached.mapInArrow(_reached, "query long, near long, dist float")
         reached = reached.groupBy("query").agg(F.collect_list(F.struct("near", "dist")).alias("reached"))  # EXPANDED * NEIGHBOURS at most
         state = through_table(state.join(reached, "query", "left").mapInArrow(_advanced, _STATE_DDL), "pools")
@@ -330,10 +331,10 @@ def nearest(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFra
     rows = valid(vectors)
     nodes = through_table(nodes_of(rows, k), "vectors")
     graph = walkable(nodes, build(nodes))
-    asking = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).join(nodes.select("vec", "node", "small"), "vec").select(F.col("vec_id").alias("query_id"), "node", "small")
+    asking = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).join(nodes.select("vec", "node", "code", "unit"), "vec").select(F.col("vec_id").alias("query_id"), "node", "code", "unit")
     asking = through_table(asking, "asking")
     # Queries of one vector are one search.
-    queries = asking.groupBy(F.col("node").alias("query")).agg(F.first("small").alias("small")).withColumn("own", F.col("query"))
+    queries = asking.groupBy(F.col("node").alias("query")).agg(F.first("code").alias("code"), F.first("unit").alias("unit")).withColumn("own", F.col("query"))
     pools = walk(graph, nodes, queries).select("query", F.explode("pool.node").alias("node"))
     asked = nodes.select(F.col("node").alias("query"), F.col("vec").alias("asked"))
     met = pools.join(nodes.select("node", "vec", "members"), "node").join(asked, "query")

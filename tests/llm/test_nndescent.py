@@ -69,7 +69,7 @@ def test_a_pivot_introduces_its_members():
     import pyarrow as pa
 
     x = np.array([[0, 0], [1, 0], [5, 0], [1.5, 0]], np.float32)
-    vectors = pa.table({"member": [10, 11, 12, 13], "small": list(x), "kth": pa.array([9.0, 9.0, 9.0, 0.1], pa.float32())})
+    vectors = pa.table({"member": [10, 11, 12, 13], "code": [(r * 2).astype(np.int16).tobytes() for r in x], "unit": pa.array([0.5] * 4, pa.float32()), "kth": pa.array([9.0, 9.0, 9.0, 0.1], pa.float32())})
     members = pa.table({"pivot": [1, 1, 1, 1, 2, 2], "part": pa.array([0] * 6, pa.int32()), "member": [10, 11, 12, 13, 10, 12], "fresh": [True, False, False, False, False, False]})
     got = nndescent.introduced(members, vectors).to_pylist()
     assert {(r["node"], r["near"], r["dist"]) for r in got} == {(10, 11, 1.0), (11, 10, 1.0), (10, 13, 2.25)}
