@@ -364,24 +364,50 @@ CTES["sigma"] = (
 """
 )
 
+
+def _trended_sql(bends: int = 4) -> str:
+    """The bending line by its normal equations, one knot after the other."""
+    knots = range(bends + 1)
+    hat = [f"greatest(0.0, 1 - abs(place - {k}))" for k in knots]
+    sums = [f"sum({hat[k]} * {hat[k]}) + 1e-12 * count(y) as a{k}" for k in knots]
+    sums += [f"sum({hat[k]} * {hat[k + 1]}) as c{k}" for k in knots[:-1]]
+    sums += [f"sum({hat[k]} * (y - mean)) as b{k}" for k in knots]
+    solved = f"select metric, {', '.join(sums)} from placed group by metric"
+    for k in knots[1:]:
+        solved = (
+            f"select * replace (a{k} - c{k - 1} / a{k - 1} * c{k - 1} as a{k}, b{k} - c{k - 1} / a{k - 1} * b{k - 1} as b{k}) from ({solved})"
+        )
+    solved = f"select *, b{bends} / a{bends} as w{bends} from ({solved})"
+    for k in reversed(knots[:-1]):
+        solved = f"select *, (b{k} - c{k} * w{k + 1}) / a{k} as w{k} from ({solved})"
+    height = " + ".join(f"{hat[k]} * w{k}" for k in knots)
+    return f"""
+with placed as (
+  select s.*, mean, ifnull((s.ds - first_day) / cast(nullif(last_day - first_day, 0) as double) * {bends}, 0.0) as place
+  from {{series}} s join (select metric, min(ds) as first_day, max(ds) as last_day, avg(y) as mean from {{series}} group by metric) m on m.metric = s.metric
+)
+select p.metric, p.ds, p.y, mean + ({height}) as trend from placed p join ({solved}) w on w.metric = p.metric
+"""
+
+
+CTES["trended"] = _trended_sql()
+
 CTES["seasonal"] = (
     _alerts("seasonal", "expected - half", "expected + half", "cast(null as double)", "(")
     + """
-  select *, 1.96 * stddev_samp(y - expected) over (partition by metric) as half
+  select *, greatest(1.96 * stddev_samp(y - expected) over (partition by metric), 1e-9 * max(abs(y)) over (partition by metric)) as half
   from (
     select metric, ds, y, trend + season
       + if(daily, avg(y - trend - season) over (partition by metric, isodow(ds)), 0.0) as expected
     from (
       select *, if(yearly, avg(y - trend) over (partition by metric, month(ds)), 0.0) as season
       from (
-        select s.metric, s.ds, s.y, intercept + slope * (s.ds - date '2000-01-01') as trend, yearly, daily
-        from {series} s
+        select t.metric, t.ds, t.y, t.trend, yearly, daily
+        from {trended} t
         join (
-          select metric, regr_slope(y, ds - date '2000-01-01') as slope,
-            regr_intercept(y, ds - date '2000-01-01') as intercept,
-            max(ds) - min(ds) >= 730 as yearly, max(day(ds)) > 1 as daily
+          select metric, max(ds) - min(ds) >= 730 as yearly, max(day(ds)) > 1 as daily
           from {series} group by metric having count(*) >= 14
-        ) t on t.metric = s.metric
+        ) f on f.metric = t.metric
       )
     )
   )

@@ -17,6 +17,10 @@ WINDOW_ROWS = 30
 MIN_POINTS = 7
 # A yearly effect needs two years.
 YEARLY_DAYS = 730
+#: Pieces of equal length that the trend line is made of.
+BENDS = 4
+#: Added to the diagonal of the trend's equations per point, and the least half width of a band as a share of its largest value.
+RIDGE, ROUNDING = 1e-12, 1e-9
 BAND_Z = 1.96
 FEED_SIZE = 20
 
@@ -102,20 +106,48 @@ def sigma(
     return _flagged(scored.where(F.abs("z") > k).withColumns({"lower": none, "upper": none}), "3sigma")
 
 
-def seasonal(series: DataFrame, z: float = BAND_Z, min_history: int = MIN_HISTORY) -> DataFrame:
-    """Points outside a band around linear trend plus yearly and weekly effects.
+def _hat(k: int) -> Column:
+    """Weight of knot ``k`` at a point's place: 1 there, falling to 0 at the neighbouring knots."""
+    return F.greatest(F.lit(0.0), 1 - F.abs(F.col("place") - k))
+
+
+def _trend(series: DataFrame, bends: int) -> DataFrame:
+    """``series`` with ``trend``: the least-squares line that may bend at ``bends`` - 1 equal steps of each metric's time.
+
+    Such a line is a sum of one hat function per knot. Only neighbouring hats overlap, so the normal equations have three
+    diagonals; their sums come from one grouped aggregate and are solved in one row per metric, first downwards, then up.
+    """
+    span = series.groupBy("metric").agg(F.min("ds").alias("first"), F.nullif(F.datediff(F.max("ds"), F.min("ds")), F.lit(0)).alias("days"), F.avg("y").alias("mean"))
+    place = F.coalesce(F.datediff("ds", F.col("first")) / F.col("days") * bends, F.lit(0.0))
+    placed = series.join(span, "metric").withColumn("place", place).withColumn("from_mean", F.col("y") - F.col("mean"))
+    knots = range(bends + 1)
+    sums = [F.sum(_hat(k) * _hat(k)).alias(f"a{k}") for k in knots]
+    sums += [F.sum(_hat(k) * _hat(k + 1)).alias(f"c{k}") for k in knots[:-1]]
+    sums += [F.sum(_hat(k) * F.col("from_mean")).alias(f"b{k}") for k in knots]
+    solved = placed.groupBy("metric").agg(*sums, F.count("y").alias("n"))
+    # A knot without points near it has no equation of its own; the ridge keeps its weight finite.
+    solved = solved.withColumns({f"a{k}": F.col(f"a{k}") + RIDGE * F.col("n") for k in knots})
+    for k in knots[1:]:
+        share = F.col(f"c{k - 1}") / F.col(f"a{k - 1}")
+        solved = solved.withColumns({f"a{k}": F.col(f"a{k}") - share * F.col(f"c{k - 1}"), f"b{k}": F.col(f"b{k}") - share * F.col(f"b{k - 1}")})
+    solved = solved.withColumn(f"w{bends}", F.col(f"b{bends}") / F.col(f"a{bends}"))
+    for k in reversed(knots[:-1]):
+        solved = solved.withColumn(f"w{k}", (F.col(f"b{k}") - F.col(f"c{k}") * F.col(f"w{k + 1}")) / F.col(f"a{k}"))
+    height = sum((_hat(k) * F.col(f"w{k}") for k in knots[1:]), _hat(0) * F.col("w0"))
+    weights = solved.select("metric", *[f"w{k}" for k in knots])
+    return placed.join(weights, "metric").select(*series.columns, (F.col("mean") + height).alias("trend"))
+
+
+def seasonal(series: DataFrame, z: float = BAND_Z, min_history: int = MIN_HISTORY, bends: int = BENDS) -> DataFrame:
+    """Points outside a band around a trend that may bend plus yearly and weekly effects.
 
     The yearly effect is the mean residual of a month of the year, for series of at least ``YEARLY_DAYS``; the weekly one
     is the mean of what is left by weekday, for series with points on other days than the first of a month. The band is z
-    residual deviations wide on each side.
+    residual deviations wide on each side, and never narrower than what rounding may do.
     """
-    x = F.datediff("ds", F.lit("2000-01-01").cast("date")).cast("double")
-    trend = (
-        series.withColumn("x", x)
-        .groupBy("metric")
+    facts = (
+        series.groupBy("metric")
         .agg(
-            F.regr_slope("y", "x").alias("slope"),
-            F.regr_intercept("y", "x").alias("intercept"),
             F.count("*").alias("history"),
             (F.datediff(F.max("ds"), F.min("ds")) >= YEARLY_DAYS).alias("yearly"),
             (F.max(F.dayofmonth("ds")) > 1).alias("daily"),
@@ -123,8 +155,8 @@ def seasonal(series: DataFrame, z: float = BAND_Z, min_history: int = MIN_HISTOR
         .where(F.col("history") >= min_history)
     )
     detrended = (
-        series.join(trend, "metric")
-        .withColumn("trend", F.col("intercept") + F.col("slope") * x)
+        _trend(series, bends)
+        .join(facts, "metric")
         .withColumn("weekday", F.weekday("ds"))
         .withColumn("residual", F.col("y") - F.col("trend"))
     )
@@ -137,7 +169,8 @@ def seasonal(series: DataFrame, z: float = BAND_Z, min_history: int = MIN_HISTOR
         "expected", F.col("trend") + F.col("season") + F.when(F.col("daily"), by_weekday).otherwise(0.0)
     )
     spread = F.stddev_samp(F.col("y") - F.col("expected")).over(W.partitionBy("metric"))
-    banded = fitted.withColumn("half", F.lit(z) * spread).withColumns(
+    rounding = ROUNDING * F.max(F.abs("y")).over(W.partitionBy("metric"))
+    banded = fitted.withColumn("half", F.greatest(F.lit(z) * spread, rounding)).withColumns(
         {"lower": F.col("expected") - F.col("half"), "upper": F.col("expected") + F.col("half")}
     )
     outside = (F.col("y") < F.col("lower")) | (F.col("y") > F.col("upper"))
@@ -160,6 +193,7 @@ def _signed_pct() -> Column:
     return F.format_string("%+.1f%%", F.col("deviation_pct"))
 
 
+# The wording of the two sentences.
 def with_commentary(flags: DataFrame) -> DataFrame:
     """The template sentence of an alert that nobody has commented on yet."""
     day = F.col("ds").cast("string")

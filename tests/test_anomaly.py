@@ -71,3 +71,37 @@ def test_a_yearly_peak_is_expected_and_another_one_is_not(spark):
     rows = spark.createDataFrame([("monthly", d, v) for d, v in zip(days, values)], SCHEMA)
     flagged = {r.ds for r in anomaly.seasonal(rows).collect()}
     assert dt.date(2022, 6, 1) in flagged and not any(d.month == 12 for d in flagged)
+
+
+def test_a_slope_that_changes_midway_is_not_flagged(spark):
+    rng = random.Random(8)
+    bent = [100 + 3 * i if i < 60 else 280 - 2 * (i - 60) for i in range(121)]
+    values = [y + rng.uniform(-1, 1) for y in bent]
+    values[30] += 60
+    got = anomaly.seasonal(series(spark, values), z=3.5)
+    assert [r.ds for r in got.collect()] == [START + dt.timedelta(30)]
+    # One straight line is far off at the bend.
+    straight = anomaly.seasonal(series(spark, values), bends=1, z=1.5)
+    assert START + dt.timedelta(60) in {r.ds for r in straight.collect()}
+
+
+def test_the_bending_line_is_the_least_squares_one(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    days = np.sort(rng.choice(400, 90, replace=False))
+    y = rng.normal(size=90) * 5 + days
+    rows = [("m", START + dt.timedelta(int(d)), float(v)) for d, v in zip(days, y, strict=True)]
+    got = {r.ds: r.trend for r in anomaly._trend(spark.createDataFrame(rows, SCHEMA), 4).collect()}
+    place = (days - days[0]) / (days[-1] - days[0]) * 4
+    hats = np.maximum(0, 1 - np.abs(place[:, None] - np.arange(5)))
+    want = hats @ np.linalg.lstsq(hats, y, rcond=None)[0]
+    assert np.allclose([got[r[1]] for r in rows], want, rtol=1e-8)
+
+
+def test_lines_and_lone_points_give_no_flags(spark):
+    for values in ([5.0] * 40, [3.0 * i for i in range(40)]):
+        assert anomaly.seasonal(series(spark, values)).count() == 0
+    far = [("m", START + dt.timedelta(i), 1.0 + i) for i in range(20)] + [("m", START + dt.timedelta(4000), 4001.0)]
+    assert anomaly._trend(spark.createDataFrame(far, SCHEMA), 4).where("abs(trend - y) > 1e-3").count() == 0
+    assert anomaly._trend(spark.createDataFrame([("m", START, 7.0)], SCHEMA), 4).first().trend == 7.0
