@@ -89,21 +89,19 @@ def _row_condition(rule: Rule, settings: Settings) -> Column | None:
     return None
 
 
-def duplicates(df: DataFrame, column: str) -> DataFrame:
-    """Values that occur more than once; NULLs are not counted."""
-    return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
-        .agg(F.count("*").alias("occurrences"))
-        .where(F.col("occurrences") > 1)
-    )
+def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, value, occurrences) of values that occur more than once: one grouped count for all columns of a table.
+
+    NULLs are not counted; values are given as text.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    counted = df.select(F.inline(cells)).where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("occurrences"))
+    return counted.where("occurrences > 1")
 
 
 def _repeated(df: DataFrame, columns: list[str]) -> DataFrame:
-    """How many values of each column occur more than once: one grouped count for all columns of a table."""
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])
-    counted = df.select(F.inline(cells)).where("value is not null").groupBy("i", "value").agg(F.count("*").alias("n"))
-    return counted.where("n > 1").agg(*[F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(len(columns))])
+    """How many values of each column occur more than once."""
+    return duplicates(df, columns).agg(*[F.count_if(F.col("column_name") == c).alias(f"n{i}") for i, c in enumerate(columns)])
 
 
 def _row(rule: Rule, failures: Column) -> Column:
@@ -163,13 +161,12 @@ def unaccepted_values(tables: Mapping[str, DataFrame], rules: Sequence[Rule] = R
 
 
 def repeated_values(tables: Mapping[str, DataFrame], rules: Sequence[Rule] = RULES) -> DataFrame:
-    parts = [
-        duplicates(tables[r.table], r.column).select(
-            F.lit(r.table).alias("table_name"), F.lit(r.column).alias("column_name"), "value", "occurrences"
-        )
-        for r in rules
-        if r.test == "unique"
-    ]
+    """Values of unique columns that occur more than once, from one scan and one shuffle of each table."""
+    columns: dict[str, list[str]] = {}
+    for r in rules:
+        if r.test == "unique":
+            columns.setdefault(r.table, []).append(r.column)
+    parts = [duplicates(tables[t], own).select(F.lit(t).alias("table_name"), "column_name", "value", "occurrences") for t, own in columns.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
