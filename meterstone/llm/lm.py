@@ -1,23 +1,21 @@
 """Language-model scores from a weighted backoff automaton over words.
 
 The root state holds the smoothed unigrams, P(w) = (c + 0.5) / (N + 0.5 (V + 1)). A word, or a pair of words, that opens a
-kept n-gram is a state; its arcs carry (c - D) / c(state) + L(state) P'(w) where P' is the next lower state's probability,
-and its failure arc carries L(state), the mass that the arcs leave. So each state's probabilities add up to one, whichever
-n-grams are kept. A text is traversed once from left to right: each word follows the arc of the current state, or failure
-arcs until one fits, adds the logarithms on the way and leads to the longest state that ends in it.
+kept n-gram is a state; its arcs carry (c - D) / c(state) and its failure arc carries L(state), the mass that the arcs leave,
+times the next lower state's probability. So each state's probabilities add up to one, whichever n-grams are kept. A text is
+traversed once from left to right: each token follows the arc of the state that is carried and its failure arcs, adds the
+logarithm of what they weigh together, and leads to the longest state that ends in it.
 
 All training tokens are counted, and every pair and triple of words that occurs at least ``LEAST`` times is kept at any
-corpus size. Texts become written chunks of word codes. In a first round each chunk sends short fingerprints of its distinct
-n-grams to buckets, which answer whether a fingerprint occurs often enough; no kept n-gram fails that. The rest goes to
-buckets dealt by state, with its state's own count: a bucket sees all arcs of its states and answers each chunk, in the
-order asked, with exact counts. Only what a chunk asked for comes back to it, so no task holds the automaton. A state with
-at least ``WORD_SHARE`` of the tokens is spread over all buckets by its arcs; the totals of these states, at most
-2 / WORD_SHARE an order, travel with the tasks.
+corpus size. Texts become written chunks of word codes. In a first round each chunk asks buckets of n-grams, dealt by a hash,
+for the counts of its distinct n-grams; the answer is 0 for those that are not kept, and names one chunk that owns each kept
+n-gram. In a second round the owners' shares of the mass of each state's arcs, and the counts of words, meet in buckets of
+states. A chunk sends one record for an n-gram or a state however often it occurs, so no key is hot. Only what a chunk asked
+for comes back to it, so no task holds the automaton.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +23,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterstone.llm.tables import text_of
+from meterstone.llm.tables import bucketed, text_of
 from meterstone.llm.words import hashed_words, mix
-from meterstone.session import new_scratch, through_table
+from meterstone.session import through_table
 
 #: Documents with crc32(doc_id as text) mod FOLDS equal to HELD_OUT are not learnt from.
 FOLDS, HELD_OUT = 5, 1
-#: Least count of a kept pair or triple, and least share of the training tokens (none).
-LEAST, PAIR_SHARE = 2, 0.0
-WORD_SHARE = 2.0**-10
+#: Least count of a kept pair or triple.
+LEAST = 2
 DISCOUNT = 0.5
 #: Bytes of text in a chunk, and tokens of the table for each bucket of an order.
 BYTES, BUCKET_TOKENS = 6 << 20, 1 << 20
-#: Bits of a fingerprint besides those that tell the bucket: about 1 of 2**8 other n-grams passes the first round by chance.
-PRINT_BITS = 29
+#: Bits of a key besides those that tell the bucket: of a million different keys in a bucket two fall together in about one
+#: bucket of two, so about one n-gram in a million has a count that is not its own.
+KEY_BITS = 40
 
 END = mix(np.array([0x5E4D0F7E87], np.uint64))[0]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Stands for the word in the record of a state itself; words have 48 bits there.
-_ITSELF = np.uint64(1 << 48)
 
 
 def held_out() -> Column:
@@ -77,11 +73,11 @@ def _states(tokens: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarr
     return at, mix(tokens[at - 2] + _ODD * mix(tokens[at - 1] ^ _ODD))
 
 
-_CHUNK = "chunk long, n int, docs array<long>, held array<boolean>, lengths array<int>, kinds int, words binary, codes binary, state array<long>, times array<long>"
-_PRINTS = "bucket long, chunk long, n int, prints binary, counts binary"
-_PASSED = "bucket long, chunk long, n int, passed binary"
-_ASKED = "bucket long, chunk long, n int, keys binary, words binary, flags binary, counts binary"
-_ANSWER = "bucket long, chunk long, n int, counts binary, totals binary, arcs binary, kinds long, spread array<int>, total array<long>, arc array<long>"
+_CHUNK = "chunk long, n int, docs array<long>, held array<boolean>, lengths array<int>, kinds int, words binary, codes binary"
+_GRAMS = "bucket long, chunk long, n int, keys binary, counts binary"
+_COUNTED = "bucket long, chunk long, n int, counts binary"
+_STATES = "bucket long, chunk long, n int, keys binary, counts binary, arcs binary"
+_SUMMED = "bucket long, chunk long, n int, totals binary, arcs binary, kinds long"
 
 
 def _names(schema: str) -> list[str]:
@@ -89,8 +85,8 @@ def _names(schema: str) -> list[str]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, held_out, text)`` as a written table of chunks: word codes, and the states that are frequent in each."""
-    most, share = BYTES, WORD_SHARE
+    """``docs(doc_id, held_out, text)`` as a written table of chunks of word codes."""
+    most = BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,21 +97,15 @@ def chunks(docs: DataFrame) -> DataFrame:
                 tokens, place = np.full(int(starts[-1]), END), _place(lengths)
                 tokens[place < np.repeat(lengths, lengths) - 1] = hashes
                 words, codes = np.unique(tokens, return_inverse=True)
-                often = []
-                for order in (2, 3):
-                    state, times = np.unique(_states(tokens, place, order)[1], return_counts=True)
-                    able = times >= share * len(tokens)
-                    often.append((state[able].view(np.int64), times[able]))
-                states, times = (np.concatenate([x[k] for x in often]) for k in (0, 1))
                 row = [
                     [0], [len(tokens)], [ids.slice(first, last - first).to_pylist()], [held.slice(first, last - first).to_pylist()], [lengths],
-                    [len(words)], [_packed(_differences(words))], [_packed(codes)], [states], [times],
+                    [len(words)], [_packed(_differences(words))], [_packed(codes)],
                 ]
-                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=_names(_CHUNK))
 
     table = docs.mapInArrow(run, _CHUNK).withColumn("chunk", F.monotonically_increasing_id())
-    return _dealt(table, "chunk")
+    return bucketed(table, "chunk")
 
 
 def _place(lengths: np.ndarray) -> np.ndarray:
@@ -123,17 +113,6 @@ def _place(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _dealt(table: DataFrame, key: str) -> DataFrame:
-    """``table`` written in files by hashed key, so that grouping by the key moves no row again."""
-    spark = table.sparkSession
-    name, parts = f"meterstone_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table.write.bucketBy(parts, key).option("path", new_scratch(spark, "chunks")).saveAsTable(name)
-    out = spark.table(name)
-    # Only the name goes: the frame knows its files and buckets.
-    spark.sql(f"drop table {name}")
-    return out
-
-
 def _buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets that sorted keys fall into, where each begins and the last ends)."""
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -145,59 +124,48 @@ class Grams:
     """The distinct n-grams of one order in a chunk, by key."""
 
     def __init__(self, tokens: np.ndarray, place: np.ndarray, order: int, buckets: int):
+        self.order, self.all_buckets = order, buckets
         self.at, self.state = _states(tokens, place, order)
-        self.word = tokens[self.at] >> np.uint64(16)
-        self.keys, self.first, self.of = np.unique(mix(self.state + _ODD * mix(self.word)), return_index=True, return_inverse=True)
+        self.keys, self.first, self.of = np.unique(mix(self.state + _ODD * mix(tokens[self.at])), return_index=True, return_inverse=True)
         self.buckets, self.ends = _buckets(self.keys, buckets)
 
-    def passed(self, got: dict[int, dict], base: int) -> np.ndarray:
-        """Which of the n-grams may be kept, from the answers to the first round."""
-        parts = [np.unpackbits(np.frombuffer(got[int(b) + base]["passed"], np.uint8), count=int(n)) for b, n in zip(self.buckets, np.diff(self.ends), strict=True)]
-        return np.concatenate([np.zeros(0, np.uint8), *parts]).astype(bool)
+    def answers(self, got: dict[int, dict]) -> tuple[np.ndarray, np.ndarray]:
+        """(counts of the kept n-grams, 0 for others; which of them this chunk owns)."""
+        found = _joined(got, self.buckets + self.all_buckets * (self.order - 2), np.diff(self.ends), "counts")
+        return found >> 1, (found & 1).astype(bool)
 
 
-class Asked:
-    """Records of one order in a chunk, in the order in which they are dealt to buckets: n-grams that may be kept, and states.
+class States:
+    """The states of one order that a chunk asks for, by key, and what it adds to them."""
 
-    ``able`` tells at which ends of n-grams the state is asked for; others lead to no kept n-gram.
-    """
-
-    def __init__(self, grams: Grams, passed: np.ndarray, able: np.ndarray, spread: np.ndarray, buckets: int, learnt: np.ndarray | None = None):
-        some = np.flatnonzero(passed)
-        names, own = np.unique(grams.state[able], return_inverse=True)
-        state = np.concatenate([grams.state[grams.first[some]], names])
-        word = np.concatenate([grams.word[grams.first[some]], np.full(len(names), _ITSELF)])
-        found = np.minimum(np.searchsorted(spread, state), max(len(spread) - 1, 0))
-        hot = spread[found] == state if len(spread) else np.zeros(len(state), bool)
-        key = np.where(hot, mix(state + _ODD * mix(word)), state)
-        dealt = np.argsort(key, kind="stable")
-        back = np.empty(len(dealt), np.int64)
-        back[dealt] = np.arange(len(dealt))
-        to = np.full(len(passed), -1)
-        to[some] = back[: len(some)]
-        #: Record of each n-gram's arc and of its state, -1 where not asked.
-        self.arc, self.own = to[grams.of], np.full(len(able), -1)
-        self.own[able] = back[len(some) :][own]
-        self.keys, self.words = key[dealt], word[dealt]
-        self.spread = np.where(hot, found, -1)[dealt]
+    def __init__(self, asked: np.ndarray, order: int, buckets: int):
+        self.order, self.all_buckets = order, buckets
+        self.keys = np.unique(asked)
         self.buckets, self.ends = _buckets(self.keys, buckets)
-        # Bit 0: another key than before (always at the start of a bucket); bit 1: a state itself; above: place of a spread state, or 0.
-        new = np.append([True], self.keys[1:] != self.keys[:-1])[: len(dealt)]
-        self.flags = ((self.spread + 1) << 2) | ((self.words == _ITSELF) << 1) | new
-        if learnt is not None:
-            counts = [np.bincount(x[x >= 0], learnt[grams.at][x >= 0], minlength=len(dealt)) for x in (self.arc, self.own)]
-            self.counts = (counts[0] + counts[1]).astype(np.int64)
 
+    def of(self, state: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, state)
+
+    def answers(self, got: dict[int, dict], what: str) -> np.ndarray:
+        return _joined(got, self.buckets + self.all_buckets * (self.order - 2), np.diff(self.ends), what)
 
-def _asked(tokens: np.ndarray, place: np.ndarray, got: dict[int, dict], spread, buckets: int, learnt: np.ndarray | None = None) -> Iterator[tuple[int, Grams, Asked]]:
-    """Pairs with the states of single words, then triples with the states of pairs that may be kept."""
-    may = np.zeros(len(tokens), bool)
+
+def _joined(got: dict[int, dict], buckets: np.ndarray, sizes: np.ndarray, what: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[_unpacked(got[int(b)][what], int(n)) for b, n in zip(buckets, sizes, strict=True)]])
+
+
+def _asked(tokens: np.ndarray, place: np.ndarray, got: dict[int, dict], buckets: int) -> Iterator[tuple[Grams, np.ndarray, np.ndarray, States, np.ndarray]]:
+    """(n-grams, their counts, which are owned, states asked for, ends of n-grams with such a state) for pairs and triples.
+
+    The states of pairs are all words of the chunk but the end; those of triples are the kept pairs.
+    """
+    kept = np.zeros(len(tokens), bool)
     for order in (2, 3):
         grams = Grams(tokens, place, order, buckets)
-        passed = grams.passed(got, buckets * (order - 2))
-        able = np.ones(len(grams.at), bool) if order == 2 else may[grams.at - 1]
-        yield order, grams, Asked(grams, passed, able, spread.value[order - 2], buckets, learnt)
-        may[grams.at] = passed[grams.of]
+        count, owned = grams.answers(got)
+        able = np.ones(len(grams.at), bool) if order == 2 else kept[grams.at - 1]
+        yield grams, count, owned, States(tokens[tokens != END] if order == 2 else grams.state[able], order, buckets), able
+        kept[grams.at] = count[grams.of] > 0
 
 
 def _read_chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -207,9 +175,13 @@ def _read_chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return words[_unpacked(row["codes"], row["n"])], _place(lengths), np.repeat(np.arange(len(lengths)), lengths), np.array(row["held"], bool)
 
 
-def prints(table: DataFrame, buckets: int) -> DataFrame:
-    """The first round's questions: fingerprints with training counts, one row for a bucket and chunk. Triples have the upper buckets."""
-    shift = np.uint64(max(0, 64 - PRINT_BITS - buckets.bit_length()))
+def _shift(buckets: int) -> np.uint64:
+    return np.uint64(max(0, 64 - KEY_BITS - buckets.bit_length()))
+
+
+def grams(table: DataFrame, buckets: int) -> DataFrame:
+    """The first round's questions: n-grams with training counts, a row for a bucket and chunk. Triples have the upper buckets."""
+    shift = _shift(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,102 +189,119 @@ def prints(table: DataFrame, buckets: int) -> DataFrame:
                 row = batch.slice(k, 1).to_pylist()[0]
                 tokens, place, owner, held = _read_chunk(row)
                 for order in (2, 3):
-                    grams, out = Grams(tokens, place, order, buckets), []
-                    counts = np.bincount(grams.of, ~held[owner][grams.at], minlength=len(grams.keys)).astype(np.int64)
-                    for b, i, j in zip(grams.buckets, grams.ends[:-1], grams.ends[1:], strict=True):
-                        packs = (_differences(grams.keys[i:j] >> shift), counts[i:j])
+                    found, out = Grams(tokens, place, order, buckets), []
+                    counts = np.bincount(found.of, ~held[owner][found.at], minlength=len(found.keys)).astype(np.int64)
+                    for b, i, j in zip(found.buckets, found.ends[:-1], found.ends[1:], strict=True):
+                        packs = (_differences(found.keys[i:j] >> shift), counts[i:j])
                         out.append((int(b) + buckets * (order - 2), row["chunk"], int(j - i), *map(_packed, packs)))
                     if out:
                         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_names(_PRINTS))
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_names(_GRAMS))
 
-    return table.select("chunk", "n", "held", "lengths", "kinds", "words", "codes").mapInArrow(run, _PRINTS)
+    return table.select("chunk", "n", "held", "lengths", "kinds", "words", "codes").mapInArrow(run, _GRAMS)
 
 
-def passed(questions: DataFrame, least: float) -> DataFrame:
-    """One bit for each fingerprint asked: whether it occurs at least ``least`` times in training texts."""
+def _records(group: pa.Table, *columns: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row ends, values of the columns) of all questions to a bucket; keys are summed up from their steps."""
+    n = group.column("n").to_pylist()
+    parts = [[_unpacked(x, k) for x, k in zip(group.column(c).to_pylist(), n, strict=True)] for c in columns]
+    parts[0] = [np.cumsum(x) for x in parts[0]]
+    return np.cumsum([0, *n]), [np.concatenate(p) for p in parts]
+
+
+def _cut(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    return [_packed(values[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def counted(questions: DataFrame, least: int) -> DataFrame:
+    """Twice the count of each n-gram asked for, 0 if it is not kept; plus one for the chunk that owns it."""
 
     def run(group: pa.Table) -> pa.Table:
-        n = group.column("n").to_pylist()
-        keys, counts = ([_unpacked(x, k) for x, k in zip(group.column(c).to_pylist(), n, strict=True)] for c in ("prints", "counts"))
-        _, at = np.unique(np.concatenate([np.cumsum(x) for x in keys]), return_inverse=True)
-        often = (np.bincount(at, np.concatenate(counts)) >= least)[at]
-        bits = [np.packbits(x).tobytes() for x in np.split(often, np.cumsum(n)[:-1])]
-        return group.select(["bucket", "chunk", "n"]).append_column("passed", pa.array(bits, pa.binary()))
+        ends, (keys, counts) = _records(group, "keys", "counts")
+        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        total = np.bincount(at, counts).astype(np.int64)
+        total[total < least] = 0
+        out = 2 * total[at]
+        out[first] += total > 0
+        return group.select(["bucket", "chunk", "n"]).append_column("counts", pa.array(_cut(out, ends), pa.binary()))
 
-    return questions.groupBy("bucket").applyInArrow(run, _PASSED)
+    return questions.groupBy("bucket").applyInArrow(run, _COUNTED)
 
 
-def asked(table: DataFrame, masks: DataFrame, spread, buckets: int) -> DataFrame:
-    """The second round's questions: n-grams and states with their training counts, one row for a bucket and chunk."""
+def states(table: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """The second round's questions: states with the chunk's count of a word, and twice the discounted counts of the arcs it owns."""
+    shift = _shift(buckets)
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         tokens, place, owner, held = _read_chunk(row)
         got, out = {r["bucket"]: r for r in replies.to_pylist()}, []
-        for order, _, a in _asked(tokens, place, got, spread, buckets, ~held[owner]):
-            for b, i, j in zip(a.buckets, a.ends[:-1], a.ends[1:], strict=True):
-                flags = a.flags[i:j]
-                packs = (_differences(a.keys[i:j][flags & 1 == 1]), a.words[i:j][flags >> 1 == 0].view(np.int64), flags, a.counts[i:j])
-                out.append((int(b) + buckets * (order - 2), row["chunk"], int(j - i), *map(_packed, packs)))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=_names(_ASKED))
+        learnt = tokens[~held[owner] & (tokens != END)]
+        for found, count, owned, asked, _ in _asked(tokens, place, got, buckets):
+            times = np.bincount(asked.of(learnt), minlength=len(asked.keys)) if found.order == 2 else np.zeros(len(asked.keys), np.int64)
+            arcs = np.bincount(asked.of(found.state[found.first[owned]]), 2 * count[owned] - int(2 * DISCOUNT), minlength=len(asked.keys)).astype(np.int64)
+            for b, i, j in zip(asked.buckets, asked.ends[:-1], asked.ends[1:], strict=True):
+                packs = (_differences(asked.keys[i:j] >> shift), times[i:j], arcs[i:j])
+                out.append((int(b) + buckets * (found.order - 2), row["chunk"], int(j - i), *map(_packed, packs)))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=_names(_STATES))
 
     asking = table.select("chunk", "n", "held", "lengths", "kinds", "words", "codes").groupBy("chunk")
-    return asking.cogroup(masks.select("chunk", "bucket", "n", "passed").groupBy("chunk")).applyInArrow(run, _ASKED)
-
-
-def _records(n: int, keys: bytes, words: bytes, flags: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, words, flags, counts) of one question; a spread state's arc is told by its key alone and has word 0."""
-    flags = _unpacked(flags, n)
-    new, plain = flags & 1 == 1, flags >> 1 == 0
-    found = np.cumsum(_unpacked(keys, int(new.sum())).view(np.uint64), dtype=np.uint64)
-    word = np.where(flags & 2, int(_ITSELF), 0)
-    word[plain] = _unpacked(words, int(plain.sum()))
-    return found[np.cumsum(new) - 1], word, flags, _unpacked(counts, n)
-
+    return asking.cogroup(counts.groupBy("chunk")).applyInArrow(run, _STATES)
 
-def answered(questions: DataFrame, least: float, buckets: int) -> DataFrame:
-    """Counts of kept arcs (0 for others), totals of states and twice the arcs' discounted sum, for each question.
 
-    One more row for each bucket, with a null chunk, has its number of words and its part of the spread states.
-    """
+def summed(questions: DataFrame, buckets: int) -> DataFrame:
+    """Counts of words and twice the discounted sum of the arcs of each state asked for; one more row for each bucket, with a
+    null chunk, has its number of known words."""
 
     def run(group: pa.Table) -> pa.Table:
-        n = group.column("n").to_pylist()
-        packs = [group.column(c).to_pylist() for c in ("keys", "words", "flags", "counts")]
-        keys, words, flags, counts = (np.concatenate(x) for x in zip(*map(_records, n, *packs), strict=True))
-        spread = (flags >> 2) - 1
-        _, first, gram = np.unique(mix(keys + _ODD * mix(words.view(np.uint64))), return_index=True, return_inverse=True)
-        count = np.bincount(gram, counts).astype(np.int64)
-        itself = words[first] == int(_ITSELF)
-        count_kept = np.where((count >= least) & ~itself, count, 0)
-        twice = np.where(count_kept > 0, 2 * count_kept - int(2 * DISCOUNT), 0)
-        cold = spread[first] < 0
-        _, state = np.unique(keys[first], return_inverse=True)
-        total, arcs = (np.bincount(state, np.where(cold & y, x, 0)).astype(np.int64) for x, y in ((count, itself), (twice, ~itself)))
+        ends, (keys, counts, arcs) = _records(group, "keys", "counts", "arcs")
+        _, at = np.unique(keys, return_inverse=True)
+        total, mass = (np.bincount(at, x).astype(np.int64) for x in (counts, arcs))
         bucket = group.column("bucket")[0].as_py()
-        out = [[bucket] * (len(n) + 1), [*group.column("chunk").to_pylist(), None], [*n, 0]]
-        ends = np.cumsum([0, *n])
-        for x in (count_kept[gram], total[state[gram]], arcs[state[gram]]):
-            out.append([*[_packed(x[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], b""])
-        wide = spread[first][~cold]
-        names, at = np.unique(wide, return_inverse=True)
-        sums = [np.bincount(at, x[~cold], minlength=len(names)).astype(np.int64) for x in (np.where(itself, count, 0), twice)]
-        kinds = int((total > 0).sum()) if bucket < buckets else 0
-        out.append([*[0] * len(n), kinds])
-        out += [[*[None] * len(n), x.tolist()] for x in (names, *sums)]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=_names(_ANSWER))
-
-    return questions.groupBy("bucket").applyInArrow(run, _ANSWER)
+        known = int((total > 0).sum()) if bucket < buckets else 0
+        n = group.num_rows
+        out = [
+            [bucket] * (n + 1), [*group.column("chunk").to_pylist(), None], [*group.column("n").to_pylist(), 0],
+            [*_cut(total[at], ends), b""], [*_cut(mass[at], ends), b""], [*[0] * n, known],
+        ]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=_names(_SUMMED))
 
+    return questions.groupBy("bucket").applyInArrow(run, _SUMMED)
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+def traversed(lengths: np.ndarray, root: np.ndarray, arcs: dict[int, np.ndarray], fails: dict[int, np.ndarray], pair: np.ndarray) -> np.ndarray:
+    """Log-probability of each text, all read from left to right side by side with the order of the state that each carries.
 
-def _log(x: np.ndarray, able: np.ndarray) -> np.ndarray:
-    return np.log10(np.where(able, x, 1.0))
+    By token, in the order of the texts: ``root`` has the probability at the root, ``arcs`` and ``fails`` the weights of the
+    token's arc and of the failure arc at the states of one word (2) and of two (3), and ``pair`` whether the token and the one
+    before are a state.
+    """
+    texts = np.argsort(-lengths, kind="stable")  # the longest first, so that those still being read are the first ones
+    place = _place(lengths)
+    rank = np.empty(len(lengths), np.int64)
+    rank[texts] = np.arange(len(lengths))
+    order = np.lexsort((np.repeat(rank, lengths), place))
+    root, pair = root[order], pair[order]
+    a2, a3, f2, f3 = (x[k][order] for x in (arcs, fails) for k in (2, 3))
+    level, score = np.zeros(len(lengths), np.int8), np.zeros(len(lengths))
+    at = 0
+    for n in np.bincount(place) if len(place) else ():
+        now, carried = slice(at, at + n), level[:n]
+        weight = root[now]
+        one = a2[now] + f2[now] * weight
+        weight = np.where(carried > 0, one, weight)
+        weight = np.where(carried > 1, a3[now] + f3[now] * one, weight)
+        score[:n] += np.log10(weight)
+        level[:n] = 1 + pair[now]
+        at += n
+    out = np.empty(len(lengths))
+    out[texts] = score
+    return out
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -330,57 +319,47 @@ def scores(docs: DataFrame) -> DataFrame:
     everything, n, texts = one.agg(
         F.coalesce(F.sum("d.lengths"), F.lit(0)), F.coalesce(F.sum(F.when(learnt, F.col("d.lengths"))), F.lit(0)), F.count(F.when(learnt, 1))
     ).first()
-    # A state with the share in all texts has it in some chunk; few more than 1 / WORD_SHARE an order come to the driver.
-    often = table.select(F.explode(F.arrays_zip("state", "times")).alias("s")).groupBy("s.state").agg(F.sum("s.times").alias("times"))
-    often = np.sort(np.array([r[0] for r in often.filter(F.col("times") >= F.lit(WORD_SHARE * everything / 2)).select("state").collect()], np.int64).view(np.uint64))
-    spread = spark.sparkContext.broadcast((often, often))
     buckets = 1 + everything // BUCKET_TOKENS
-    least = max(float(LEAST), PAIR_SHARE * n)
-    masks = through_table(passed(prints(table, buckets), least), "passed")
-    answers = through_table(answered(asked(table, masks, spread, buckets), least, buckets), "answers")
-    sums = answers.filter("chunk is null")
-    kinds = (sums.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]) + (texts > 0)
-    wide = sums.select((F.col("bucket") >= buckets).cast("int").alias("upper"), F.explode(F.arrays_zip("spread", "total", "arc")).alias("s"))
-    totals = np.zeros((2, 2, len(often)), np.int64)
-    for r in wide.groupBy("upper", "s.spread").agg(F.sum("s.total"), F.sum("s.arc")).collect():
-        totals[r[0], :, r[1]] = r[2], r[3]
-    kinds += int((totals[0, 0] > 0).sum())
-    given = spark.sparkContext.broadcast(totals)
+    counts = bucketed(counted(grams(table, buckets), LEAST), "chunk")
+    sums = through_table(summed(states(table, counts, buckets), buckets), "sums")
+    kinds = sums.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0] + (texts > 0)
     floor = n + 0.5 * (kinds + 1)
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         tokens, place, owner, held = _read_chunk(row)
         replies = replies.to_pylist()
-        bits, got = ({r["bucket"]: r for r in replies if (r["passed"] is None) == x} for x in (False, True))
-        count, total, left = {}, {}, {}
-        for order, grams, a in _asked(tokens, place, bits, spread, buckets):
-            mine = [got[int(b) + buckets * (order - 2)] for b in a.buckets]
-            c, t, s = (np.concatenate([np.zeros(0, np.int64), *[_unpacked(r[x], r["n"]) for r in mine], np.zeros(1, np.int64)]) for x in ("counts", "totals", "arcs"))
-            hot = np.flatnonzero(a.spread >= 0)
-            t[hot], s[hot] = given.value[order - 2][:, a.spread[hot]]
-            # By token: count of the arc, the state's own count, and twice the discounted counts of its arcs.
-            count[order], total[order], left[order] = (np.zeros(len(tokens), np.int64) for _ in range(3))
-            count[order][grams.at], total[order][grams.at], left[order][grams.at] = c[a.arc], t[a.own], s[a.own]
-        total[3] = np.append([0], count[2][:-1])
-        left = {k: 1 - left[k] / 2 / np.maximum(total[k], 1) for k in left}
-        last = np.append(place[1:] == 0, True)
-        # A word's count is its state's own, before the next token; the end has one for each text.
-        single = np.where(last, texts, np.append(total[2][1:], 0))
+        first, second = ({r["bucket"]: r for r in replies if (r["counts"] is None) == x} for x in (False, True))
+        single = np.full(len(tokens), texts)  # the end occurs once in each text
+        arcs, fails, pair = {}, {}, np.zeros(len(tokens), bool)
+        before = np.zeros(len(tokens), np.int64)  # count of the state before a token
+        for found, count, _, asked, able in _asked(tokens, place, first, buckets):
+            if found.order == 2:
+                total = asked.answers(second, "totals")
+                inside = tokens != END
+                single[inside] = total[asked.of(tokens[inside])]
+                before[found.at] = single[found.at - 1]
+            else:
+                before = np.append(0, twos[:-1])
+            mine = np.zeros(len(tokens), np.int64)
+            mine[found.at] = count[found.of]
+            mass = np.zeros(len(tokens), np.int64)
+            ends = found.at[able]
+            mass[ends] = asked.answers(second, "arcs")[asked.of(found.state[able])]
+            times = np.maximum(before, 1)
+            arcs[found.order] = np.where(mine > 0, (mine - DISCOUNT) / times, 0.0)
+            fails[found.order] = 1 - mass / 2 / times
+            if found.order == 2:
+                twos, pair = mine, mine > 0
         known = single > 0
         root = (single + 0.5) / floor if n else np.ones(len(tokens))
-        pair = left[2] * root + np.where(count[2] > 0, (count[2] - DISCOUNT) / np.maximum(total[2], 1), 0.0)
-        # The state of two words is there if their pair is kept, as the arc of the token before.
-        there = total[3] > 0
-        triple = left[3] * pair + np.where(count[3] > 0, (count[3] - DISCOUNT) / np.maximum(total[3], 1), 0.0)
-        full = np.where((place >= 2) & there, triple, pair)
         many = len(row["docs"])
-        base, score = (np.bincount(owner, _log(x, x > 0), minlength=many) for x in (root, full))
+        base = np.bincount(owner, np.log10(root), minlength=many)
+        score = traversed(np.array(row["lengths"], np.int64), root, arcs, fails, pair)
         out = [row["docs"], row["held"], row["lengths"], np.bincount(owner, known, minlength=many).astype(np.int64), [n] * many, base, score]
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=_names(_SCORES))
 
     asking = table.select("chunk", "n", "docs", "held", "lengths", "kinds", "words", "codes").groupBy("chunk")
-    replies = answers.filter("chunk is not null").select("chunk", "bucket", "n", "counts", "totals", "arcs")
-    replies = replies.unionByName(masks.select("chunk", "bucket", "n", "passed"), allowMissingColumns=True)
+    replies = sums.filter("chunk is not null").drop("kinds").unionByName(counts, allowMissingColumns=True)
     return asking.cogroup(replies.groupBy("chunk")).applyInArrow(run, _SCORES)

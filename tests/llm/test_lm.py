@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from meterstone.llm import lm
@@ -31,16 +32,12 @@ def held(doc_id):
 class Brute:
     """The same model by dictionaries, one token at a time."""
 
-    def __init__(self, rows, word_share, pair_share):
+    def __init__(self, rows):
         texts = [[*words(t), END] for i, t in rows if not held(i)]
         self.c = Counter(w for t in texts for w in t)
         self.n, self.v = sum(self.c.values()), len(self.c)
-        frequent = {w for w, k in self.c.items() if k >= pair_share * self.n}
-        least = max(2.0, pair_share * self.n)
-        two = Counter(p for t in texts for p in zip(t, t[1:]) if p[0] in frequent and p[1] in frequent)
-        self.two = {p: k for p, k in two.items() if k >= least}
-        three = Counter(p for t in texts for p in zip(t, t[1:], t[2:]) if p[:2] in self.two and p[1:] in self.two)
-        self.three = {p: k for p, k in three.items() if k >= least}
+        self.two = {p: k for p, k in Counter(p for t in texts for p in zip(t, t[1:])).items() if k >= 2}
+        self.three = {p: k for p, k in Counter(p for t in texts for p in zip(t, t[1:], t[2:])).items() if k >= 2}
         self.fail1, self.fail2 = defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)
         for (a, _), k in self.two.items():
             self.fail1[a] -= (k - 0.5) / self.c[a]
@@ -63,11 +60,9 @@ class Brute:
         return sum(math.log10(self.p3(*t[k - 2 : k + 1])) for k in range(2, len(t)))
 
 
-def check(spark, rows, monkeypatch, word_share, pair_share):
-    monkeypatch.setattr(lm, "WORD_SHARE", word_share)
-    monkeypatch.setattr(lm, "PAIR_SHARE", pair_share)
+def check(spark, rows):
     got = lm.scores(spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")).collect()
-    model = Brute(rows, word_share, pair_share)
+    model = Brute(rows)
     texts = defaultdict(list)
     for i, t in rows:
         texts[i].append(t)
@@ -82,20 +77,15 @@ def check(spark, rows, monkeypatch, word_share, pair_share):
     return got, model
 
 
-def test_scores_match_dictionaries(spark, monkeypatch):
-    got, model = check(spark, rows_of(), monkeypatch, 0.0, 0.0)
+def test_scores_match_dictionaries(spark):
+    got, model = check(spark, rows_of())
     assert len(model.three) > 50
     fresh = [r for r in got if r.held_out]
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
 
 
-def test_rare_words_come_by_join(spark, monkeypatch):
-    got, model = check(spark, rows_of(), monkeypatch, 0.002, 0.001)
-    assert any(k < 0.002 * model.n for k in model.c.values()) and model.two
-
-
-def test_states_are_distributions(spark, monkeypatch):
-    model = Brute(rows_of(), 0.0, 0.0)
+def test_states_are_distributions():
+    model = Brute(rows_of())
     every = [*model.c, "unseen"]
     for a, b in list(model.two)[:20]:
         assert sum(model.p3(a, b, w) for w in every) == pytest.approx(1.0, abs=1e-9)
@@ -110,7 +100,7 @@ def test_odd_tables(spark):
 
 def same_as_dictionaries(spark, rows):
     got = lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    model, texts = Brute(rows, 0.0, 0.0), dict(rows)
+    model, texts = Brute(rows), dict(rows)
     assert len(got) == len(rows)
     for r in got:
         tokens = [*words(texts[r.doc_id]), END]
@@ -129,9 +119,23 @@ def test_ngrams_are_kept_whatever_the_size_of_the_corpus(spark):
     assert model.n > 3 * 2**16 and sum(k == 2 for k in model.three.values()) > 1000
 
 
-@pytest.mark.parametrize("share", [1.0, 0.01, 0.0])
-def test_chunks_buckets_and_spread_states(spark, monkeypatch, share):
-    for name, value in (("BYTES", 2000), ("BUCKET_TOKENS", 500), ("WORD_SHARE", share)):
-        monkeypatch.setattr(lm, name, value)
+def test_small_chunks_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BYTES", 2000)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 500)
     model = same_as_dictionaries(spark, [r for r in rows_of() if r[0] is not None and (r[0] != 3 or r[1] == "again")])
     assert len(model.three) > 50
+
+
+def test_the_state_is_carried_from_token_to_token():
+    """Two texts side by side; the second loses its state of two words and falls back."""
+    lengths = np.array([2, 3])
+    root = np.array([0.1, 0.2, 0.1, 0.2, 0.3])
+    arcs = {2: np.array([0, 0.5, 0, 0, 0.25]), 3: np.array([0, 0.9, 0, 0, 0.5])}
+    fails = {2: np.array([1, 0.5, 1, 1, 0.75]), 3: np.array([1, 0.1, 1, 1, 0.5])}
+    pair = np.array([False, True, False, False, True])
+    got = lm.traversed(lengths, root, arcs, fails, pair)
+    # No text reaches a state of two words before its last token, so their arcs are not followed.
+    assert np.allclose(got, [np.log10(0.1 * (0.5 + 0.5 * 0.2)), np.log10(0.1 * 0.2 * (0.25 + 0.75 * 0.3))])
+    pair[3] = True
+    assert np.allclose(lm.traversed(lengths, root, arcs, fails, pair)[1], np.log10(0.1 * 0.2 * (0.5 + 0.5 * (0.25 + 0.75 * 0.3))))
+    assert len(lm.traversed(np.zeros(0, np.int64), *[np.zeros(0)] * 1, {2: np.zeros(0), 3: np.zeros(0)}, {2: np.zeros(0), 3: np.zeros(0)}, np.zeros(0, bool))) == 0
