@@ -156,3 +156,22 @@ def test_a_long_unbroken_key_is_decided_in_many_tasks(spark):
         # An hour is 7,200 calls, so calls are admitted in runs of `limit` at the start of each hour.
         assert sum(r.n for r in got) == n and sum(r.admitted for r in got) == limit * (-(-n // 7200))
         assert sum(1 for r in got if r.n) > 1 and max(r.n for r in got) < n // 2
+
+
+def test_the_stream_reads_sorted_blocks(spark):
+    """The last step relies on its input being dealt by block and sorted by time: nothing may stand between."""
+    calls = frame(spark, random_calls(2))
+    out = admission.decide(calls, key=F.col("k"), ts=F.col("ts"), id=F.col("id"), limit=2, window_seconds=60)
+    plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    at = next(k for k, line in enumerate(plan) if "MapInArrow" in line and "carried" in line)
+    below = []
+    for line in plan[at + 1 :]:
+        below.append(line.strip(" :+-*()0123456789").split(" ")[0].split("(")[0])
+        if below[-1] == "Window":
+            break
+    assert set(below[:-1]) <= {"Project"} and below[-1] == "Window"
+    ordered = plan[at + len(below)]
+    assert "us#" in ordered and "settled#" in ordered and "block#" in ordered
+    full = out._jdf.queryExecution().executedPlan().toString()
+    part = full[full.index("Window [row_number") :]
+    assert part.index("Sort [key") < part.index("Exchange")
