@@ -8,7 +8,9 @@ fitting runs on cells, whose number depends on the labels and not on the documen
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import warnings
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ NO_TOPIC = "general"
 TARGETS: dict[str, float | Mapping[str, float]] = {"source": 0.7, "lang": 0.9, "topic": 0.95}
 #: Raking ends when no cell's factor moves by more than this share of the largest, or after this many sweeps.
 TOLERANCE, SWEEPS = 1e-10, 60
+#: A share of tokens this far from its target is reported.
+MARGIN_GAP = 1e-6
 #: Cells that one task takes during fitting; up to as many need no shuffle.
 CELLS_PER_TASK = 1 << 17
 SEED = "mix-1"
@@ -75,12 +79,8 @@ def _one_step(cells: DataFrame, name: str) -> DataFrame:
     return joined.withColumn("weight", met).select(cells.columns)
 
 
-def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] | None = None) -> DataFrame:
-    """``cells`` of (dimensions.., tokens) with ``factor``, the raked tokens per token, the largest being 1.
-
-    A cell without tokens has factor 0. Targets that no cell can reach are left aside.
-    """
-    targets = targets or TARGETS
+def _fitted(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]]) -> DataFrame:
+    """``cells`` with ``weight``, the raked tokens as shares, and the wanted share of each label as _dimension."""
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
     for name, wish in targets.items():
         margin = through_table(_target(cells.groupBy(name).agg(F.sum("tokens").alias("tokens")), name, wish), "margin")
@@ -99,6 +99,38 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] |
         fitted = fitted.drop("_before")
         if moved is None or moved <= TOLERANCE * largest:
             break
+    return fitted
+
+
+def _margins(fitted: DataFrame, names: Iterable[str]) -> DataFrame:
+    parts = [
+        fitted.groupBy(F.col(name).cast("string").alias("label"))
+        .agg(F.first(f"_{name}").alias("target"), F.sum("weight").alias("reached"))
+        .select(F.lit(name).alias("dimension"), "label", "target", "reached")
+        for name in names
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def margins(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] | None = None) -> DataFrame:
+    """(dimension, label, target, reached): the share of tokens wanted for each label and the one that raking arrives at."""
+    targets = targets or TARGETS
+    return _margins(_fitted(cells, targets), targets)
+
+
+def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]] | None = None) -> DataFrame:
+    """``cells`` of (dimensions.., tokens) with ``factor``, the raked tokens per token, the largest being 1.
+
+    A cell without tokens has factor 0. Targets that no cell can reach are left aside. Where cells that are absent make the
+    targets contradict each other, the last dimension is met and the others as far as they go; a warning names the widest
+    gap, and ``margins`` tells each label's.
+    """
+    targets = targets or TARGETS
+    fitted = _fitted(cells, targets)
+    gap = F.max_by(F.struct("dimension", "label", "target", "reached"), F.abs(F.col("reached") - F.col("target")))
+    worst = _margins(fitted, targets).agg(gap).first()[0]
+    if worst is not None and abs(worst.reached - worst.target) > MARGIN_GAP:
+        warnings.warn(f"raking can't meet all targets: {worst.dimension} {worst.label!r} has {worst.reached:.4g} of the tokens, wanted {worst.target:.4g}", stacklevel=2)
     factor = _per_token(F.col("weight"))
     top = fitted.agg(F.max(factor)).first()[0] or 1.0
     return fitted.select(*targets, "tokens", F.coalesce(factor / F.lit(top), F.lit(0.0)).alias("factor"))

@@ -93,3 +93,27 @@ def test_topics(spark):
     rows = [("plain", "general"), (None, "general"), ("a | b", "tabular"), ("licensed @", "licence"), ("!! *** @", "emphatic"), ("http://x @y", "contact")]
     got = spark.createDataFrame(rows, "t string, want string").select(mixing.topic_of(F.col("t")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got) and math.isclose(len(got), 6)
+
+
+def test_margins_that_contradict_each_other_are_reported(spark):
+    """Two sources in one language each: the share of a source fixes the share of its language."""
+    cells = spark.createDataFrame([("web", "en", 100), ("books", "fr", 900)], "source string, lang string, tokens long")
+    targets = {"source": 0.3, "lang": 0.9}
+    with pytest.warns(UserWarning, match="raking can't meet all targets: source"):
+        got = {r.source: r.factor for r in mixing.rake(cells, targets).collect()}
+    met = {(r.dimension, r.label): (r.target, r.reached) for r in mixing.margins(cells, targets).collect()}
+    web = 100**0.9 / (100**0.9 + 900**0.9)
+    assert met["lang", "en"] == pytest.approx((web, web)) and met["source", "web"] == pytest.approx((100**0.3 / (100**0.3 + 900**0.3), web))
+    assert got["web"] == 1 and got["books"] == pytest.approx((1 - web) / 900 / (web / 100))
+
+
+def test_margins_that_agree_give_no_warning(spark):
+    import warnings
+
+    rows = [(s, la, "", n) for s, la, n in [("a", "x", 10), ("a", "y", 20), ("b", "x", 30), ("b", "y", 5)]]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert mixing.rake(cells).count() == 4
+    assert all(abs(r.target - r.reached) < 1e-8 for r in mixing.margins(cells).collect())
+    assert mixing.margins(cells.limit(0)).count() == 0 and mixing.rake(cells.limit(0)).count() == 0
