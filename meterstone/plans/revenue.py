@@ -35,7 +35,12 @@ class Calendar:
 
         Known months become literals of the plans, so no plan repeats the scan of the payments for its calendar.
         """
-        rows = payment_months(payments).where(F.col("metric_month").isNotNull()).collect()
+        return cls.of(payment_months(payments))
+
+    @classmethod
+    def of(cls, months: DataFrame) -> Calendar:
+        """From a table with one row per payment month."""
+        rows = months.where(F.col("metric_month").isNotNull()).select("metric_month").collect()
         return cls(tuple(sorted(r.metric_month for r in rows)))
 
     @property
@@ -249,18 +254,24 @@ def churned_monthly(steps: DataFrame, calendar: Calendar) -> DataFrame:
     )
 
 
-def payments_monthly(payments: DataFrame) -> DataFrame:
-    dirty = F.col("is_suspected_dirty")
-    return (
-        payments.where(F.col("is_usd"))
-        .groupBy(F.col("payment_month").alias("metric_month"))
-        .agg(
-            F.sum(F.when(~dirty, F.col("net_amount_usd"))).cast("double").alias("net_revenue"),
-            F.count_if(dirty).alias("dirty_payment_rows"),
-        )
+def payments_by_month(payments: DataFrame) -> DataFrame:
+    """One row per payment month, whatever the currency, from one pass: the calendar and the revenue both come from it."""
+    usd, dirty = F.col("is_usd"), F.col("is_suspected_dirty")
+    return payments.groupBy(F.col("payment_month").alias("metric_month")).agg(
+        F.count_if(usd).alias("usd_rows"),
+        F.sum(F.when(usd & ~dirty, F.col("net_amount_usd"))).cast("double").alias("net_revenue"),
+        F.count_if(usd & dirty).alias("dirty_payment_rows"),
     )
 
 
+def payments_monthly(payments: DataFrame) -> DataFrame:
+    return _with_usd(payments_by_month(payments))
+
+
+def _with_usd(months: DataFrame) -> DataFrame:
+    return months.where("usd_rows > 0").drop("usd_rows")
+
+
 def channel_cost(channel: Column) -> Column:
     cost = F.lit(OTHER_CHANNEL_COST)
     for name, usd in CHANNEL_COST.items():
@@ -295,10 +306,16 @@ def revenue_metrics(
     payments: DataFrame,
     calendar: Calendar | None = None,
     settings: Settings = DEFAULTS,
+    months: DataFrame | None = None,
+    steps: DataFrame | None = None,
 ) -> DataFrame:
-    """The revenue mart. Churn repeats over channels and net revenue over all slices of a month, by definition."""
-    calendar = calendar or Calendar.read(payments)
-    steps = plan_steps(users, subs, calendar)
+    """The revenue mart. Churn repeats over channels and net revenue over all slices of a month, by definition.
+
+    ``months`` of ``payments_by_month`` and ``steps`` of ``plan_steps`` save their passes where they are written already.
+    """
+    calendar = calendar or (Calendar.read(payments) if months is None else Calendar.of(months))
+    steps = plan_steps(users, subs, calendar) if steps is None else steps
+    monthly = payments_monthly(payments) if months is None else _with_usd(months)
     churn = churned_monthly(steps, calendar)
     cac = cac_by_channel(users).select(
         F.col("cohort_month").alias("metric_month"), "acquisition_channel", "estimated_cac"
@@ -307,7 +324,7 @@ def revenue_metrics(
         mrr_monthly(steps, calendar)
         .join(churn, ["metric_month", "plan", "country"], "left")
         .join(cac, ["metric_month", "acquisition_channel"], "left")
-        .join(payments_monthly(payments), "metric_month", "left")
+        .join(monthly, "metric_month", "left")
     )
     lost = F.coalesce("churned_customers", F.lit(0))
     paying = F.nullif(F.col("paying_customers"), F.lit(0)).cast("double")

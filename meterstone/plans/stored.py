@@ -102,6 +102,10 @@ class StoredWarehouse(Warehouse):
     def payments(self) -> DataFrame:
         return self.stored("stg_payments", lambda: Warehouse.payments.func(self))
 
+    @cached_property
+    def payment_months(self) -> DataFrame:
+        return self.stored("payment_months", lambda: revenue.payments_by_month(self.payments))
+
     @cached_property
     def calendar(self) -> revenue.Calendar:
         return Warehouse.calendar.func(self)
@@ -120,7 +124,10 @@ class StoredWarehouse(Warehouse):
 
     @cached_property
     def revenue_metrics(self) -> DataFrame:
-        return self.stored("mart_revenue_metrics", lambda: Warehouse.revenue_metrics.func(self))
+        return self.stored("mart_revenue_metrics", self._revenue)
+
+    def _revenue(self) -> DataFrame:
+        return revenue.revenue_metrics(self.users, self.subscriptions, self.payments, self.calendar, self.settings, self.payment_months, self.plan_steps)
 
     @cached_property
     def funnel_analysis(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from meterstone.config import DEFAULTS, Settings
 from meterstone.operators import staging
 from meterstone.plans import funnel, retention, revenue, user_metrics
+from meterstone.session import through_table
 from meterstone.sources import adapters, query_log
 
 
@@ -66,9 +67,14 @@ class Warehouse:
     def cohort_retention(self) -> DataFrame:
         return retention.cohort_retention(self.users, self.events)
 
+    @cached_property
+    def payment_months(self) -> DataFrame:
+        """Written, since the calendar and the revenue mart both read it: payments are scanned once."""
+        return through_table(revenue.payments_by_month(self.payments), "payment_months")
+
     @cached_property
     def calendar(self) -> revenue.Calendar:
-        return revenue.Calendar.read(self.payments)
+        return revenue.Calendar.of(self.payment_months)
 
     @cached_property
     def plan_steps(self) -> DataFrame:
@@ -76,7 +82,9 @@ class Warehouse:
 
     @cached_property
     def revenue_metrics(self) -> DataFrame:
-        return revenue.revenue_metrics(self.users, self.subscriptions, self.payments, self.calendar, self.settings)
+        # Revenue and churn both read the steps.
+        steps = through_table(self.plan_steps, "plan_steps")
+        return revenue.revenue_metrics(self.users, self.subscriptions, self.payments, self.calendar, self.settings, self.payment_months, steps)
 
     @cached_property
     def funnel_analysis(self) -> DataFrame:
