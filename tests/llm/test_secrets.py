@@ -94,3 +94,55 @@ def test_a_long_text_with_very_many_findings():
 
     seconds(1000)
     assert seconds(40_000) < 12 * seconds(10_000)
+
+
+def test_gradients_of_long_rows_are_those_of_the_whole(monkeypatch):
+    import numpy as np
+
+    network = secret_scan.Network.fresh(4)
+    rows = secret_scan.coded(["left \0" + "ab9Z" * 50 + "\0 right", "\0" + "x7" * 90 + "\0", "a\0" + "0" * 11 + "\0b"])
+    y = np.array([1.0, 0.0, 0.0])
+    whole = network.gradient(rows, y)
+    monkeypatch.setattr(secret_scan, "PIECE", 16)
+    for a, b in zip(whole, network.gradient(rows, y), strict=True):
+        assert np.allclose(a, b, atol=1e-12)
+
+
+def test_every_labelled_finding_is_learnt_from(spark, monkeypatch):
+    """More findings than one shard takes, with long ones; shards hold each distinct one and the threshold counts all held back."""
+    import numpy as np
+
+    monkeypatch.setattr(secret_scan, "SHARD_ROWS", 1500)
+    texts = [f"password=k{i * 7919:x}zq and {i * 104729 + 10**14} then {10 ** (250 + i % 50) + i}" for i in range(3400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9999, texts[0])], "doc_id long, text string")
+    found = secret_scan.candidates(docs).cache()
+    want = {(f[3], f[4]) for t in texts for f in secret_scan.findings(t) if f[3] >= 0}
+    shards = secret_scan.labelled(found).collect()
+    got = [(r.label, r.window, s.held) for s in shards for r in s.rows]
+    assert len(got) == len(want) > 4500 and {g[:2] for g in got} == want
+    assert len({s.shard for s in shards}) > 3 and max(len(w) for _, w in want) > 256
+    assert all(secret_scan._is_held(w) == held for _, w, held in got)
+    network = secret_scan.fitted(found)
+    p = network.probabilities([w for label, w, held in got if held and label == 1])
+    assert np.mean(p >= network.threshold) >= 0.98
+    p = network.probabilities([w for label, w, held in got if held and label == 0])
+    assert np.mean(p >= network.threshold) < 0.05
+
+
+def test_long_findings_alone_are_learnt_from(spark):
+    rows = [(i, f"token=q{(i + 1) * 7919**3:x}Kd9 or ab{i}.{'x' * 280}@mail.example.com") for i in range(300)]
+    rows += [(i, f"see q{i * 7919**3:x}Kd9") for i in range(1000, 1050)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 350 and sum(s.kind == "model" for r in got for s in r.spans) > 40
+
+
+def test_one_shard_on_spark_is_the_plain_training(spark):
+    import numpy as np
+
+    rows = secret_texts()
+    pairs = sorted({(f[3], f[4]) for _, t in rows for f in secret_scan.findings(t) if f[3] >= 0})
+    plain = secret_scan.train([w for _, w in pairs], [y for y, _ in pairs])
+    network = secret_scan.fitted(secret_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string")))
+    for a, b in zip(plain.parameters, network.parameters, strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+    assert abs(plain.threshold - network.threshold) < 1e-5
