@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterstone.llm.tables import packed, text_of, utf8
-from meterstone.llm.words import hashed_words, mix
+from meterstone.llm.tables import packed, slices, text_of, utf8
+from meterstone.llm.words import CHUNK_BYTES, hashed_words, mix
 
 #: Bounds of the two samples that are fitted on.
 LABELLED, POOL = 6000, 6000
@@ -30,6 +30,8 @@ ROUNDS, PER_ROUND, SURE = 4, 500, 0.97
 #: Documents are rejected only as far as this share of good held-back documents is kept.
 KEEP_GOOD = 0.998
 WORD_SLOTS, LABEL_SLOTS = 256, 32
+#: Rows whose features are held at once.
+ROWS = 512
 
 # The byte classes whose shares are features.
 CLASSES = {
@@ -56,8 +58,8 @@ def _shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Share of each byte class in each row, read in pieces of bounded size."""
     rows = len(offsets) - 1
     counts = np.zeros(rows * _N_CLASSES)
-    for at in range(0, len(data), 1 << 21):
-        piece = data[at : at + (1 << 21)]
+    for at in range(0, len(data), CHUNK_BYTES):
+        piece = data[at : at + CHUNK_BYTES]
         row = np.repeat(np.arange(rows), np.diff(np.clip(offsets, at, at + len(piece))))
         counts += np.bincount(row * _N_CLASSES + _CLASS[piece], minlength=len(counts))
     return counts.reshape(rows, _N_CLASSES) / np.maximum(np.diff(offsets), 1)[:, None]
@@ -266,7 +268,12 @@ def scored(model: CoTrained) -> Column:
 
     @F.arrow_udf("text_score double, metadata_score double, score double")
     def run(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
-        parts = model.scores(text_features(text), metadata_features(lang, source, n_chars))
+        found = [
+            model.scores(text_features(text.slice(a, b - a)), metadata_features(*(x.slice(a, b - a) for x in (lang, source, n_chars))))
+            for first, last in slices(utf8(text)[1], CHUNK_BYTES)
+            for a, b in ((k, min(k + ROWS, last)) for k in range(first, last, ROWS))
+        ]
+        parts = [np.concatenate(p) for p in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
         return pa.StructArray.from_arrays([pa.array(p, pa.float64()) for p in parts], names=["text_score", "metadata_score", "score"])
 
     return run(*_inputs())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from meterstone.llm.tables import slices, utf8
 
 #: Bytes hashed at once; bounds the memory of a task whatever the length of a text.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -35,6 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _VALUES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
 _VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
+_VALUES[_SPACE] = 0
 
 
 def _powers(n: int) -> np.ndarray:
@@ -56,12 +57,14 @@ def _hash(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     at = np.flatnonzero(starts)
     if not len(at):
         return np.zeros(0, np.uint64), at
-    word = np.cumsum(starts, dtype=np.int32) - 1
-    place = np.arange(len(data), dtype=np.int32) - at[np.maximum(word, 0)].astype(np.int32)
-    longest = int(place[inside].max()) + 1
-    powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
-    value = np.where(inside, _VALUES[data] * powers[np.where(inside, place, 0)], np.uint64(0))
-    return mix(np.add.reduceat(value, at)), at
+    # A word's stretch reaches to the next word; the white space in it adds nothing.
+    stretch = np.diff(at, append=len(data))
+    place = np.arange(len(data) - at[0], dtype=np.int32)
+    place -= np.repeat((at - at[0]).astype(np.int32), stretch)
+    longest = int(stretch.max())
+    value = (_POWERS if longest <= len(_POWERS) else _powers(longest))[place]
+    value *= _VALUES[data[at[0] :]]
+    return mix(np.add.reduceat(value, at - at[0])), at
 
 
 def _long(data: np.ndarray, most: int) -> np.ndarray:
@@ -84,11 +87,15 @@ def hashed_words(array: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int
     """(first row, last row, word hashes, word offsets of the rows) for consecutive row ranges of a string array."""
     data, offsets = utf8(array)
     for first, last in slices(offsets, most):
-        part = data[offsets[first] : offsets[last]]
-        if last - first == 1 and len(part) > most:
-            hashes = _long(part, most)
-            yield first, last, hashes, np.array([0, len(hashes)], np.int64)
-            continue
-        row_at = offsets[first : last + 1] - offsets[first]
-        hashes, at = _hash(part, row_at[:-1])
-        yield first, last, hashes, np.searchsorted(at, row_at).astype(np.int64)
+        hashes, many = [], []
+        for a, b in slices(offsets[first : last + 1], CHUNK_BYTES):
+            row_at = offsets[first + a : first + b + 1]
+            part, row_at = data[row_at[0] : row_at[-1]], row_at - row_at[0]
+            if b - a == 1 and len(part) > CHUNK_BYTES:
+                hashes.append(_long(part, CHUNK_BYTES))
+                many.append([len(hashes[-1])])
+                continue
+            found, at = _hash(part, row_at[:-1])
+            hashes.append(found)
+            many.append(np.diff(np.searchsorted(at, row_at)))
+        yield first, last, np.concatenate(hashes), np.cumsum(np.concatenate([[0], *many])).astype(np.int64)

@@ -75,3 +75,27 @@ def test_labels_of_one_class_are_reported(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     with pytest.warns(UserWarning, match="20 labelled documents"):
         assert quality.annotate(docs, labels).filter("kept").count() == 20
+
+
+def test_hashing_words_needs_little_memory(monkeypatch):
+    """Some MB whatever the batch holds, as two tasks of an executor hash side by side; pieces don't change the words."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from meterstone.llm import words
+
+    texts = pa.array([f"  Word{i} and\tmore {'of it ' * 150}" for i in range(6000)] + [None, "", " \n", "x" * 5000 + " " * 6000 + "end"])
+    tracemalloc.start()
+    found = [hashes[:3].copy() for _, _, hashes, _ in words.hashed_words(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 30 << 20
+
+    def every():
+        parts = [(hashes, np.diff(at)) for _, _, hashes, at in words.hashed_words(texts, 1 << 30)]
+        return [np.concatenate(p) for p in zip(*parts, strict=True)]
+
+    whole = every()
+    monkeypatch.setattr(words, "CHUNK_BYTES", 700)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, every(), strict=True)) and len(whole[1]) == len(texts)
