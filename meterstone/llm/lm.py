@@ -65,12 +65,15 @@ def _differences(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0)).view(np.int64)
 
 
-def _states(tokens: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the tokens that end an n-gram of the order, keys of the states before them)."""
-    at = np.flatnonzero(place >= order - 1)
-    if order == 2:
-        return at, tokens[at - 1]
-    return at, mix(tokens[at - 2] + _ODD * mix(tokens[at - 1] ^ _ODD))
+def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, which of them each key is); places need no stable sort."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
 
 
 _CHUNK = "chunk long, n int, docs array<long>, held array<boolean>, lengths array<int>, kinds int, words binary, codes binary"
@@ -96,7 +99,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(lengths)])
                 tokens, place = np.full(int(starts[-1]), END), _place(lengths)
                 tokens[place < np.repeat(lengths, lengths) - 1] = hashes
-                words, codes = np.unique(tokens, return_inverse=True)
+                words, _, codes = _unique(tokens)
                 row = [
                     [0], [len(tokens)], [ids.slice(first, last - first).to_pylist()], [held.slice(first, last - first).to_pylist()], [lengths],
                     [len(words)], [_packed(_differences(words))], [_packed(codes)],
@@ -116,17 +119,18 @@ def _place(lengths: np.ndarray) -> np.ndarray:
 def _buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(buckets that sorted keys fall into, where each begins and the last ends)."""
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    found, starts = np.unique(bucket.astype(np.int64), return_index=True)
-    return found, np.append(starts, len(keys))
+    bucket = bucket.astype(np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return bucket[starts], np.append(starts, len(keys))
 
 
 class Grams:
-    """The distinct n-grams of one order in a chunk, by key."""
+    """The distinct n-grams of one order in a chunk, by key; ``at`` are the tokens that end one, ``state`` the numbers of the
+    words or pairs before these."""
 
-    def __init__(self, tokens: np.ndarray, place: np.ndarray, order: int, buckets: int):
-        self.order, self.all_buckets = order, buckets
-        self.at, self.state = _states(tokens, place, order)
-        self.keys, self.first, self.of = np.unique(mix(self.state + _ODD * mix(tokens[self.at])), return_index=True, return_inverse=True)
+    def __init__(self, order: int, at: np.ndarray, state: np.ndarray, keys: np.ndarray, buckets: int):
+        self.order, self.all_buckets, self.at, self.state = order, buckets, at, state
+        self.keys, self.first, self.of = _unique(keys)
         self.buckets, self.ends = _buckets(self.keys, buckets)
 
     def answers(self, got: dict[int, dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,15 +140,16 @@ class Grams:
 
 
 class States:
-    """The states of one order that a chunk asks for, by key, and what it adds to them."""
+    """The states of one order that a chunk asks for, by key: those of its words or pairs that are ``asked``."""
 
-    def __init__(self, asked: np.ndarray, order: int, buckets: int):
-        self.order, self.all_buckets = order, buckets
-        self.keys = np.unique(asked)
+    def __init__(self, keys: np.ndarray, asked: np.ndarray, order: int, buckets: int):
+        self.order, self.all_buckets, self.asked = order, buckets, asked
+        self.keys, self.place = keys[asked], np.cumsum(asked) - 1
         self.buckets, self.ends = _buckets(self.keys, buckets)
 
-    def of(self, state: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, state)
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """Places among the states of words or pairs that are asked for."""
+        return self.place[numbers]
 
     def answers(self, got: dict[int, dict], what: str) -> np.ndarray:
         return _joined(got, self.buckets + self.all_buckets * (self.order - 2), np.diff(self.ends), what)
@@ -154,25 +159,39 @@ def _joined(got: dict[int, dict], buckets: np.ndarray, sizes: np.ndarray, what:
     return np.concatenate([np.zeros(0, np.int64), *[_unpacked(got[int(b)][what], int(n)) for b, n in zip(buckets, sizes, strict=True)]])
 
 
-def _asked(tokens: np.ndarray, place: np.ndarray, got: dict[int, dict], buckets: int) -> Iterator[tuple[Grams, np.ndarray, np.ndarray, States, np.ndarray]]:
+def _pairs_and_triples(words: np.ndarray, codes: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[Grams]:
+    """The key of a triple is made from that of the pair before its last word, which is its state."""
+    last = (_ODD * mix(words))[codes]
+    at = np.flatnonzero(place >= 1)
+    keys = np.zeros(len(codes), np.uint64)
+    keys[at] = mix(words[codes[at - 1]] + last[at])
+    pairs = Grams(2, at, codes[at - 1], keys[at], buckets)
+    yield pairs
+    number = np.zeros(len(codes), np.int64)
+    number[at] = pairs.of
+    at = np.flatnonzero(place >= 2)
+    yield Grams(3, at, number[at - 1], mix(keys[at - 1] + last[at]), buckets)
+
+
+def _asked(words: np.ndarray, codes: np.ndarray, place: np.ndarray, got: dict[int, dict], buckets: int) -> Iterator[tuple[Grams, np.ndarray, np.ndarray, States, np.ndarray]]:
     """(n-grams, their counts, which are owned, states asked for, ends of n-grams with such a state) for pairs and triples.
 
-    The states of pairs are all words of the chunk but the end; those of triples are the kept pairs.
+    The states of pairs are all words of the chunk but the end; those of triples are the kept pairs that go on.
     """
-    kept = np.zeros(len(tokens), bool)
-    for order in (2, 3):
-        grams = Grams(tokens, place, order, buckets)
+    keys, asked = words, words != END
+    for grams in _pairs_and_triples(words, codes, place, buckets):
         count, owned = grams.answers(got)
-        able = np.ones(len(grams.at), bool) if order == 2 else kept[grams.at - 1]
-        yield grams, count, owned, States(tokens[tokens != END] if order == 2 else grams.state[able], order, buckets), able
-        kept[grams.at] = count[grams.of] > 0
+        # A triple whose pair is not kept can only share the bits of its key with others.
+        owned &= asked[grams.state[grams.first]]
+        yield grams, count, owned, States(keys, asked, grams.order, buckets), asked[grams.state]
+        keys, asked = grams.keys, (count > 0) & (words[codes[grams.at[grams.first]]] != END)
 
 
-def _read_chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, places, row of each token, held) of a chunk."""
+def _read_chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, code and place of each token, row of each token, held) of a chunk."""
     lengths = np.array(row["lengths"], np.int64)
     words = np.cumsum(_unpacked(row["words"], row["kinds"]).view(np.uint64), dtype=np.uint64)
-    return words[_unpacked(row["codes"], row["n"])], _place(lengths), np.repeat(np.arange(len(lengths)), lengths), np.array(row["held"], bool)
+    return words, _unpacked(row["codes"], row["n"]), _place(lengths), np.repeat(np.arange(len(lengths)), lengths), np.array(row["held"], bool)
 
 
 def _shift(buckets: int) -> np.uint64:
@@ -187,13 +206,13 @@ def grams(table: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                tokens, place, owner, held = _read_chunk(row)
-                for order in (2, 3):
-                    found, out = Grams(tokens, place, order, buckets), []
+                words, codes, place, owner, held = _read_chunk(row)
+                for found in _pairs_and_triples(words, codes, place, buckets):
+                    out = []
                     counts = np.bincount(found.of, ~held[owner][found.at], minlength=len(found.keys)).astype(np.int64)
                     for b, i, j in zip(found.buckets, found.ends[:-1], found.ends[1:], strict=True):
                         packs = (_differences(found.keys[i:j] >> shift), counts[i:j])
-                        out.append((int(b) + buckets * (order - 2), row["chunk"], int(j - i), *map(_packed, packs)))
+                        out.append((int(b) + buckets * (found.order - 2), row["chunk"], int(j - i), *map(_packed, packs)))
                     if out:
                         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=_names(_GRAMS))
@@ -218,7 +237,7 @@ def counted(questions: DataFrame, least: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         ends, (keys, counts) = _records(group, "keys", "counts")
-        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        _, first, at = _unique(keys)
         total = np.bincount(at, counts).astype(np.int64)
         total[total < least] = 0
         out = 2 * total[at]
@@ -234,11 +253,11 @@ def states(table: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
-        tokens, place, owner, held = _read_chunk(row)
+        words, codes, place, owner, held = _read_chunk(row)
         got, out = {r["bucket"]: r for r in replies.to_pylist()}, []
-        learnt = tokens[~held[owner] & (tokens != END)]
-        for found, count, owned, asked, _ in _asked(tokens, place, got, buckets):
-            times = np.bincount(asked.of(learnt), minlength=len(asked.keys)) if found.order == 2 else np.zeros(len(asked.keys), np.int64)
+        learnt = np.bincount(codes[~held[owner]], minlength=len(words))
+        for found, count, owned, asked, _ in _asked(words, codes, place, got, buckets):
+            times = learnt[asked.asked] if found.order == 2 else np.zeros(len(asked.keys), np.int64)
             arcs = np.bincount(asked.of(found.state[found.first[owned]]), 2 * count[owned] - int(2 * DISCOUNT), minlength=len(asked.keys)).astype(np.int64)
             for b, i, j in zip(asked.buckets, asked.ends[:-1], asked.ends[1:], strict=True):
                 packs = (_differences(asked.keys[i:j] >> shift), times[i:j], arcs[i:j])
@@ -256,7 +275,7 @@ def summed(questions: DataFrame, buckets: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         ends, (keys, counts, arcs) = _records(group, "keys", "counts", "arcs")
-        _, at = np.unique(keys, return_inverse=True)
+        _, _, at = _unique(keys)
         total, mass = (np.bincount(at, x).astype(np.int64) for x in (counts, arcs))
         bucket = group.column("bucket")[0].as_py()
         known = int((total > 0).sum()) if bucket < buckets else 0
@@ -282,12 +301,14 @@ def traversed(lengths: np.ndarray, root: np.ndarray, arcs: dict[int, np.ndarray]
     place = _place(lengths)
     rank = np.empty(len(lengths), np.int64)
     rank[texts] = np.arange(len(lengths))
-    order = np.lexsort((np.repeat(rank, lengths), place))
+    reading = np.bincount(place) if len(place) else np.zeros(0, np.int64)
+    order = np.empty(len(place), np.int64)
+    order[(np.cumsum(reading) - reading)[place] + np.repeat(rank, lengths)] = np.arange(len(place))
     root, pair = root[order], pair[order]
     a2, a3, f2, f3 = (x[k][order] for x in (arcs, fails) for k in (2, 3))
     level, score = np.zeros(len(lengths), np.int8), np.zeros(len(lengths))
     at = 0
-    for n in np.bincount(place) if len(place) else ():
+    for n in reading:
         now, carried = slice(at, at + n), level[:n]
         weight = root[now]
         one = a2[now] + f2[now] * weight
@@ -327,35 +348,34 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def run(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
-        tokens, place, owner, held = _read_chunk(row)
+        words, codes, place, owner, held = _read_chunk(row)
         replies = replies.to_pylist()
         first, second = ({r["bucket"]: r for r in replies if (r["counts"] is None) == x} for x in (False, True))
-        single = np.full(len(tokens), texts)  # the end occurs once in each text
-        arcs, fails, pair = {}, {}, np.zeros(len(tokens), bool)
-        before = np.zeros(len(tokens), np.int64)  # count of the state before a token
-        for found, count, _, asked, able in _asked(tokens, place, first, buckets):
+        times = np.full(len(words), texts)  # the end occurs once in each text
+        arcs, fails, pair = {}, {}, np.zeros(len(codes), bool)
+        before = np.zeros(len(codes), np.int64)  # count of the state before a token
+        for found, count, _, asked, able in _asked(words, codes, place, first, buckets):
             if found.order == 2:
-                total = asked.answers(second, "totals")
-                inside = tokens != END
-                single[inside] = total[asked.of(tokens[inside])]
+                times[asked.asked] = asked.answers(second, "totals")
+                single = times[codes]
                 before[found.at] = single[found.at - 1]
             else:
                 before = np.append(0, twos[:-1])
-            mine = np.zeros(len(tokens), np.int64)
+            mine = np.zeros(len(codes), np.int64)
             mine[found.at] = count[found.of]
-            mass = np.zeros(len(tokens), np.int64)
+            mass = np.zeros(len(codes), np.int64)
             ends = found.at[able]
             mass[ends] = asked.answers(second, "arcs")[asked.of(found.state[able])]
-            times = np.maximum(before, 1)
-            arcs[found.order] = np.where(mine > 0, (mine - DISCOUNT) / times, 0.0)
-            fails[found.order] = 1 - mass / 2 / times
+            total = np.maximum(before, 1)
+            arcs[found.order] = np.where(mine > 0, (mine - DISCOUNT) / total, 0.0)
+            fails[found.order] = 1 - mass / 2 / total
             if found.order == 2:
                 twos, pair = mine, mine > 0
         known = single > 0
-        root = (single + 0.5) / floor if n else np.ones(len(tokens))
+        root = (times + 0.5) / floor if n else np.ones(len(words))
         many = len(row["docs"])
-        base = np.bincount(owner, np.log10(root), minlength=many)
-        score = traversed(np.array(row["lengths"], np.int64), root, arcs, fails, pair)
+        base = np.bincount(owner, np.log10(root)[codes], minlength=many)
+        score = traversed(np.array(row["lengths"], np.int64), root[codes], arcs, fails, pair)
         out = [row["docs"], row["held"], row["lengths"], np.bincount(owner, known, minlength=many).astype(np.int64), [n] * many, base, score]
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=_names(_SCORES))

@@ -139,3 +139,19 @@ def test_the_state_is_carried_from_token_to_token():
     pair[3] = True
     assert np.allclose(lm.traversed(lengths, root, arcs, fails, pair)[1], np.log10(0.1 * 0.2 * (0.5 + 0.5 * (0.25 + 0.75 * 0.3))))
     assert len(lm.traversed(np.zeros(0, np.int64), *[np.zeros(0)] * 1, {2: np.zeros(0), 3: np.zeros(0)}, {2: np.zeros(0), 3: np.zeros(0)}, np.zeros(0, bool))) == 0
+
+
+def test_states_of_triples_are_the_pairs_of_the_chunk():
+    """A triple's state is found by its pair's number, without a second sort or search; keys agree with those of the pairs."""
+    tokens = [1, 2, 3, 1, 2, 4, 1, 2, 3]
+    words = np.array([5, 6, 7, 8], np.uint64)
+    codes, place = np.array(tokens) - 1, np.array([0, 1, 2, 3, 4, 5, 0, 1, 2])
+    two, three = lm._pairs_and_triples(words, codes, place, 1)
+    assert len(two.keys) == 4 and len(three.keys) == 4
+    for grams, order in ((two, 2), (three, 3)):
+        names = [tuple(tokens[k - order + 1 : k + 1]) for k in grams.at]
+        assert len(set(zip(names, grams.of))) == len(set(names)) == len(grams.keys)
+        states = {(n[:-1], int(s)) for n, s in zip(names, grams.state)}
+        assert len(states) == len({n[:-1] for n in names})
+    pair_of = dict(zip(two.at, two.of))
+    assert all(pair_of[k - 1] == s for k, s in zip(three.at, three.state))
